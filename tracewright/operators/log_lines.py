@@ -79,16 +79,16 @@ SHAPE_TOKENS = 6
 def clean_line(raw: Column) -> Column:
     """The line without terminal codes, byte-order marks and trailing carriage returns."""
     text = F.coalesce(raw, F.lit(""))
-    text = F.regexp_replace(text, "\\x1b\\[[0-9;?]*[ -/]*[@-~]|\\ufeff", "")
-    return F.regexp_replace(text, r"\r+$", "")
+    coded = F.contains(text, F.lit("\x1b")) | F.contains(text, F.lit("\ufeff"))
+    text = F.when(coded, F.regexp_replace(text, "\\x1b\\[[0-9;?]*[ -/]*[@-~]|\\ufeff", "")).otherwise(text)
+    return F.rtrim(text, F.lit("\r"))
 
 
 def signature(line: Column) -> Column:
     """The shape of a line: words become ``a``, numbers ``0``, blanks one blank; leading tokens only."""
-    shape = F.regexp_replace(line, r"[A-Za-z_0-9\p{L}]*[A-Za-z_\p{L}][A-Za-z_0-9\p{L}]*", "a")
-    shape = F.regexp_replace(shape, r"\d+", "0")
-    shape = F.regexp_replace(shape, r"[ ]+", " ")
-    return F.substring_index(shape, " ", SHAPE_TOKENS)
+    head = F.substring_index(F.regexp_replace(line, r" {2,}", " "), " ", SHAPE_TOKENS)
+    words = F.regexp_replace(head, r"\d*+[A-Za-z_\p{L}][\w\p{L}]*+", "a")
+    return F.regexp_replace(words, r"\d+", "0")
 
 
 def resolve_signatures(lines: DataFrame, max_shapes: int = MAX_SHAPES) -> DataFrame:
