@@ -42,7 +42,8 @@ def socket(text: Column) -> Column:
     cut = bare(text)
     port = F.regexp_extract(cut, r"[:/](\d+)$", 1)
     host = F.regexp_replace(cut, r"[:/]\d+$", "")
-    return F.when(port == "", address(cut)).otherwise(F.concat_ws(":", address(host), F.regexp_replace(port, r"^0+(?=\d)", "")))
+    joined = F.concat(address(host), F.lit(":"), F.regexp_replace(port, r"^0+(?=\d)", ""))
+    return F.when(port == "", address(cut)).when(port != "", joined)
 
 
 def call(text: Column) -> Column:
