@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 
 def bare(text: Column) -> Column:
-    """Without surrounding blanks, quotes and brackets of lists; blank texts are null."""
-    cut = F.regexp_replace(text, r"""^[\s"']+|[\s"']+$""", "")
+    """Without surrounding blanks and quotes; blank texts are null."""
+    cut = F.btrim(text, F.lit(" \t\r\n\x0b\x0c\"'"))
     return F.when(cut != "", cut)
 
 
-def file_path(text: Column) -> Column:
-    """A path without doubled separators, ``.`` and ``x/..`` steps; case stays."""
-    parts = F.filter(F.split(bare(text), "/"), lambda x: (x != "") & (x != "."))
+def file_path(path: Column) -> Column:
+    """A bare path without doubled separators, ``.`` and ``x/..`` steps; case stays."""
+    rooted = F.startswith(path, F.lit("/"))
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
     kept = F.aggregate(
         parts,
         F.array().cast("array<string>"),
@@ -22,28 +23,28 @@ def file_path(text: Column) -> Column:
             (x == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."),
             F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
         )
-        .when((x == "..") & F.startswith(bare(text), F.lit("/")), done)
+        .when((x == "..") & rooted, done)
         .otherwise(F.array_append(done, x)),
     )
-    root = F.when(F.startswith(bare(text), F.lit("/")), "/").otherwise("")
-    return F.concat(root, F.array_join(kept, "/"))
+    steps = path.rlike(r"(^|/)\.{0,2}/|/\.{0,2}$")
+    return F.when(steps, F.concat(F.when(rooted, "/").otherwise(""), F.array_join(kept, "/"))).otherwise(path)
 
 
 def address(text: Column) -> Column:
-    """An IP address in lower case without brackets, zone of mapped IPv4 and leading zeros."""
+    """An IP address in lower case without brackets, mapping prefix and leading zeros."""
     cut = F.lower(F.regexp_replace(bare(text), r"^\[+|\]+$", ""))
     cut = F.regexp_replace(cut, r"^(?:0*:)*:?(?:0+:)*ffff:(?=\d+\.\d+\.\d+\.\d+)", "")
     dotted = F.regexp_replace(cut, r"(^|\.)0+(?=\d)", "$1")
     return F.when(cut.rlike(r"^\d+\.\d+\.\d+\.\d+$"), dotted).otherwise(cut)
 
 
-def socket(text: Column) -> Column:
-    """``address:port`` from ``a:p``, ``a/p``, ``[a]:p`` and mapped forms."""
-    cut = bare(text)
-    port = F.regexp_extract(cut, r"[:/](\d+)$", 1)
-    host = F.regexp_replace(cut, r"[:/]\d+$", "")
+def socket(name: Column) -> Column:
+    """``address:port`` from bare names like ``a:p``, ``a/p``, ``[a]:p`` and mapped forms."""
+    port = F.regexp_extract(name, r"[:/](\d+)$", 1)
+    host = F.regexp_replace(name, r"[:/]\d+$", "")
     joined = F.concat(address(host), F.lit(":"), F.regexp_replace(port, r"^0+(?=\d)", ""))
-    return F.when(port == "", address(cut)).when(port != "", joined)
+    plain = name.rlike(r"^[1-9]\d*(\.(0|[1-9]\d*)){3}:[1-9]\d*$")
+    return F.when(plain, name).when(port == "", address(name)).when(port != "", joined)
 
 
 def call(text: Column) -> Column:
