@@ -48,9 +48,10 @@ class Splitter:
     def __init__(self, coder: Encoder, text: str) -> None:
         self.coder, self.text = coder, text
         self.parts = coder.findall(text)
-        memo = coder.memo
+        self.ids = list(map(coder.memo.__getitem__, self.parts))
         self.chars = [0, *accumulate(map(len, self.parts))]
-        self.tokens = [0, *accumulate(len(memo[p]) for p in self.parts)]
+        self.tokens = [0, *accumulate(map(len, self.ids))]
+        self._borders: dict[int, list[int | None]] = {}
         self.total = self.tokens[-1]
         self._breaks: list[tuple[int, int]] | None = None
 
@@ -80,20 +81,30 @@ class Splitter:
         k = bisect_right(self.tokens, token) - 1
         if self.tokens[k] == token:
             return self.chars[k]
-        held = self.coder.memo[self.parts[k]]
-        data = self.parts[k].encode("utf-8")
-        at = sum(map(self.coder.length.__getitem__, held[: token - self.tokens[k]]))
-        return self.chars[k] + len(data[:at].decode("utf-8")) if at == len(data) or data[at] & 0xC0 != 0x80 else None
+        return self._border(k)[token - self.tokens[k]]
+
+    def _border(self, k: int) -> list[int | None]:
+        """For every token of a part, the character offset at which it begins, None inside a character."""
+        known = self._borders.get(k)
+        if known is None:
+            # Offsets of the bytes that begin a character, and of those that tokens begin at.
+            offset, chars = {}, self.chars[k]
+            at = 0
+            for n, char in enumerate(self.parts[k]):
+                offset[at] = chars + n
+                at += 1 if char < "\x80" else 2 if char < "\u0800" else 3 if char < "\U00010000" else 4
+            starts = accumulate(map(self.coder.length.__getitem__, self.ids[k]), initial=0)
+            known = self._borders[k] = list(map(offset.get, starts))
+        return known
 
     def _inside(self, k: int, room: int) -> list[tuple[int, int]]:
         """(token, strength) of cuts inside a part that is larger than a piece may be."""
-        base, held = self.tokens[k], self.coder.memo[self.parts[k]]
-        data, at, step, last, out = self.parts[k].encode("utf-8"), 0, max(1, room // 8), 0, []
-        for n, token in enumerate(held):
-            if n - last >= step and at < len(data) and data[at] & 0xC0 != 0x80:
+        base, step, last, out = self.tokens[k], max(1, room // 8), 0, []
+        border = self._border(k)
+        for n in range(1, len(self.ids[k])):
+            if n - last >= step and border[n] is not None:
                 out.append((base + n, TOKEN))
                 last = n
-            at += self.coder.length[token]
         return out
 
     def atoms(self, room: int) -> list[tuple[int, int]]:
@@ -126,25 +137,27 @@ class Splitter:
         start = [a for a, _ in atoms]
         end = [*start[1:], self.total]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # An entry names its right atom and both sizes at the time; an entry is stale once either has grown.
-        heap = [(atoms[k][1], end[k] - start[k - 1], k, k - 1) for k in range(1, n)]
+        # An entry names both atoms and their size at the time; it is stale once either has grown.
+        # Pairs that do not fit are never entered: sizes only grow, so such a boundary stays a cut.
+        heap = [
+            (atoms[k][1], end[k] - start[k - 1], k, k - 1) for k in range(1, n) if end[k] - start[k - 1] <= (room if k > 1 else limit)
+        ]
         heapq.heapify(heap)
         alive = [True] * n
         while heap:
             strength, size, right, left = heapq.heappop(heap)
             if not alive[right] or before[right] != left or end[right] - start[left] != size:
                 continue
-            if size > (limit if left == 0 else room):
-                continue  # sizes only grow, so this boundary stays a cut
             alive[right] = False
             end[left] = end[right]
             new = after[right]
             after[left] = new
             if new < n:
                 before[new] = left
-                heapq.heappush(heap, (atoms[new][1], end[new] - start[left], new, left))
-            if left > 0:
-                heapq.heappush(heap, (atoms[left][1], end[left] - start[before[left]], left, before[left]))
+                if (size := end[new] - start[left]) <= (room if left else limit):
+                    heapq.heappush(heap, (atoms[new][1], size, new, left))
+            if left > 0 and (size := end[left] - start[before[left]]) <= (room if before[left] else limit):
+                heapq.heappush(heap, (atoms[left][1], size, left, before[left]))
         return [(start[k], end[k]) for k in range(n) if alive[k]]
 
     def own_size(self, first: int, end: int, at: int, to: int) -> int:
