@@ -1,8 +1,9 @@
 """Runs of equal consecutive events collapsed to one event with count and duration.
 
-Method: every event that continues a run points to its predecessor; pointers are replaced by their
-pointers' pointers until all reach the start of their run, which takes as many self-joins as the
-longest run's length has binary digits. Each join looks only at events that have not arrived.
+Method: every event that continues a run points to an event before it; pointers are replaced by
+their pointers' pointers until all reach the start of their run, which takes as many self-joins as
+the longest run's length has binary digits. First pointers go back up to ``JUMP`` events, which
+saves the first joins, and each join moves only events that have not arrived.
 
 Predecessors come from windows over (graph, time bucket), so that no graph, however large, is one
 task; the last ``max_gap`` of a bucket is repeated at the head of the next, which suffices because
@@ -16,84 +17,102 @@ by ``edge_key``; an empty table gives no rows. Other columns are ignored, whatev
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import names
-from tracewright.session import durable
+from tracewright.session import stored
 
 MAX_GAP_US = 60_000_000
 BUCKET_US = 600_000_000
+#: Events that a first pointer goes back at most.
+JUMP = 8
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Edges that have a time, with names and calls written one way; repeated deliveries are still there."""
     kind = F.lower(F.trim("object_type"))
-    return edges.filter("edge_key is not null and graph_id is not null and event_ts is not null").select(
+    timed = edges.filter("edge_key is not null and graph_id is not null and event_ts is not null").select(
         "edge_key",
         "graph_id",
         F.unix_micros(F.col("event_ts").cast("timestamp")).alias("us"),
         names.bare(F.col("subject_name")).alias("subject"),
-        F.when(kind == "file", names.file_path(F.col("object_name")))
-        .when(kind == "socket", names.socket(F.col("object_name")))
-        .otherwise(names.bare(F.col("object_name")))
-        .alias("object"),
+        names.bare(F.col("object_name")).alias("object"),
+        kind.alias("kind"),
         names.call(F.col("log_type")).alias("call"),
     )
+    one = F.when(F.col("kind") == "file", names.file_path(F.col("object")))
+    one = one.when(F.col("kind") == "socket", names.socket(F.col("object"))).otherwise(F.col("object"))
+    return timed.withColumn("object", one).drop("kind")
+
 
+def predecessors(
+    edges: DataFrame, max_gap_us: int = MAX_GAP_US, bucket_us: int = BUCKET_US, jump: int = JUMP
+) -> DataFrame:
+    """Canonical edges with ``ptr``, an edge up to ``jump`` before it in its run (null where a run starts).
 
-def predecessors(edges: DataFrame, max_gap_us: int = MAX_GAP_US, bucket_us: int = BUCKET_US) -> DataFrame:
-    """Canonical edges with ``pred``, the key of the edge before if both belong to one run, else null."""
+    ``done`` says that ``ptr`` is known to start the run.
+    """
     if bucket_us < max_gap_us:
         raise ValueError("a bucket must be as long as the gap")
     bucket = F.floor(F.col("us") / bucket_us)
     late = F.col("us") - bucket * bucket_us >= bucket_us - max_gap_us
+    own = F.struct(bucket.alias("b"), F.lit(False).alias("ghost"))
     placed = edges.withColumn(
-        "at",
-        F.explode(
-            F.when(late, F.array(F.struct(bucket.alias("b"), F.lit(False).alias("ghost")), F.struct((bucket + 1).alias("b"), F.lit(True).alias("ghost"))))
-            .otherwise(F.array(F.struct(bucket.alias("b"), F.lit(False).alias("ghost"))))
-        ),
-    )
+        "at", F.explode(F.when(late, F.array(own, F.struct((bucket + 1).alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(own)))
+    )
     order = Window.partitionBy("graph_id", "at.b").orderBy("us", "edge_key")
     # Deliveries of one edge have the same content, so they are neighbours here and need no shuffle of their own.
     placed = placed.withColumn("again", F.lag("edge_key").over(order)).filter("again is null or again <> edge_key")
-    before = F.lag(F.struct("edge_key", "us", "subject", "object", "call")).over(order)
     same = (
-        (F.col("p.subject") == F.col("subject"))
-        & (F.col("p.object") == F.col("object"))
-        & (F.col("p.call") == F.col("call"))
-        & (F.col("us") - F.col("p.us") <= max_gap_us)
+        (F.lag("subject").over(order) == F.col("subject"))
+        & (F.lag("object").over(order) == F.col("object"))
+        & (F.lag("call").over(order) == F.col("call"))
+        & (F.col("us") - F.lag("us").over(order) <= max_gap_us)
     )
+    marked = placed.withColumns({"starts": ~F.coalesce(same, F.lit(False)), "row": F.row_number().over(order)})
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    head = F.when(F.col("starts"), F.struct("row", "edge_key", F.col("at.ghost").alias("ghost")))
+    marked = marked.withColumns({"head": F.last(head, True).over(upto), "back": F.lag("edge_key", jump).over(order)})
+    behind = F.col("row") - F.col("head.row")
     return (
-        placed.withColumn("p", before)
-        .filter("not at.ghost")
-        .withColumn("pred", F.when(same, F.col("p.edge_key")))
-        .drop("p", "at", "again")
+        marked.filter("not at.ghost")
+        .withColumn("ptr", F.when(behind >= jump, F.col("back")).when(behind > 0, F.col("head.edge_key")))
+        # What precedes a repeated row at the head of a bucket is not seen here.
+        .withColumn("done", (behind <= jump) & ~F.col("head.ghost"))
+        .drop("at", "again", "starts", "row", "head", "back")
     )
 
 
 def double_pointers(members: DataFrame) -> DataFrame:
-    """(key, root): follow ``pred`` from every member to the key that has no predecessor."""
-    state = durable(members.select(F.col("edge_key").alias("key"), F.col("pred").alias("ptr"), F.lit(False).alias("done")))
-    while True:
-        table = state.select(F.col("key").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("arrived"))
-        moved = state.filter("not done").join(table, "ptr", "left").select(
+    """(key, root): follow ``ptr`` from every member (edge_key, ptr, done) to the key that is no member.
+
+    A round joins the events on their way with all members; what arrives is written once and never again.
+    """
+    first = stored(members.select(F.col("edge_key").alias("key"), "ptr", "done"))
+    arrived = [first.filter("done")]
+    moving = first.filter("not done")
+    while not moving.isEmpty():
+        table = reduce(DataFrame.unionByName, arrived, moving)
+        targets = table.select(F.col("key").alias("ptr"), F.col("ptr").alias("next"), F.col("done").alias("there"))
+        moved = moving.join(targets, "ptr", "left").select(
             "key",
             F.coalesce("next", "ptr").alias("ptr"),
             # A target that is no member starts a run; a target that has arrived points to its start.
-            F.coalesce("arrived", F.lit(True)).alias("done"),
+            F.coalesce("there", F.lit(True)).alias("done"),
         )
-        state = durable(state.filter("done").unionByName(moved))
-        if state.filter("not done").isEmpty():
-            return state.select("key", F.col("ptr").alias("root"))
+        moved = stored(moved)
+        arrived.append(moved.filter("done"))
+        moving = moved.filter("not done")
+    return reduce(DataFrame.unionByName, arrived).select("key", F.col("ptr").alias("root"))
 
 
 def collapse_runs(edges: DataFrame, max_gap_us: int = MAX_GAP_US) -> DataFrame:
     """One row per run: keys, graph, names, number of edges, first and last time, duration."""
-    linked = predecessors(canonical_edges(edges), max_gap_us)
-    linked = durable(linked)
-    roots = double_pointers(linked.filter("pred is not null"))
+    linked = stored(predecessors(canonical_edges(edges), max_gap_us))
+    roots = double_pointers(linked.filter("ptr is not null"))
     joined = linked.join(roots, F.col("edge_key") == F.col("key"), "left")
     runs = joined.withColumn("run", F.coalesce("root", "edge_key")).groupBy("run").agg(
         F.min("edge_key").alias("lo_edge_key"),
@@ -111,7 +130,7 @@ def collapse_runs(edges: DataFrame, max_gap_us: int = MAX_GAP_US) -> DataFrame:
 
 def found_runs(edges: DataFrame) -> DataFrame:
     """(lo_edge_key, hi_edge_key) of every run of two or more edges."""
-    roots = double_pointers(predecessors(canonical_edges(edges)).filter("pred is not null"))
+    roots = double_pointers(predecessors(canonical_edges(edges)).filter("ptr is not null"))
     runs = roots.groupBy("root").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
     return runs.select(
         F.least("root", "lo").alias("lo_edge_key"), F.greatest("root", "hi").alias("hi_edge_key")
