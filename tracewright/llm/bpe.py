@@ -31,7 +31,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The split pattern of the byte-level BPE (fixed value of the tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces remembered by a worker, and the longest piece that is remembered.
-MEMO_PIECES, MEMO_CHARS = 400_000, 40
+MEMO_PIECES, MEMO_CHARS = 200_000, 40
+#: Documents whose ids are handed back together, which bounds a worker's memory.
+HANDED_BACK = 500
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -186,15 +188,16 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary).encode
-        for batch in batches:
-            offsets, flat = np.zeros(batch.num_rows + 1, np.int32), []
-            for k, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py())
-                flat.append(np.array(ids, np.int32))
-                offsets[k + 1] = offsets[k] + len(ids)
-            values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=kind)
+        for whole in batches:
+            for low in range(0, whole.num_rows, HANDED_BACK):
+                batch = whole.slice(low, HANDED_BACK)
+                offsets, flat = np.zeros(batch.num_rows + 1, np.int32), []
+                for k, text in enumerate(batch.column(1)):
+                    ids = encode(text.as_py())
+                    flat.append(np.array(ids, np.int32))
+                    offsets[k + 1] = offsets[k] + len(ids)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=kind)
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
