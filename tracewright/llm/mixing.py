@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe import VOCABULARY, count_tokens
-from tracewright.session import durable
+from tracewright.session import stored
 
 BLOCK_TOKENS, MAX_BLOCKS = 1 << 16, 1 << 16
 SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096
@@ -96,7 +96,7 @@ def mix_sources(
 ) -> DataFrame:
     """(mix_id, shard, position, doc_id, copy, source, n_tokens): every document copy of every mix."""
     spark = documents.sparkSession
-    sizes = durable(document_sizes(documents, targets, vocabulary)) if sizes is None else sizes
+    sizes = stored(document_sizes(documents, targets, vocabulary)) if sizes is None else sizes
     listed = targets.select("mix_id", "source", "target_share", "max_repeats").limit(MAX_TARGETS + 1).collect()
     if len(listed) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
@@ -111,7 +111,7 @@ def mix_sources(
         spark.createDataFrame(sorted({(r["source"], r["blocks"]) for r in rows}), "source string, blocks int")
     )
     placed = sizes.join(per_source, "source").withColumn("block", F.pmod(_hash("doc_id"), F.col("blocks")).cast("int")).drop("blocks")
-    blocks = durable(placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
+    blocks = stored(placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
 
     # The rest of a quota: whole blocks in permuted order, then documents of the block where it ends.
     permuted = Window.partitionBy("mix_id", "source").orderBy(_hash("mix_id", "source", "block"), "block")
