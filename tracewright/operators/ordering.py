@@ -29,8 +29,9 @@ def _offsets(parts: DataFrame, amount: Column) -> DataFrame:
     for part in sorted(totals):
         rows.append((part, so_far))
         so_far += totals[part] or 0
-    kind = "double" if any(isinstance(a, float) for a in totals.values()) else "bigint"
-    return F.broadcast(parts.sparkSession.createDataFrame(rows, f"__part bigint, __before {kind}"))
+    real = any(isinstance(a, float) for a in totals.values())
+    typed = [(part, float(before) if real else int(before)) for part, before in rows]
+    return F.broadcast(parts.sparkSession.createDataFrame(typed, f"__part bigint, __before {'double' if real else 'bigint'}"))
 
 
 def global_numbers(rows: DataFrame, order: list[str], out: str = "number", start: int = 0) -> DataFrame:
