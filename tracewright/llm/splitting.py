@@ -54,6 +54,7 @@ class Splitter:
         self._borders: dict[int, list[int | None]] = {}
         self.total = self.tokens[-1]
         self._breaks: list[tuple[int, int]] | None = None
+        self._marks: list[tuple[int, int]] | None = None
 
     def breaks(self) -> list[tuple[int, int]]:
         """(index of the part that follows, strength) of every break of the text itself, in order."""
@@ -110,7 +111,14 @@ class Splitter:
     def atoms(self, room: int) -> list[tuple[int, int]]:
         """(first token, strength of the boundary before) of every atom."""
         tokens, parts = self.tokens, self.parts
-        marks = [(0, PARAGRAPH), *self.breaks()]
+        if self._marks is None:
+            self._marks = [(0, PARAGRAPH), *self.breaks()]
+            self._own = [(tokens[k], strength) for k, strength in self._marks]
+            edges = [*(a for a, _ in self._own), self.total]
+            self._largest = max(b - a for a, b in zip(edges, edges[1:]))
+        if self._largest <= room:
+            return self._own
+        marks = self._marks
         out: list[tuple[int, int]] = []
         for (first, strength), (end, _) in zip(marks, [*marks[1:], (len(parts), 0)], strict=True):
             out.append((tokens[first], strength))
@@ -132,33 +140,25 @@ class Splitter:
     def merged(self, limit: int, overlap: int) -> list[tuple[int, int]]:
         """(first, end) tokens of the pieces without their overlaps."""
         room = limit - overlap
-        atoms = self.atoms(room)
-        n = len(atoms)
-        start = [a for a, _ in atoms]
-        end = [*start[1:], self.total]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # An entry names both atoms and their size at the time; it is stale once either has grown.
-        # Pairs that do not fit are never entered: sizes only grow, so such a boundary stays a cut.
-        heap = [
-            (atoms[k][1], end[k] - start[k - 1], k, k - 1) for k in range(1, n) if end[k] - start[k - 1] <= (room if k > 1 else limit)
-        ]
-        heapq.heapify(heap)
-        alive = [True] * n
-        while heap:
-            strength, size, right, left = heapq.heappop(heap)
-            if not alive[right] or before[right] != left or end[right] - start[left] != size:
-                continue
-            alive[right] = False
-            end[left] = end[right]
-            new = after[right]
-            after[left] = new
-            if new < n:
-                before[new] = left
-                if (size := end[new] - start[left]) <= (room if left else limit):
-                    heapq.heappush(heap, (atoms[new][1], size, new, left))
-            if left > 0 and (size := end[left] - start[before[left]]) <= (room if before[left] else limit):
-                heapq.heappush(heap, (atoms[left][1], size, left, before[left]))
-        return [(start[k], end[k]) for k in range(n) if alive[k]]
+        held = self.atoms(room)
+        # Merging never makes a boundary weaker, so strengths are done one after the other, and what
+        # lies between stronger boundaries is merged on its own.
+        for level in sorted({strength for _, strength in held[1:]}):
+            out: list[tuple[int, int]] = []
+            n, low = len(held), 0
+            while low < n:
+                high = low + 1
+                while high < n and held[high][1] <= level:
+                    high += 1
+                end = held[high][0] if high < n else self.total
+                if high - low == 1 or end - held[low][0] <= room:
+                    out.append(held[low])  # all of it fits, so every merge within would be made
+                else:
+                    out += _merge(held[low:high], end, room, limit if low == 0 else room)
+                low = high
+            held = out
+        first = [a for a, _ in held]
+        return list(zip(first, [*first[1:], self.total], strict=True))
 
     def own_size(self, first: int, end: int, at: int, to: int) -> int:
         """Tokens of the slice when encoded on its own: only parts cut by its ends can differ."""
@@ -208,6 +208,38 @@ class Splitter:
         yield from range(exact + 1, first + 1)
 
 
+def _merge(atoms: list[tuple[int, int]], total: int, room: int, first_room: int) -> list[tuple[int, int]]:
+    """Atoms merged pair by pair, weakest boundary and then smallest pair first, while pairs fit."""
+    n = len(atoms)
+    start = [a for a, _ in atoms]
+    end = [*start[1:], total]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # An entry names both atoms and their size at the time; it is stale once either has grown.
+    # Pairs that do not fit are never entered: sizes only grow, so such a boundary stays a cut.
+    heap = [
+        (atoms[k][1], end[k] - start[k - 1], k, k - 1)
+        for k in range(1, n)
+        if end[k] - start[k - 1] <= (room if k > 1 else first_room)
+    ]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, size, right, left = heapq.heappop(heap)
+        if not alive[right] or before[right] != left or end[right] - start[left] != size:
+            continue
+        alive[right] = False
+        end[left] = end[right]
+        new = after[right]
+        after[left] = new
+        if new < n:
+            before[new] = left
+            if (size := end[new] - start[left]) <= (room if left else first_room):
+                heapq.heappush(heap, (atoms[new][1], size, new, left))
+        if left > 0 and (size := end[left] - start[before[left]]) <= (room if before[left] else first_room):
+            heapq.heappush(heap, (atoms[left][1], size, left, before[left]))
+    return [atoms[k] for k in range(n) if alive[k]]
+
+
 def split_documents(documents: DataFrame, specs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Pieces of every document that is larger than a spec's limit, for every spec."""
     listed = specs.select("spec_id", "max_tokens", "overlap_tokens").limit(MAX_SPECS + 1).collect()
