@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tracewright.operators.vectors import element_stats, gathered
 from tracewright.session import stored
@@ -31,7 +32,7 @@ def assign(vectors: DataFrame, centres: DataFrame, key: str, label: str) -> Data
     if len(listed) > MAX_CENTRES:
         raise ValueError(f"more than {MAX_CENTRES} centres")
     listed.sort(key=lambda r: r[0])
-    names = pa.array([r[0] for r in listed])
+    names = pa.array([r[0] for r in listed], to_arrow_type(centres.schema[label].dataType))
     matrix = np.array([r[1] for r in listed], float)
     schema = f"{key} {vectors.schema[key].dataType.simpleString()}, {label} {centres.schema[label].dataType.simpleString()}, distance double"
 

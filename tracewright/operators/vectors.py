@@ -21,9 +21,14 @@ def norm(v: Column, p: int = 2) -> Column:
     return total(F.transform(v, F.abs)) if p == 1 else F.sqrt(total(F.transform(v, lambda x: x * x)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, where a plain reference would be computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """v / max(|v|, 1e-12)."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(1e-12)))
+    return let(v, lambda a: let(norm(a), lambda n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1e-12)))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,14 +72,19 @@ def transe(h: Column, r: Column, t: Column, p: int = 1, normalize: bool = True)
 
 def transh(h: Column, r: Column, t: Column, normal: Column, p: int = 1) -> Column:
     """Distance after both ends are projected onto the relation's hyperplane."""
-    w = unit(normal)
-    project = lambda e: minus(e, scaled(w, dot(e, w)))
-    return transe(project(h), r, project(t), p)
+
+    def project(e: Column, w: Column) -> Column:
+        return let(dot(e, w), lambda k: F.zip_with(e, w, lambda x, y: x - k * y))
+
+    return let(unit(normal), lambda w: transe(project(h, w), r, project(t, w), p))
 
 
 def transd(h: Column, r: Column, t: Column, hp: Column, rp: Column, tp: Column, p: int = 1) -> Column:
     """Distance after projection by entity and relation vectors: e + (e . ep) rp."""
-    project = lambda e, ep: unit(plus(e, scaled(rp, dot(e, ep))))
+
+    def project(e: Column, ep: Column) -> Column:
+        return unit(let(dot(e, ep), lambda k: F.zip_with(e, rp, lambda x, y: x + k * y)))
+
     return transe(project(h, hp), r, project(t, tp), p)
 
 
