@@ -67,7 +67,8 @@ def postgres(line: Column) -> Column:
     port = F.regexp_extract(message, r"connection received: host=\S+ port=(\d+)", 1)
     statement = F.regexp_extract(message, r"(?s)^statement: (.*)$", 1)
     named = [F.when(c != "", c).alias(n) for c, n in zip(clean, ["time", "user", "database", "session", "connection", "message"], strict=True)]
-    return F.struct(*named, F.when(port != "", port).alias("port"), F.when(statement != "", statement).alias("statement"))
+    whole = F.struct(*named, F.when(port != "", port).alias("port"), F.when(statement != "", statement).alias("statement"))
+    return F.when(line.rlike(r"(?s)^(?:" + field + r",){13}"), whole)
 
 
 def redis(line: Column) -> Column:

@@ -58,6 +58,7 @@ def centre_members(assigned: DataFrame, key: str, label: str) -> DataFrame:
 
 def kmeans(vectors: DataFrame, seeds: DataFrame, key: str, label: str, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
     """(key, label, distance) after Lloyd rounds from given centres (label, vec); empty clusters keep their centre."""
+    vectors = vectors.select(key, "vec")
     centres, last = seeds, None
     for _ in range(rounds):
         assigned = stored(assign(vectors, centres, key, label))
