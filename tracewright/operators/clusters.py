@@ -278,7 +278,7 @@ def prototype_merges(prototypes: DataFrame, key: str, share: float) -> DataFrame
     np.fill_diagonal(d, np.inf)
     nearest = np.sort(d.min(1))
     limit = nearest[min(len(nearest) - 1, max(0, int(share * len(nearest)) - 1))]
-    pairs = [(listed[i][0], listed[j][0]) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= limit]
+    pairs = [(listed[i][0], listed[j][0]) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= limit + 1e-9]
     return prototypes.sparkSession.createDataFrame(pairs, schema)
 
 

@@ -489,6 +489,48 @@ def subset_graph_prune(s, d):
     return G.subset_graphs(e, "graph", ["day"]).select("day", "graph")
 
 
+@query(
+    f"""WITH {_D1}, w AS (SELECT graph_id, subject_name AS src, object_name AS dst, unit_label AS label, min(us) AS lo, max(us) AS hi FROM d
+      WHERE unit_label IS NOT NULL GROUP BY ALL),
+    c AS (SELECT d.edge_key, min(w.label) AS label FROM d JOIN w ON w.graph_id = d.graph_id AND w.src = d.subject_name AND w.dst = d.object_name
+      AND d.us BETWEEN w.lo AND w.hi WHERE d.unit_label IS NULL GROUP BY d.edge_key)
+    SELECT d.edge_key, coalesce(d.unit_label, c.label) AS label FROM d LEFT JOIN c ON c.edge_key = d.edge_key"""
+)
+def parallel_edge_claims(s, d):
+    edges = _edges(s, d).withColumnsRenamed({"subject_name": "src", "object_name": "dst", "unit_label": "label", "us": "start"})
+    return G.claim_parallel(edges, ["graph_id"], "edge_key").select("edge_key", "label")
+
+
+@query()
+def component_bridges(s, d):
+    return G.component_bridges(wcc_labels(s, d), ["graph_id"])
+
+
+@query(
+    _E + """ SELECT a.event_id, b.event_id AS app_id FROM e a JOIN e b ON a.src = b.src AND a.rel = 'click' AND b.rel = 'view'
+    AND abs(a.us - b.us) <= 3600000000"""
+)
+def window_correlate(s, d):
+    from tracewright.streaming.windows import correlate_streams
+
+    nets = _side(s, d, "click").select("event_id", "src", F.col("ts").cast("timestamp").alias("net_at"))
+    apps = _side(s, d, "view").select(F.col("event_id").alias("app_id"), "src", F.col("ts").cast("timestamp").alias("app_at"))
+    return correlate_streams(nets, apps, ["src"], "net_at", "app_at", "1 hour").select("event_id", "app_id")
+
+
+@query(
+    _E + """, x AS (SELECT src, us, CASE WHEN us - lag(us) OVER w < 7200000000 THEN 0 ELSE 1 END AS b FROM e WINDOW w AS (PARTITION BY src ORDER BY us)),
+    y AS (SELECT src, us, sum(b) OVER (PARTITION BY src ORDER BY us) AS g FROM x)
+    SELECT src, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM y GROUP BY src, g"""
+)
+def session_gaps(s, d):
+    from tracewright.streaming.windows import session_groups
+
+    e = E(s, d).select("src", F.col("ts").cast("timestamp").alias("at"))
+    done = session_groups(e, ["src"], "at", "2 hours")
+    return done.select("src", "n", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
+
+
 # ---- text ------------------------------------------------------------------------------------------
 @query(
     """SELECT app_id, min(CASE WHEN url LIKE '%?%' THEN split_part(url, '?', 1) ELSE url END) AS path,

@@ -295,7 +295,7 @@ def readout_mean_sum_max(s, d):
 @query(
     _C + """, g AS (SELECT a.label AS a, b.label AS b, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY a.label, b.label),
     m AS (SELECT a, min(d) AS m FROM g GROUP BY a), k AS (SELECT m, row_number() OVER (ORDER BY m) AS k, count(*) OVER () AS n FROM m),
-    l AS (SELECT m AS lim FROM k WHERE k = greatest(CAST(floor(0.3 * n) AS BIGINT), 1)) SELECT a, b FROM g, l WHERE a < b AND d <= lim"""
+    l AS (SELECT m AS lim FROM k WHERE k = greatest(CAST(floor(0.3 * n) AS BIGINT), 1)) SELECT a, b FROM g, l WHERE a < b AND d <= lim + 1e-9"""
 )
 def prototype_merge_pairs(s, d):
     return K.prototype_merges(K.centroids(vectors(s, d), "label"), "label", 0.3)
