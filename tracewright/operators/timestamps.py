@@ -109,7 +109,7 @@ def zone_periods(name: str) -> list[tuple[int, int, int, str]]:
 
 
 def zone_table(spark: SparkSession, names: list[str]) -> DataFrame:
-    """(tz_name, years): for each zone, the periods that touch each local year."""
+    """(tz_name, years): for each zone an array by local year, from FIRST_YEAR, of the periods that touch it."""
     rows = []
     for name in names:
         try:
@@ -122,8 +122,8 @@ def zone_table(spark: SparkSession, names: list[str]) -> DataFrame:
             last = (_EPOCH + timedelta(seconds=high - 1 + offset)).year
             for year in range(first, last + 1):
                 years.setdefault(year, []).append((low, high, offset, abbreviation))
-        rows.append((name, years))
-    schema = "tz_name string, years map<int, array<struct<lo: bigint, hi: bigint, off: int, abbr: string>>>"
+        rows.append((name, [years.get(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)]))
+    schema = "tz_name string, years array<array<struct<lo: bigint, hi: bigint, off: int, abbr: string>>>"
     return spark.createDataFrame(rows, schema)
 
 
@@ -182,17 +182,18 @@ def resolve_instants(
     )
     joined = parts.join(clocks, F.col(node) == F.col("__node"), "left").join(zones, "__tz", "left")
     span = "struct(cast(-9e15 as bigint) as lo, cast(9e15 as bigint) as hi, __fixed as off, cast(null as string) as abbr)"
-    local = f"(cast({days_from_civil('yy', '__month', '__day')} as bigint) * 86400 + __tod)"
-    periods = f"CASE WHEN __fixed IS NOT NULL THEN array({span}) WHEN __z IS NULL OR __abbr IS NOT NULL THEN try_element_at(__years, yy) END"
+    local = f"cast({days_from_civil('yy', '__month', '__day')} as bigint) * 86400 + __tod"
+    periods = f"CASE WHEN __fixed IS NOT NULL THEN array({span}) WHEN __z IS NULL OR __abbr IS NOT NULL THEN get(__years, s.y - {FIRST_YEAR}) END"
     around = f"sequence(year(timestamp_micros(__recv)) + 1, year(timestamp_micros(__recv)) - {YEARS_BACK}, -1)"
-    candidates = f"""
-        flatten(transform(
+    # The local second of each year tried is computed once; dates that a year lacks drop out.
+    tried = f"""
+        filter(transform(
             CASE WHEN NOT __ok THEN NULL WHEN __year IS NOT NULL THEN array(__year) ELSE {around} END,
-            yy -> IF(__day > {days_in_month('yy', '__month')}, array(),
-                coalesce(transform(
-                    filter({periods}, p -> {local} - p.off >= p.lo AND {local} - p.off < p.hi
-                                           AND (__abbr IS NULL OR p.abbr = __abbr)),
-                    p -> ({local} - p.off) * 1000000 + __frac), array()))))"""
+            yy -> named_struct('y', yy, 'l', IF(__day > {days_in_month('yy', '__month')}, NULL, {local}))), s -> s.l IS NOT NULL)"""
+    candidates = f"""
+        flatten(transform({tried}, s -> coalesce(transform(
+            filter({periods}, p -> s.l - p.off >= p.lo AND s.l - p.off < p.hi AND (__abbr IS NULL OR p.abbr = __abbr)),
+            p -> (s.l - p.off) * 1000000 + __frac), array())))"""
     number = """
         CASE WHEN length(__e) <= 11 THEN cast(__e as bigint) * 1000000 + coalesce(cast(rpad(substring(__g, 1, 6), 6, '0') as bigint), 0)
              WHEN length(__e) <= 14 THEN cast(__e as bigint) * 1000 + coalesce(cast(rpad(substring(__g, 1, 3), 3, '0') as bigint), 0)
@@ -210,4 +211,5 @@ def resolve_instants(
 def found_instants(records: DataFrame, nodes: DataFrame) -> DataFrame:
     """(rec_id, utc_us) of every record whose stamp names an instant."""
     resolved = resolve_instants(records.select("rec_id", "node_id", "stamp_raw", "recv_ts"), nodes)
-    return resolved.filter("utc_us is not null").groupBy("rec_id").agg(F.min("utc_us").alias("utc_us"))
+    # Filtered after the aggregate: a filter before it would be pushed down and resolve every stamp twice.
+    return resolved.groupBy("rec_id").agg(F.min("utc_us").alias("utc_us")).filter("utc_us is not null and rec_id is not null")
