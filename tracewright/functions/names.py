@@ -32,10 +32,12 @@ def file_path(path: Column) -> Column:
 
 def address(text: Column) -> Column:
     """An IP address in lower case without brackets, mapping prefix and leading zeros."""
-    cut = F.lower(F.regexp_replace(bare(text), r"^\[+|\]+$", ""))
+    plain = bare(text)
+    cut = F.lower(F.regexp_replace(plain, r"^\[+|\]+$", ""))
     cut = F.regexp_replace(cut, r"^(?:0*:)*:?(?:0+:)*ffff:(?=\d+\.\d+\.\d+\.\d+)", "")
     dotted = F.regexp_replace(cut, r"(^|\.)0+(?=\d)", "$1")
-    return F.when(cut.rlike(r"^\d+\.\d+\.\d+\.\d+$"), dotted).otherwise(cut)
+    other = F.when(cut.rlike(r"^\d+\.\d+\.\d+\.\d+$"), dotted).otherwise(cut)
+    return F.when(plain.rlike(r"^(?:[1-9]\d*|0)(?:\.(?:[1-9]\d*|0)){3}$"), plain).otherwise(other)
 
 
 def socket(name: Column) -> Column:
@@ -54,5 +56,5 @@ def call(text: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A non-negative whole number written with blanks, quotes, brackets, zeros or ``.0``, else null."""
-    cut = F.regexp_replace(text, r"""^[\s"'\[\](){}]+|[\s"'\[\](){}]+$""", "")
+    cut = F.btrim(text, F.lit(" \t\r\n\"'[](){}"))
     return F.regexp_extract(cut, r"^\+?0*(\d{1,18})(?:\.0*)?$", 1).try_cast("bigint")
