@@ -30,50 +30,46 @@ TOLERANCE_US = 2_000_000
 def trie_tables(points: DataFrame, bits: int = BITS) -> DataFrame:
     """(entity, root, nodes, before, after) from ``points`` (entity, us, id).
 
-    ``nodes`` maps length * 2^bits + prefix to (lo, hi, prev, next); prev and next are set on leaves.
+    ``nodes`` maps length * 2^bits + prefix to (lo, hi, prev, next, id): the least and greatest time
+    below the prefix, and on leaves the times beside it and the id. ``before`` and ``after`` are the
+    last (us, id) of the interval before and the first of the one after.
     """
     leaves = points.groupBy("entity", "us").agg(F.min("id").alias("id"))
-    leaf = F.struct("us", "id")
     root = F.shiftright("us", bits)
     placed = leaves.select(
         "entity", "us", "id", F.explode(F.array(*[F.struct((root + k).alias("root"), F.lit(-k).alias("side")) for k in (-1, 0, 1)])).alias("p")
     ).select("entity", "us", "id", "p.root", "p.side")
     # Partitioned once; every step below keeps this partitioning.
     placed = placed.repartition("entity", "root")
-    order = Window.partitionBy("entity", "root").orderBy("side", "us")
-    near = placed.withColumns({"prev": F.lag(leaf).over(order), "next": F.lead(leaf).over(order)})
-    ends = Window.partitionBy("entity", "root")
-    near = near.withColumns(
-        {
-            "before": F.max(F.when(F.col("side") == -1, leaf)).over(ends),
-            "after": F.min(F.when(F.col("side") == 1, leaf)).over(ends),
-        }
-    )
-    own = near.filter("side = 0")
+    own = placed.filter("side = 0")
+    order = Window.partitionBy("entity", "root").orderBy("us")
+    own = own.withColumns({"prev": F.lag("us").over(order), "next": F.lead("us").over(order)})
     low = F.col("us").bitwiseAND((1 << bits) - 1)
     levels = F.transform(
         F.sequence(F.lit(0), F.lit(bits)),
         lambda k: k.cast("bigint") * (1 << bits) + F.call_function("shiftright", low, F.lit(bits) - k),
     )
-    prefixes = own.withColumn("key", F.explode(levels))
     is_leaf = F.col("key") >= bits * (1 << bits)
-    stored = prefixes.groupBy("entity", "root", "key").agg(
-        F.min(leaf).alias("lo"),
-        F.max(leaf).alias("hi"),
-        F.first(F.when(is_leaf, F.col("prev")), True).alias("prev"),
-        F.first(F.when(is_leaf, F.col("next")), True).alias("next"),
+    # Sums and extremes of numbers only, which are combined without sorting; a leaf has one row.
+    stored = own.withColumn("key", F.explode(levels)).groupBy("entity", "root", "key").agg(
+        F.min("us").alias("lo"), F.max("us").alias("hi"), *[F.max(F.when(is_leaf, F.col(c))).alias(c) for c in ("prev", "next", "id")]
     )
     inner = stored.groupBy("entity", "root").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", F.struct("lo", "hi", "prev", "next")))).alias("nodes")
+        F.map_from_entries(F.collect_list(F.struct("key", F.struct("lo", "hi", "prev", "next", "id")))).alias("nodes")
     )
-    edges = near.groupBy("entity", "root").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    return edges.join(inner, ["entity", "root"], "left")
+    beside = placed.filter("side <> 0").groupBy("entity", "root").agg(
+        F.max(F.when(F.col("side") == -1, F.struct("us", "id"))).alias("before"), F.min(F.when(F.col("side") == 1, F.struct("us", "id"))).alias("after")
+    )
+    return inner.join(beside, ["entity", "root"], "full")
 
 
 def nearest(
     queries: DataFrame, points: DataFrame, tolerance_us: int = TOLERANCE_US, bits: int = BITS
 ) -> DataFrame:
-    """(query_id, id) from ``queries`` (entity, query_id, us, sub_ns) and ``points`` (entity, us, id)."""
+    """(query_id, id) from ``queries`` (entity, query_id, us, sub_ns) and ``points`` (entity, us, id).
+
+    Queries that come near no point of their entity have a null id or no row.
+    """
     if tolerance_us > 1 << bits:
         raise ValueError("the root interval must cover the tolerance")
     tries = trie_tables(points, bits)
@@ -84,19 +80,16 @@ def nearest(
         prefix = F.call_function("shiftright", low, F.lit(bits) - length)
         return F.try_element_at("nodes", length.cast("bigint") * (1 << bits) + prefix)
 
-    rounds = (bits + 1).bit_length()
+    def halved(s: Column) -> Column:
+        return F.call_function("shiftright", s["lo"] + s["hi"] + 1, F.lit(1))
+
     # Invariant: the prefix of length lo is stored, the one of length hi + 1 is not; -1 if none is.
     searched = F.aggregate(
-        F.sequence(F.lit(1), F.lit(rounds)),
+        F.sequence(F.lit(1), F.lit((bits + 1).bit_length())),
         F.struct(F.lit(-1).alias("lo"), F.lit(bits).alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(
-                node(F.call_function("shiftright", s["lo"] + s["hi"] + 1, F.lit(1))).isNotNull(),
-                F.struct(F.call_function("shiftright", s["lo"] + s["hi"] + 1, F.lit(1)).alias("lo"), s["hi"].alias("hi")),
-            ).otherwise(
-                F.struct(s["lo"].alias("lo"), (F.call_function("shiftright", s["lo"] + s["hi"] + 1, F.lit(1)) - 1).alias("hi"))
-            )
-        ),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s)
+        .when(node(halved(s)).isNotNull(), F.struct(halved(s).alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), (halved(s) - 1).alias("hi"))),
     )
     asked = asked.withColumn("length", F.when(F.col("nodes").isNull(), -1).otherwise(searched["lo"]))
     asked = asked.withColumn("deep", F.when(F.col("length") >= 0, node(F.col("length"))))
@@ -105,36 +98,36 @@ def nearest(
     def leaf(us: Column) -> Column:
         return F.try_element_at("nodes", F.lit(bits * (1 << bits)).cast("bigint") + us.bitwiseAND((1 << bits) - 1))
 
-    exact = F.col("length") == bits
-    below = F.when(F.col("length") < 0, F.col("before")).when(exact, F.col("deep.lo")).when(bit == 1, F.col("deep.hi"))
-    below = F.coalesce(below, leaf(F.col("deep.lo.us"))["prev"])
-    above = F.when(F.col("length") < 0, F.col("after")).when(exact, leaf(F.col("deep.hi.us"))["next"])
-    above = above.when(bit == 0, F.col("deep.lo")).otherwise(leaf(F.col("deep.hi.us"))["next"])
+    # The missing branch of the deepest node says on which side of the query all its leaves lie.
+    exact, inside = F.col("length") == bits, F.col("length") >= 0
+    below = F.when(exact | (inside & (bit == 1)), F.col("deep.hi")).when(inside, leaf(F.col("deep.lo"))["prev"])
+    above = F.when(inside & ~exact & (bit == 0), F.col("deep.lo")).when(inside, leaf(F.col("deep.hi"))["next"])
     asked = asked.withColumns({"below": below, "above": above})
+    asked = asked.withColumns(
+        {"below_us": F.coalesce("below", "before.us"), "above_us": F.coalesce("above", "after.us")}
+    )
     # Times of queries may be finer than microseconds; distances are compared in nanoseconds.
-    left = (F.col("us") - F.col("below.us")) * 1000 + F.col("sub_ns")
-    right = (F.col("above.us") - F.col("us")) * 1000 - F.col("sub_ns")
+    left = (F.col("us") - F.col("below_us")) * 1000 + F.col("sub_ns")
+    right = (F.col("above_us") - F.col("us")) * 1000 - F.col("sub_ns")
     limit = F.lit(tolerance_us * 1000)
-    taken = F.when((left <= limit) & (right.isNull() | (left <= right)), F.col("below.id")).when(
-        right <= limit, F.col("above.id")
+    side = F.when((left <= limit) & (right.isNull() | (left <= right)), 0).when(right <= limit, 1)
+    taken = F.when(side == 0, F.coalesce(leaf(F.col("below"))["id"], F.col("before.id"))).when(
+        side == 1, F.coalesce(leaf(F.col("above"))["id"], F.col("after.id"))
     )
-    return asked.select("query_id", taken.alias("id")).filter("id is not null")
+    return asked.select("query_id", taken.alias("id"))
 
 
 def packet_times(netlogs: DataFrame) -> DataFrame:
     """Packets with (us, sub_ns) from their epoch text; unusable texts give nulls."""
-    text = F.trim(F.regexp_replace("net_time", r"^[\s\"']+|[\s\"']+$", ""))
-    usable = text.rlike(r"^\d{1,11}(\.\d*)?$")
-    fraction = F.rpad(F.regexp_extract(text, r"\.(\d*)$", 1), 9, "0")
-    return netlogs.withColumns(
+    text = F.btrim("net_time", F.lit(" \t\r\n\"'"))
+    parts = netlogs.withColumn("__t", F.when(text.rlike(r"^\d{1,11}(\.\d*)?$"), text))
+    fraction = F.rpad(F.split_part("__t", F.lit("."), F.lit(2)), 9, "0")
+    return parts.withColumns(
         {
-            "us": F.when(
-                usable,
-                F.regexp_extract(text, r"^(\d+)", 1).try_cast("bigint") * 1_000_000 + F.substring(fraction, 1, 6).try_cast("bigint"),
-            ),
-            "sub_ns": F.when(usable, F.substring(fraction, 7, 3).try_cast("bigint")),
+            "us": F.split_part("__t", F.lit("."), F.lit(1)).cast("bigint") * 1_000_000 + F.substring(fraction, 1, 6).cast("bigint"),
+            "sub_ns": F.substring(fraction, 7, 3).cast("bigint"),
         }
-    )
+    ).drop("__t")
 
 
 def found_pairs(netlogs: DataFrame, apachelogs: DataFrame, workers: DataFrame) -> DataFrame:
@@ -163,4 +156,5 @@ def found_pairs(netlogs: DataFrame, apachelogs: DataFrame, workers: DataFrame) -
         .select("entity", "us", "id")
     )
     pairs = nearest(sent, served)
-    return pairs.groupBy(F.col("query_id").alias("net_id")).agg(F.min("id").alias("app_id"))
+    # Filtered after the aggregate: a filter before it would be pushed down and search every trie twice.
+    return pairs.groupBy(F.col("query_id").alias("net_id")).agg(F.min("id").alias("app_id")).filter("app_id is not null")
