@@ -49,8 +49,8 @@ def _shown(text: Column) -> Column:
     return text
 
 
-def fields(raw: Column, brackets: Column) -> Column:
-    """The fields of a row: white space separates; quoted, and where ``brackets`` bracketed, text is one field."""
+def fields(escaped: Column, brackets: Column) -> Column:
+    """The fields of a row whose escapes are resolved: white space separates; quoted, and where ``brackets`` bracketed, text is one field."""
 
     def hide(text: Column) -> Column:
         return F.translate(text, _WHITE, _HIDDEN)
@@ -66,7 +66,7 @@ def fields(raw: Column, brackets: Column) -> Column:
         )
         return F.array_join(kept, "[")
 
-    parts = F.split(_escapes(raw), '"')
+    parts = F.split(escaped, '"')
     hidden = F.transform(
         parts, lambda x, k: F.when(k % 2 == 1, hide(x)).otherwise(F.when(brackets, bracketed(x)).otherwise(x))
     )
@@ -83,10 +83,11 @@ def read_permissive(rows: DataFrame) -> DataFrame:
     """Every row under the schema, with ``corrupt_raw`` (the raw text) where it is not whole."""
     feed, raw = F.col("feed"), F.coalesce("raw", F.lit(""))
     access = F.coalesce(feed.isin(*ACCESS_FEEDS), F.lit(False))
-    quotes = F.length(_escapes(raw)) - F.length(F.replace(_escapes(raw), F.lit('"'), F.lit("")))
-    split = rows.select(
-        "row_id", "feed", "raw", access.alias("access"), (quotes % 2 == 1).alias("unpaired"), fields(raw, access).alias("f")
-    )
+    escaped = F.when(F.contains(raw, F.lit("\\")), _escapes(raw)).otherwise(raw)
+    quotes = F.length("e") - F.length(F.replace("e", F.lit('"'), F.lit("")))
+    split = rows.select("row_id", "feed", "raw", access.alias("access"), escaped.alias("e")).select(
+        "row_id", "feed", "raw", "access", (quotes % 2 == 1).alias("unpaired"), fields(F.col("e"), F.col("access")).alias("f")
+    )
     split = split.withColumn("n", F.size("f"))
 
     def at(access_name: str | None, transfer_name: str | None) -> Column:
