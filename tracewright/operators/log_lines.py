@@ -39,24 +39,24 @@ ACCESS, APACHE_ERROR, NGINX_ERROR, PG_CSV, PG_TEXT, FTP_XFER, FTP_MESSAGE = (
 LAYOUTS: dict[str, tuple[str, str]] = {
     ACCESS: (
         r"^\S+ \S+ \S+ \[0/a/0:0:0:0 [+-]0\] \S",
-        r"^(\S+) (\S+) (\S+) \[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\] "
+        r"(?s)^(\S+) (\S+) (\S+) \[(\d{2}/[A-Z][a-z]{2}/\d{4}:\d{2}:\d{2}:\d{2} [+-]\d{4})\] "
         + _QUOTED + r" (\d{3}|-) (\d+|-)(?: (.*))?$",
     ),
     APACHE_ERROR: (
         r"^\[a a 0 0:0:0(\.0)? 0\] \[",
-        r"^\[(" + _DAY + r"(?:\.\d+)? \d{4})\] \[(?:([\w.-]*):)?([A-Za-z]+\d*)\](?: \[pid (\d+)(?::tid (\d+))?\])?(?: (.*))?$",
+        r"(?s)^\[(" + _DAY + r"(?:\.\d+)? \d{4})\] \[(?:([\w.-]*):)?([A-Za-z]+\d*)\](?: \[pid (\d+)(?::tid (\d+))?\])?(?: (.*))?$",
     ),
     NGINX_ERROR: (
         r"^0/0/0 0:0:0 \[a\] 0#0:",
-        r"^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[([A-Za-z]+)\] (\d+)#(\d+): ?(?:\*(\d+) ?)?(.*)$",
+        r"(?s)^(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}) \[([A-Za-z]+)\] (\d+)#(\d+): ?(?:\*(\d+) ?)?(.*)$",
     ),
     PG_CSV: (
         r"^0-0-0 0:0:0([.,]0)? [^ ,]+,",
-        r"^(" + _ISO + r"),((?:" + _CSV + r",){10})([A-Z]+\d*),(.*)$",
+        r"(?s)^(" + _ISO + r"),((?:" + _CSV + r",){10})([A-Z]+\d*),(.*)$",
     ),
     PG_TEXT: (
         r"^0-0-0 0:0:0([.,]0)? \S+ \[0\] \S+@",
-        r"^(" + _ISO + r") \[(\d+)\] ([^\s@]*)@(\S*) ([A-Z]+\d*): +(.*)$",
+        r"(?s)^(" + _ISO + r") \[(\d+)\] ([^\s@]*)@(\S*) ([A-Z]+\d*): +(.*)$",
     ),
     FTP_XFER: (
         r"^a a 0 0:0:0 0 0( |$)",
@@ -64,7 +64,7 @@ LAYOUTS: dict[str, tuple[str, str]] = {
     ),
     FTP_MESSAGE: (
         r"^a 0 0:0:0 \S+ a\[0\]: a: ?",
-        r"^([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) proftpd\[(\d+)\]: ([A-Za-z]+\d*): ?(.*)$",
+        r"(?s)^([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) proftpd\[(\d+)\]: ([A-Za-z]+\d*): ?(.*)$",
     ),
 }
 
