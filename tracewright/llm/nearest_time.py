@@ -27,8 +27,8 @@ BITS = 21
 TOLERANCE_US = 2_000_000
 
 
-def trie_tables(points: DataFrame, bits: int = BITS) -> DataFrame:
-    """(entity, root, nodes, before, after) from ``points`` (entity, us, id).
+def trie_tables(points: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """(entity, root, nodes) and (entity, root, before, after) from ``points`` (entity, us, id).
 
     ``nodes`` maps length * 2^bits + prefix to (lo, hi, prev, next, id): the least and greatest time
     below the prefix, and on leaves the times beside it and the id. ``before`` and ``after`` are the
@@ -60,7 +60,7 @@ def trie_tables(points: DataFrame, bits: int = BITS) -> DataFrame:
     beside = placed.filter("side <> 0").groupBy("entity", "root").agg(
         F.max(F.when(F.col("side") == -1, F.struct("us", "id"))).alias("before"), F.min(F.when(F.col("side") == 1, F.struct("us", "id"))).alias("after")
     )
-    return inner.join(beside, ["entity", "root"], "full")
+    return inner, beside
 
 
 def nearest(
@@ -72,8 +72,10 @@ def nearest(
     """
     if tolerance_us > 1 << bits:
         raise ValueError("the root interval must cover the tolerance")
-    tries = trie_tables(points, bits)
-    asked = queries.withColumn("root", F.shiftright("us", bits)).join(tries, ["entity", "root"])
+    # Both tables are joined from the queries' side, so that neither has to be moved again for it.
+    tries, beside = trie_tables(points, bits)
+    rooted = queries.withColumn("root", F.shiftright("us", bits))
+    asked = rooted.join(tries, ["entity", "root"], "left").join(beside, ["entity", "root"], "left")
     low = F.col("us").bitwiseAND((1 << bits) - 1)
 
     def node(length: Column) -> Column:
