@@ -112,3 +112,12 @@ def test_encoders(spark):
     assert N.explain_graphs(nodes, edges, "g", np.array([9.0, 3.0]), 2).count() == 1
     assert N.agglomerative(nodes, ["g"], "node", 2).select("cluster").distinct().count() == 2
     assert N.class_connections([0, 1], 2).tolist() == [[1, -0.5], [-0.5, 1]]
+
+
+def test_clustream_keeps_few_clusters(spark):
+    frame, rows = vectors(spark, 120)
+    micro = K.clustream(frame.withColumn("g", F.lit(1)), ["g"], ["id"], m=10, horizon=400)
+    got = micro.collect()
+    assert 3 <= len(got) <= 10 and sum(r.weight for r in got) == 120
+    centres = np.array([r.vec for r in got])
+    assert all(np.abs(centres - 3 * k).max(1).min() < 1 for k in range(3))

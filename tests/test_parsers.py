@@ -66,3 +66,11 @@ def test_readers(spark, tmp_path):
     rows = readers.packets(spark, str(tmp_path / "p.json")).collect()
     assert [(r.src_ip, r.dst_port, r.method, r.uri) for r in rows] == [("a", "2", "GET", "/")]
     assert readers.parameter_grid(spark, {"lr": [1, 2], "dim": [3]}).count() == 2
+
+
+def test_process_samples(spark):
+    import os
+
+    rows = readers.process_samples(spark, os.getpid(), 0.01, 3).collect()
+    assert len(rows) == 3 and all(r.memory_mb > 0 for r in rows)
+    assert readers.process_samples(spark, 2**22 + 1, 0.01, 3).count() == 0

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -264,6 +264,74 @@ def denstream(vectors: DataFrame, keys: list[str], order: list[str], eps: float,
     return ordered.mapInPandas(fold, schema)
 
 
+class FeatureVectors:
+    """CluStream: at most ``m`` micro-clusters of a stream as counts, sums, squares and times."""
+
+    def __init__(self, m: int, horizon: int, factor: float = 2.0) -> None:
+        self.m, self.horizon, self.factor = m, horizon, factor
+        self.now = 0
+        self.held: list[list] = []  # [n, sum, squares, sum of times]
+
+    def add(self, x: np.ndarray) -> None:
+        self.now += 1
+        if self.held:
+            centres = np.stack([c[1] / c[0] for c in self.held])
+            gaps = np.sqrt(((centres - x) ** 2).sum(1))
+            k = int(gaps.argmin())
+            n, total, squares, _ = self.held[k]
+            if n > 1:
+                reach = self.factor * float(np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0).sum()))
+            else:  # a single vector reaches half way to its neighbour
+                others = np.sqrt(((np.delete(centres, k, 0) - centres[k]) ** 2).sum(1))
+                reach = float(others.min()) / 2 if len(others) else 0.0
+            if gaps[k] <= reach:
+                c = self.held[k]
+                self.held[k] = [c[0] + 1, c[1] + x, c[2] + x * x, c[3] + self.now]
+                return
+        self.held.append([1, x.astype(float), (x * x).astype(float), self.now])
+        if len(self.held) > self.m:
+            self._make_room()
+
+    def _make_room(self) -> None:
+        """Drop the cluster whose mean time is oldest and past the horizon, else join the two nearest."""
+        ages = [self.now - c[3] / c[0] for c in self.held]
+        k = int(np.argmax(ages))
+        if ages[k] > self.horizon:
+            self.held.pop(k)
+            return
+        centres = np.stack([c[1] / c[0] for c in self.held])
+        d = ((centres[:, None] - centres[None]) ** 2).sum(2)
+        np.fill_diagonal(d, np.inf)
+        i, j = sorted(divmod(int(d.argmin()), len(centres)))
+        b = self.held.pop(j)
+        self.held[i] = [x + y for x, y in zip(self.held[i], b, strict=True)]
+
+
+def clustream(vectors: DataFrame, keys: list[str], order: list[str], m: int = 256, horizon: int = 400) -> DataFrame:
+    """(keys, micro, vec, weight): micro-cluster centres of each stream, to be clustered further by k-means."""
+    ordered = vectors.select(*keys, *order, "vec").repartition(*keys).sortWithinPartitions(*keys, *order)
+    schema = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", micro int, vec array<double>, weight double"
+
+    def out(key: tuple, state: FeatureVectors) -> pd.DataFrame:
+        rows = [(*key, k, (c[1] / c[0]).tolist(), float(c[0])) for k, c in enumerate(state.held)]
+        return pd.DataFrame(rows, columns=[*keys, "micro", "vec", "weight"])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            columns = [batch[c].tolist() for c in keys]
+            for k, vec in zip(zip(*columns, strict=True), batch["vec"], strict=True):
+                if k != current:
+                    if state is not None:
+                        yield out(current, state)
+                    current, state = k, FeatureVectors(m, horizon)
+                state.add(np.asarray(vec, float))
+        if state is not None:
+            yield out(current, state)
+
+    return ordered.mapInPandas(fold, schema)
+
+
 def prototype_merges(prototypes: DataFrame, key: str, share: float) -> DataFrame:
     """(a, b) prototypes nearer than the k-th smallest nearest distance; prototypes are a bounded set."""
     listed = prototypes.select(key, "vec").limit(10_001).collect()
@@ -302,7 +370,7 @@ def prototype_scores(vectors: DataFrame, prototypes: DataFrame, key: str, temper
     return vectors.select(key, score("vec").alias("score"))
 
 
-def z_sum(rows: DataFrame, scores: list[str]) -> Column | DataFrame:
+def z_sum(rows: DataFrame, scores: list[str]) -> DataFrame:
     """Rows with the sum of their z-scored columns; a column without spread counts 0."""
     stats = rows.agg(*[e for c in scores for e in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
     parts = [((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"])) if stats[f"s_{c}"] else F.lit(0.0) for c in scores]

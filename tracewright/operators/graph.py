@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions import names
 from tracewright.session import durable
 
 #: Texts whose presence makes a node noise (fixed values), and names that are noise as a whole.
@@ -265,8 +264,3 @@ def subset_graphs(edges: DataFrame, graph: str, keys: list[str]) -> DataFrame:
     counted = shared.groupBy(*keys, "__g", "__e").agg(F.count(F.lit(1)).alias("c"))
     full = counted.join(size.withColumnRenamed(graph, "__g"), [*keys, "__g"]).filter("c = n")
     return full.select(*keys, F.col("__g").alias(graph)).distinct()
-
-
-def canonical_socket_edges(edges: DataFrame) -> DataFrame:
-    """Edges with ends written one way."""
-    return edges.withColumns({"src": names.bare(F.col("src")), "dst": names.bare(F.col("dst"))})

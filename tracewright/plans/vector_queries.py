@@ -333,6 +333,11 @@ def denstream_fold(s, d):
     return K.denstream(vectors(s, d), ["label"], ["vec_id"], 1.5, 0.5, 3.0, 0.01)
 
 
+@query()
+def clustream_micro(s, d):
+    return K.clustream(vectors(s, d), ["label"], ["vec_id"], 32, 400)
+
+
 @query(_V + ", z AS (SELECT stddev_pop(x) AS a, stddev_pop(x * x) AS b FROM v) SELECT round(sqrt(a) / (sqrt(a) + sqrt(b)), 6) AS x, round(sqrt(b) / (sqrt(a) + sqrt(b)), 6) AS y FROM z")
 def adaptive_loss_weights(s, d):
     v = vectors(s, d).select(F.explode("vec").alias("x")).withColumn("y", F.col("x") * F.col("x"))

@@ -113,3 +113,25 @@ def parameter_grid(spark: SparkSession, values: dict[str, list]) -> DataFrame:
     from itertools import product
 
     return spark.createDataFrame([tuple(str(v) for v in row) for row in product(*values.values())], list(values))
+
+
+def process_samples(spark: SparkSession, pid: int, every: float, samples: int) -> DataFrame:
+    """(at, cpu_percent, memory_mb) of a process of the driver's machine, until it ends or the samples are full."""
+    import os
+    import time
+
+    ticks, page = os.sysconf("SC_CLK_TCK"), os.sysconf("SC_PAGE_SIZE")
+    rows: list[tuple[float, float, float]] = []
+    last: tuple[float, float] | None = None
+    for _ in range(samples):
+        try:
+            with open(f"/proc/{pid}/stat") as f:
+                fields = f.read().rpartition(")")[2].split()
+        except OSError:
+            break
+        now, used = time.time(), (int(fields[11]) + int(fields[12])) / ticks
+        share = 100 * (used - last[1]) / (now - last[0]) if last and now > last[0] else 0.0
+        rows.append((now, share, int(fields[21]) * page / 1e6))
+        last = (now, used)
+        time.sleep(every)
+    return spark.createDataFrame(rows, "at double, cpu_percent double, memory_mb double")
