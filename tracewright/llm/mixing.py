@@ -29,7 +29,7 @@ from tracewright.llm.bpe import VOCABULARY, count_tokens
 from tracewright.session import stored
 
 BLOCK_TOKENS, MAX_BLOCKS = 1 << 16, 1 << 16
-SHARD_TOKENS, MAX_SHARDS = 1 << 21, 4096
+SHARD_TOKENS, MAX_SHARDS = 1 << 21, 1 << 14
 MAX_TARGETS = 10_000
 SEED = 20_240_301
 
