@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.session import stored
+
 #: A CSV field; possessive, so that long fields cannot exhaust the stack.
 _CSV = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
 #: A quoted text with backslash escapes.
@@ -147,8 +149,10 @@ def line_component(layout: Column, line: Column) -> Column:
     )
 
 
-def attach_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: int = MAX_SHAPES) -> DataFrame:
-    """Every line of an entry with ``entry_no``, the line number its entry opens at."""
+def attach_lines(
+    lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: int = MAX_SHAPES, text: bool = True
+) -> DataFrame:
+    """Every line of an entry with ``entry_no``, the line number its entry opens at; without its text if not wanted."""
     known = classify_lines(lines, max_shapes)
     known = known.withColumns(
         {
@@ -157,6 +161,8 @@ def attach_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: i
             "block": F.floor(F.col("line_no") / block_lines),
         }
     )
+    # Written once: blocks are summarised and scanned from this table, and patterns run once a line.
+    known = stored(known if text else known.drop("line"))
     inside = Window.partitionBy("stream_id", "block").orderBy("line_no", "line_id")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     known = known.withColumn("previous", F.lag("line_no").over(inside)).filter(
@@ -199,24 +205,26 @@ def attach_lines(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: i
     return (
         joined.withColumn("entry_no", F.coalesce(here, F.col("carried")))
         .filter("entry_no is not null")
-        .select("stream_id", "entry_no", "line_no", "line_id", "line", "starts", "layout", "lvl", "component")
+        .select("stream_id", "entry_no", "line_no", "line_id", *["line"] * text, "starts", "layout", "lvl", "component")
     )
 
 
+def _opening(name: str) -> Column:
+    return F.max(F.when(F.col("starts"), F.col(name))).alias(name)
+
+
 def parse_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: int = MAX_SHAPES) -> DataFrame:
     """One row per log entry: position, layout, timestamp text, level, component, message and fields."""
     attached = attach_lines(lines, block_lines, max_shapes)
-
-    def opening(name: str) -> Column:
-        return F.max(F.when(F.col("starts"), F.col(name))).alias(name)
+    opening = _opening
 
     entries = attached.groupBy("stream_id", "entry_no").agg(
         F.min_by("line_id", "line_no").alias("first_line_id"),
         F.max_by("line_id", "line_no").alias("last_line_id"),
         F.count(F.lit(1)).alias("n_lines"),
-        opening("layout"),
-        opening("lvl"),
-        opening("component"),
+        _opening("layout"),
+        _opening("lvl"),
+        _opening("component"),
         F.max(F.when(F.col("starts"), F.col("line"))).alias("head"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"),
     )
@@ -260,4 +268,10 @@ def parse_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes:
 
 def found_entries(lines: DataFrame) -> DataFrame:
     """Entries reduced to first line, last line, level and component."""
-    return parse_entries(lines).select("first_line_id", "last_line_id", "lvl", "component")
+    entries = attach_lines(lines, text=False).groupBy("stream_id", "entry_no").agg(
+        F.min_by("line_id", "line_no").alias("first_line_id"),
+        F.max_by("line_id", "line_no").alias("last_line_id"),
+        _opening("lvl"),
+        _opening("component"),
+    )
+    return entries.select("first_line_id", "last_line_id", "lvl", "component")
