@@ -98,7 +98,9 @@ def resolve_signatures(lines: DataFrame, max_shapes: int = MAX_SHAPES) -> DataFr
     layout = F.coalesce(
         *[F.when(F.col("shape").rlike(pattern), F.lit(name)) for name, (pattern, _) in LAYOUTS.items()]
     )
-    shapes = lines.select("shape").distinct().withColumn("layout", layout).filter("layout is not null")
+    # The layout depends on the count, so the filter stays above the aggregate and runs once a shape.
+    shapes = lines.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).withColumn("layout", F.when(F.col("n") > 0, layout))
+    shapes = shapes.filter("layout is not null").select("shape", "layout")
     found = shapes.limit(max_shapes + 1).collect()
     if len(found) > max_shapes:
         return shapes
