@@ -48,3 +48,11 @@ def test_documents(spark, reference):
     assert [r.text for r in bpe.decode_documents(encoded).collect()] == [t or "" for _, t in rows]
     assert [r.n_tokens for r in bpe.count_tokens(documents, ["doc_id"]).collect()] == [len(ids) for _, ids in got]
     assert bpe.encode_documents(documents.limit(0)).count() == 0
+
+
+def test_ascii_pattern_splits_alike():
+    coder, rng = bpe.encoder(), random.Random(9)
+    signs = "".join(map(chr, range(128))) + " \n\t" * 10
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 60)))
+        assert coder.split_ascii(text) == coder.split_any(text) and "".join(coder.findall(text)) == text

@@ -16,6 +16,7 @@ empty table gives no rows. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: The split pattern of the byte-level BPE (fixed value of the tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same pattern for ASCII texts, whose classes the faster built-in module can express.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Pieces remembered by a worker, and the longest piece that is remembered.
 MEMO_PIECES, MEMO_CHARS = 200_000, 40
 #: Documents whose ids are handed back together, which bounds a worker's memory.
@@ -78,9 +81,13 @@ class Encoder:
         self.offsets = np.zeros(top + 1, np.int64)
         self.offsets[1:] = np.cumsum([self.length.get(i, 0) for i in range(top)])
         self.blob = b"".join(self.bytes_of.get(i, b"") for i in range(top))
-        self.findall = regex.compile(PATTERN).findall
+        self.split_any, self.split_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.memo = _Memo(self)
 
+    def findall(self, text: str) -> list[str]:
+        """The pieces of a text; together they are the text."""
+        return self.split_ascii(text) if text.isascii() else self.split_any(text)
+
     def _prefix(self, token: bytes) -> int | None:
         """The longest token that is a proper prefix."""
         for end in range(len(token) - 1, 0, -1):
