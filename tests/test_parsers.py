@@ -74,3 +74,27 @@ def test_process_samples(spark):
     rows = readers.process_samples(spark, os.getpid(), 0.01, 3).collect()
     assert len(rows) == 3 and all(r.memory_mb > 0 for r in rows)
     assert readers.process_samples(spark, 2**22 + 1, 0.01, 3).count() == 0
+
+
+def test_proftpd_rows_with_quotes_and_white_space(spark, tmp_path):
+    from tracewright.plans import log_queries
+
+    rest = "b _ o r user ftp 0 * RETR"
+    raws = {
+        1: f"Fri Mar 01 10:00:00 2024 1 10.1.1.1 99 /f.txt {rest}",
+        2: f'Mon Jan 01 10:00:00 2024 1 10.1.1.1 99 "/pub/a b.php" {rest}\r',
+        3: f'Mon  Jan\t1 10:00:00 2024  1 10.1.1.1 99 "/pub/\\"q\\" \\\\x" {rest}  ',
+        4: f'Mon Jan 01 10:00:00 2024 1 10.1.1.1 99 "/pub/a b.php {rest}',
+        5: "too few",
+        6: None,
+    }
+    rows = [(k, "ProftpdLog", raw) for k, raw in raws.items()] + [(2, "ProftpdLog", raws[2]), (7, "PhpLog", raws[1])]
+    spark.createDataFrame(rows, "row_id bigint, feed string, raw string").write.parquet(str(tmp_path / "accessrows.parquet"))
+    got = {r.row_id: (r.time, r.host, r.file, r.transfer_status, r.ftp_command) for r in log_queries.proftpd_fields(spark, str(tmp_path)).collect()}
+    same = ("10.1.1.1", "_", "RETR")
+    assert got == {
+        1: ("Fri Mar 01 10:00:00 2024", same[0], "/f.txt", *same[1:]),
+        2: ("Mon Jan 01 10:00:00 2024", same[0], "/pub/a b.php", *same[1:]),
+        3: ("Mon Jan 1 10:00:00 2024", same[0], '/pub/"q" \\x', *same[1:]),
+        4: (None,) * 5, 5: (None,) * 5, 6: (None,) * 5,
+    }

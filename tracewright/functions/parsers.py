@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.operators import bad_rows
+
 _QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 _COMMON = r"^(\S+) (\S+) (\S+) \[([^\]]+)\] " + _QUOTED + r" (\S+) (\S+)"
 
@@ -95,10 +97,22 @@ def imagemagick(line: Column) -> Column:
     return F.when(found["path"].isNotNull() & (found["path"] != "PNG"), found)
 
 
+def _values(line: Column, brackets: bool) -> tuple[Column, Column]:
+    """The values of a row's fields, read as ``bad_rows`` reads them, and whether its double quotes are paired."""
+    escaped = bad_rows._escapes(line)
+    paired = F.length(F.regexp_replace(escaped, '[^"]', "")) % 2 == 0
+    return F.transform(bad_rows.fields(escaped, F.lit(brackets)), bad_rows.value), paired
+
+
 def proftpd(line: Column) -> Column:
-    """Transfer line of 18 tokens."""
-    names = ["time", "duration", "host", "transfer_size", "file", "transfer_type", "transfer_status", "direction", "mode", "user", "service", "offset", "hash", "ftp_command"]
-    return struct_of(line, r"^(\S+ +\S+ +\d+ \S+ \d{4}) +" + r"\s+".join([r"(\S+)"] * 13) + r"\s*$", names)
+    """Transfer line of 18 fields: white space separates, quoted text is one field; the first five are the time, a date."""
+    names = ["duration", "host", "transfer_size", "file", "transfer_type", "transfer_status", "direction", "mode", "user", "service", "offset", "hash", "ftp_command"]
+    values, paired = _values(line, False)
+    time = F.array_join(F.slice(values, 1, 5), " ")
+    read = F.when(paired & (F.size(values) == 18) & time.rlike(r"^\S+ \S+ \d+ \S+ \d{4}$"), values)
+    at = lambda k: F.get(read, F.lit(k))
+    found = [F.when(at(k + 5) != "", at(k + 5)).alias(n) for k, n in enumerate(names)]
+    return F.struct(F.when(read.isNotNull(), time).alias("time"), *found)
 
 
 #: Layouts of text captures, tried in order (name of the group list by position).

@@ -75,7 +75,8 @@ _F = r"^([A-Z][a-z][a-z] [A-Z][a-z][a-z] [0-9][0-9] [^ ]+ [0-9][0-9][0-9][0-9])
     split_part(raw, ' ', 9) AS file, split_part(raw, ' ', 11) AS transfer_status, split_part(raw, ' ', 18) AS ftp_command FROM r"""
 )
 def proftpd_fields(s, d):
-    rows = table(s, d, "accessrows").filter("feed = 'ProftpdLog'").select("row_id", F.rtrim("raw", F.lit("\r")).alias("raw")).distinct().filter(F.col("raw").rlike(_F))
+    """Every row of the feed; rows that are no transfer line (field count, quoting) have null fields."""
+    rows = table(s, d, "accessrows").filter("feed = 'ProftpdLog'").select("row_id", F.rtrim("raw", F.lit("\r")).alias("raw")).distinct()
     keep = ["time", "host", "transfer_size", "file", "transfer_status", "ftp_command"]
     return rows.withColumn("f", parsers.proftpd(F.col("raw"))).select("row_id", *[F.col(f"f.{c}") for c in keep])
 
