@@ -98,3 +98,27 @@ def test_proftpd_rows_with_quotes_and_white_space(spark, tmp_path):
         3: ("Mon Jan 1 10:00:00 2024", same[0], '/pub/"q" \\x', *same[1:]),
         4: (None,) * 5, 5: (None,) * 5, 6: (None,) * 5,
     }
+
+
+def test_apache_rows_with_escapes_and_white_space(spark, tmp_path):
+    from tracewright.plans import log_queries
+
+    head, tail = "10.0.0.5 - - [01/Mar/2024:10:00:00 +0800]", "404 51"
+    raws = {
+        1: f'{head} "GET /a HTTP/1.1" 200 51 - 10.0.0.9 80 42',
+        2: f'{head} "GET /x.php?q=\\"a\\" HTTP/1.1" {tail}',
+        3: f'{head}\t"GET  /a b HTTP/1.1"   404\t51  \r',
+        4: f'{head} "GET /a HTTP/1.1 {tail}',
+        5: f'{head} "GET /a HTTP/1.1" 304 51 - 443 10659',
+        6: None,
+    }
+    rows = [(k, "ApacheLog", raw) for k, raw in raws.items()] + [(2, "ApacheLog", raws[2])]
+    spark.createDataFrame(rows, "row_id bigint, feed string, raw string").write.parquet(str(tmp_path / "accessrows.parquet"))
+    got = {r.row_id: (r.host, r.response_code, r.transfer_size, r.dst_ip, r.pid, r.method) for r in log_queries.apache_fields(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("10.0.0.5", "200", "51", "10.0.0.9", "42", "GET"), 2: ("10.0.0.5", "404", "51", None, None, "GET"),
+        3: ("10.0.0.5", "404", "51", None, None, "GET"), 4: (None,) * 6, 5: (None,) * 6, 6: (None,) * 6,
+    }
+    request = spark.range(1).select(parsers.apache(F.lit(raws[2])).alias("f")).first().f
+    assert (request.request, request.url) == ('GET /x.php?q="a" HTTP/1.1', '/x.php?q="a"')
+    assert {r.host: (r.n, r.failed) for r in log_queries.host_activity(spark, str(tmp_path)).collect()} == {"10.0.0.5": (3, 2), None: (3, 0)}

@@ -33,10 +33,24 @@ def request_parts(request: Column) -> list[Column]:
     return pick(request, r"^(\S+) (.*?)(?: (HTTP/[\d.]+))?$", ["method", "url", "protocol"])
 
 
+def _values(line: Column, brackets: bool) -> tuple[Column, Column]:
+    """The values of a row's fields, read as ``bad_rows`` reads them, and whether its double quotes are paired."""
+    escaped = bad_rows._escapes(line)
+    paired = F.length(F.regexp_replace(escaped, '[^"]', "")) % 2 == 0
+    return F.transform(bad_rows.fields(escaped, F.lit(brackets)), bad_rows.value), paired
+
+
 def apache(line: Column) -> Column:
-    """Access line: host, identity, user, time, request, code, size, then optionally destination ip, port and pid."""
-    base = pick(line, _COMMON + r"(?: - (\S+))?(?: (\S+))?(?: (\S+))?$", ["host", "identity", "user", "time", "request", "response_code", "transfer_size", "dst_ip", "dst_port", "pid"])
-    return F.struct(*base, *request_parts(F.regexp_extract(line, _COMMON, 5)))
+    """Access line: host, identity, user, [time], request, code, size, then optionally a dash, destination ip, port and pid.
+
+    7 or 11 fields; white space separates, quoted and bracketed text is one field, escapes are resolved.
+    """
+    values, paired = _values(line, True)
+    bracketed = F.get(bad_rows.fields(bad_rows._escapes(line), F.lit(True)), F.lit(3)).rlike(r"^\[.*\]$")
+    read = F.when(paired & F.size(values).isin(7, 11) & bracketed, values)
+    places = {"host": 0, "identity": 1, "user": 2, "time": 3, "request": 4, "response_code": 5, "transfer_size": 6, "dst_ip": 8, "dst_port": 9, "pid": 10}
+    at = lambda k: F.get(read, F.lit(k))
+    return F.struct(*[F.when(at(k) != "", at(k)).alias(n) for n, k in places.items()], *request_parts(at(4)))
 
 
 def nginx(line: Column) -> Column:
@@ -97,13 +111,6 @@ def imagemagick(line: Column) -> Column:
     return F.when(found["path"].isNotNull() & (found["path"] != "PNG"), found)
 
 
-def _values(line: Column, brackets: bool) -> tuple[Column, Column]:
-    """The values of a row's fields, read as ``bad_rows`` reads them, and whether its double quotes are paired."""
-    escaped = bad_rows._escapes(line)
-    paired = F.length(F.regexp_replace(escaped, '[^"]', "")) % 2 == 0
-    return F.transform(bad_rows.fields(escaped, F.lit(brackets)), bad_rows.value), paired
-
-
 def proftpd(line: Column) -> Column:
     """Transfer line of 18 fields: white space separates, quoted text is one field; the first five are the time, a date."""
     names = ["duration", "host", "transfer_size", "file", "transfer_type", "transfer_status", "direction", "mode", "user", "service", "offset", "hash", "ftp_command"]

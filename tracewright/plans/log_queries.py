@@ -43,8 +43,7 @@ _ACCESS = f"""WITH r AS (SELECT * FROM (SELECT DISTINCT row_id, rtrim(raw, chr(1
 
 
 def _access_rows(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "accessrows").filter("feed = 'ApacheLog'").select("row_id", F.rtrim("raw", F.lit("\r")).alias("raw")).distinct()
-    return rows.filter(F.col("raw").rlike(_A))
+    return table(s, d, "accessrows").filter("feed = 'ApacheLog'").select("row_id", F.rtrim("raw", F.lit("\r")).alias("raw")).distinct()
 
 
 @query(
@@ -52,6 +51,7 @@ def _access_rows(s: SparkSession, d: str) -> DataFrame:
     {_end(2)} AS dst_port, {_end(3)} AS pid, nullif(split_part({_ex(5)}, ' ', 1), '') AS method FROM r"""
 )
 def apache_fields(s, d):
+    """Every row of the feed; rows that are no access line (field count, quoting, time) have null fields."""
     fields = parsers.apache(F.col("raw"))
     keep = ["host", "time", "response_code", "transfer_size", "dst_ip", "dst_port", "pid", "method"]
     return _access_rows(s, d).withColumn("f", fields).select("row_id", *[F.col(f"f.{c}") for c in keep])
@@ -62,8 +62,10 @@ def apache_fields(s, d):
     SELECT host, count(*) AS n, sum(CASE WHEN code >= '400' THEN 1 ELSE 0 END) AS failed FROM p GROUP BY host"""
 )
 def host_activity(s, d):
+    """Rows and failures per host; the null host counts the rows that are no access line."""
     f = apache_fields(s, d)
-    return f.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("response_code") >= "400").cast("bigint")).alias("failed"))
+    failed = F.coalesce((F.col("response_code") >= "400").cast("bigint"), F.lit(0).cast("bigint"))
+    return f.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(failed).alias("failed"))
 
 
 _F = r"^([A-Z][a-z][a-z] [A-Z][a-z][a-z] [0-9][0-9] [^ ]+ [0-9][0-9][0-9][0-9]) ([^ ]+) ([^ ]+) ([^ ]+) ([^ \"\\]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+)$".replace('\\"', '"')
