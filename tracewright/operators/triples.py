@@ -173,19 +173,34 @@ def corrupt(facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | No
     return kept.select("h", "r", "t", "draw", "x.nh", "x.nt")
 
 
+def _marks_up_to(asks: DataFrame, marks: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """``asks`` with ``n_marks``: how many ``marks`` of the same keys have an ``at`` up to (``strict``: before) the row's own."""
+    both = asks.withColumn("__k", F.lit(1)).unionByName(marks.select(*keys, "at").withColumn("__k", F.lit(2 if strict else 0)), True)
+    order = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("n_marks", F.sum((F.col("__k") != 1).cast("bigint")).over(order)).filter("__k = 1").drop("__k")
+
+
 def constrained_tails(facts: DataFrame, ratio: int) -> DataFrame:
-    """Corruption by tails the relation was seen with: the k-th next of them in id order that is unknown for the head."""
-    tails = facts.select("r", "t").distinct()
-    ranked = tails.withColumn("rank", F.row_number().over(Window.partitionBy("r").orderBy("t")))
+    """Corruption by tails the relation was seen with: the k-th next of them in id order that is unknown for the head.
+
+    The order is cyclic, so draws repeat only where there are fewer unknown tails than ``ratio``; a head
+    that knows every tail of the relation has no negatives. The place of an unknown tail is its number
+    among the unknown ones plus the known ones before it, which one sorted pass counts.
+    """
+    once = facts.select("h", "r", "t").filter("r is not null and t is not null").distinct()
+    tails = once.select("r", "t").distinct()
+    places = tails.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy("t")).cast("bigint") - 1)
     size = tails.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    spread = (
-        facts.select("h", "r", "t").distinct().join(ranked, ["r", "t"]).join(size, "r")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
-        .withColumn("want", F.pmod(F.col("rank") - 1 + F.col("draw"), F.col("n")) + 1)
+    own = Window.partitionBy("h", "r")
+    placed = once.join(places, ["r", "t"]).join(size, "r").withColumns({
+        "at": F.col("place") - F.row_number().over(own.orderBy("place")) + 1, "free": F.col("n") - F.count(F.lit(1)).over(own)
+    })
+    asks = (
+        placed.filter("free > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(ratio))))
+        .select("h", "r", "t", "draw", F.pmod(F.col("at") + F.col("draw") - 1, F.col("free")).alias("at"))
     )
-    moved = spread.join(ranked.select("r", F.col("t").alias("nt"), F.col("rank").alias("want")), ["r", "want"])
-    known = facts.select("h", "r", F.col("t").alias("nt")).distinct()
-    return moved.join(known, ["h", "r", "nt"], "left_anti").select("h", "r", "t", "draw", "nt")
+    counted = _marks_up_to(asks, placed, ["h", "r"]).withColumn("place", F.col("at") + F.col("n_marks"))
+    return counted.join(places.withColumnRenamed("t", "nt"), ["r", "place"]).select("h", "r", "t", "draw", "nt")
 
 
 def weighted_relations(facts: DataFrame, weights: DataFrame, temperature: float = 1.0) -> DataFrame:
