@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tracewright.operators import triples as T
 
 
@@ -21,3 +23,23 @@ def test_constrained_tails_gives_every_draw(spark):
         expected += [(h, r, t, draw, unknown[(draw - 1) % len(unknown)]) for draw in (1, 2, 3) if unknown]
     got = T.constrained_tails(spark.createDataFrame(facts * 2, "h bigint, r string, t bigint"), 3).collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_corrupt_gives_every_draw_a_false_fact(spark):
+    rng = random.Random(2)
+    n, tries = 12, 2
+    # Dense, so that tries are mostly known; head 3 knows every tail.
+    facts = sorted({(rng.randrange(n), "r", rng.randrange(n)) for _ in range(400)} - {(0, "r", 0)} | {(3, "r", t) for t in range(n)})
+    entities = spark.createDataFrame([(k, k) for k in range(n)], "id bigint, index bigint")
+    pick = F.pmod(F.col("h") * 5 + F.col("t") * 3 + F.col("draw") + F.col("try"), F.lit(n))
+    got = T.corrupt(spark.createDataFrame(facts, "h bigint, r string, t bigint"), entities, 2, pick, tries).collect()
+    expected = []
+    for h, r, t in facts:
+        for draw in (1, 2):
+            made = [(e, r, t) if draw % 2 == 0 else (h, r, e) for e in range(n)]
+            order = [(h * 5 + t * 3 + draw + k) % n for k in range(tries)]
+            order += [(order[-1] + k) % n for k in range(n)]
+            false = [made[e] for e in order if made[e] not in facts]
+            expected += [(h, r, t, draw, false[0][0], false[0][2])] if false else []
+    assert sorted(map(tuple, got)) == sorted(expected)
+    assert not any(row.h == 3 and row.draw == 1 for row in got)

@@ -153,31 +153,56 @@ def frontier_snapshots(facts: DataFrame, size: int, steps: int = 4, seed: int =
     return taken.union(rest).drop("__x")
 
 
+def _marks_up_to(asks: DataFrame, marks: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+    """``asks`` with ``n_marks``: how many ``marks`` of the same keys have an ``at`` up to (``strict``: before) the row's own."""
+    both = asks.withColumn("__k", F.lit(1)).unionByName(marks.select(*keys, "at").withColumn("__k", F.lit(2 if strict else 0)), True)
+    order = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("n_marks", F.sum((F.col("__k") != 1).cast("bigint")).over(order)).filter("__k = 1").drop("__k")
+
+
 def corrupt(facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | None = None, tries: int = 4) -> DataFrame:
     """Filtered corruption: ``ratio`` false facts a fact, head or tail replaced, none of them known.
 
     ``entities`` has dense (id, index from 0). Candidates come from a hash of (fact, draw, try); the
-    first try that is no known fact is kept, by one anti-join over all tries.
+    first try that is no known fact is kept. Where all tries are known, the next entity in index order
+    from the last try on, cyclically, that makes no known fact is taken; a draw for which every entity
+    makes a known fact gives no row.
     """
-    n = entities.count()
+    from tracewright.session import durable
+
+    n = max(entities.count(), 1)
     draw = F.explode(F.sequence(F.lit(1), F.lit(ratio)))
     attempt = F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
     spread = facts.select("h", "r", "t").withColumn("draw", draw).withColumn("try", attempt)
     chosen = F.pmod(F.xxhash64("h", "r", "t", "draw", "try"), F.lit(n)) if pick is None else pick
     head = F.pmod(F.col("draw"), F.lit(2)) == 0
-    spread = spread.withColumn("index", chosen).join(entities.select(F.col("index"), F.col("id").alias("e")), "index")
+    spread = spread.withColumn("index", chosen).join(entities.select(F.col("index"), F.col("id").alias("e")), "index", "left")
     spread = spread.withColumns({"nh": F.when(head, F.col("e")).otherwise(F.col("h")), "nt": F.when(head, F.col("t")).otherwise(F.col("e"))})
-    known = facts.select(F.col("h").alias("nh"), "r", F.col("t").alias("nt")).distinct()
-    false = spread.join(known, ["nh", "r", "nt"], "left_anti")
-    kept = false.groupBy("h", "r", "t", "draw").agg(F.min_by(F.struct("nh", "nt"), "try").alias("x"))
-    return kept.select("h", "r", "t", "draw", "x.nh", "x.nt")
-
-
-def _marks_up_to(asks: DataFrame, marks: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """``asks`` with ``n_marks``: how many ``marks`` of the same keys have an ``at`` up to (``strict``: before) the row's own."""
-    both = asks.withColumn("__k", F.lit(1)).unionByName(marks.select(*keys, "at").withColumn("__k", F.lit(2 if strict else 0)), True)
-    order = Window.partitionBy(*keys).orderBy("at", "__k").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("n_marks", F.sum((F.col("__k") != 1).cast("bigint")).over(order)).filter("__k = 1").drop("__k")
+    known = facts.select(F.col("h").alias("nh"), "r", F.col("t").alias("nt")).distinct().withColumn("known", F.lit(True))
+    false = F.col("known").isNull() & F.col("e").isNotNull()
+    kept = durable(
+        spread.join(known, ["nh", "r", "nt"], "left").groupBy("h", "r", "t", "draw")
+        .agg(F.min_by(F.when(false, F.struct("nh", "nt")), F.when(false, F.col("try"))).alias("x"), F.max_by("index", "try").alias("last"))
+    )
+    left = kept.filter("x is null").select(
+        "h", "r", "t", "draw", head.alias("side"), F.when(head, F.col("t")).otherwise(F.col("h")).alias("fixed"),
+        F.pmod(F.coalesce("last", F.lit(0)), F.lit(n)).cast("bigint").alias("at"),
+    )
+    keys = ["side", "r", "fixed"]
+    ends = facts.select(F.lit(True).alias("side"), "r", F.col("t").alias("fixed"), F.col("h").alias("id")).union(
+        facts.select(F.lit(False), "r", F.col("h"), F.col("t"))
+    )
+    places = ends.join(left.select(*keys).distinct(), keys, "left_semi").distinct().join(entities, "id").select(*keys, F.col("index").cast("bigint").alias("at"))
+    own = Window.partitionBy(*keys)
+    # Numbers among the entities that make no known fact: of the one to start from, and of those after each known one.
+    begun = _marks_up_to(left, places, keys, strict=True).withColumn("at", F.col("at") - F.col("n_marks")).drop("n_marks")
+    gaps = places.withColumn("at", F.col("at") - F.row_number().over(own.orderBy("at")) + 1)
+    size = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    free = begun.join(size, keys, "left").withColumn("free", F.lit(n) - F.coalesce("c", F.lit(0))).filter("free > 0")
+    asks = free.withColumn("at", F.pmod("at", "free")).drop("c", "free")
+    found = _marks_up_to(asks, gaps, keys).withColumn("index", F.col("at") + F.col("n_marks")).join(entities.select("index", F.col("id").alias("e")), "index")
+    rest = found.select("h", "r", "t", "draw", F.when(head, F.col("e")).otherwise(F.col("h")).alias("nh"), F.when(head, F.col("t")).otherwise(F.col("e")).alias("nt"))
+    return kept.filter("x is not null").select("h", "r", "t", "draw", "x.nh", "x.nt").unionByName(rest)
 
 
 def constrained_tails(facts: DataFrame, ratio: int) -> DataFrame:
