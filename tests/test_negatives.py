@@ -43,3 +43,17 @@ def test_corrupt_gives_every_draw_a_false_fact(spark):
             expected += [(h, r, t, draw, false[0][0], false[0][2])] if false else []
     assert sorted(map(tuple, got)) == sorted(expected)
     assert not any(row.h == 3 and row.draw == 1 for row in got)
+
+
+def test_negatives_come_from_all_entities(spark, tmp_path):
+    from tracewright.plans import catalogue
+
+    rows = [(k, f"2024-01-01 00:00:{k % 60:02d}", 500 + k % 150, "view", 1.0, '{"k": %d}' % (1000 + k % 7)) for k in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.selectExpr("* except (ts)", "cast(ts as timestamp) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = catalogue.negatives_filtered(spark, str(tmp_path)).collect()
+    entities = {500 + k for k in range(150)} | {1000 + k for k in range(7)}
+    facts = {(r[2], 1000 + r[0] % 7) for r in rows}
+    assert len(got) == 2 * len(facts) and not any((r.nh, r.nt) in facts for r in got)
+    drawn = {r.nh for r in got if r.draw == 2} | {r.nt for r in got if r.draw == 1}
+    assert drawn <= entities and len(drawn) > 100

@@ -11,7 +11,7 @@ from tracewright.operators import correlate as C
 from tracewright.operators import graph as G
 from tracewright.operators import ordering as O
 from tracewright.operators import triples as T
-from tracewright.session import table
+from tracewright.session import durable, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,9 +178,11 @@ def snapshot_cumulative_entities(s, d):
     SELECT h, r, t, draw, nh, nt FROM z WHERE k = 1"""
 )
 def negatives_filtered(s, d):
-    entities = s.range(100).select(F.col("id"), F.col("id").alias("index"))
-    pick = F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("draw") * 7 + F.col("try") * 101, F.lit(100))
-    return T.corrupt(facts(s, d).select("h", "r", "t").distinct(), entities, 2, pick)
+    f = facts(s, d)
+    ends = f.select(F.col("h").alias("name"), "event_id").union(f.select("t", "event_id"))
+    entities = durable(T.first_seen_ids(ends, "name", "event_id", "index").select(F.col("name").alias("id"), "index"))
+    pick = F.pmod(F.col("h") * 31 + F.col("t") * 17 + F.col("draw") * 7 + F.col("try") * 101, F.lit(entities.count()))
+    return T.corrupt(f.select("h", "r", "t").distinct(), entities, 2, pick)
 
 
 @query(
