@@ -100,3 +100,16 @@ def test_bridges_claims_and_ends(spark):
     audit = spark.createDataFrame([("p", "/f", None, None, None, "sys_write", 1), ("p", None, "1.2.3.4", 80, None, "sys_read", 2), ("p", None, None, None, "q", "sys_clone", 3), ("p", None, None, None, None, "sys_exit", 4)], "process_name string, file string, ip string, port int, child string, action string, ts_us bigint")
     built = G.build_edges(audit, ["sys_read"]).orderBy("ts_us").collect()
     assert [(r.src, r.dst, r.dst_type) for r in built] == [("p", "/f", "File"), ("1.2.3.4:80", "p", "Process"), ("p", "q", "Process")]
+
+
+def test_reachability_of_every_relation(spark, tmp_path):
+    from tracewright.plans import catalogue
+
+    rows = [(1, 1, "click", 2, 0), (2, 2, "click", 3, 5), (3, 1, "view", 2, 7), (4, 2, "view", 4, 9), (5, 2, "view", 5, 6)]
+    events = spark.createDataFrame([(i, u, r, 0.0, '{"k": %d}' % k, at) for i, u, r, k, at in rows], "event_id bigint, user_id bigint, event_type string, value double, props string, at bigint")
+    events.selectExpr("* except (at)", "timestamp_micros(at) as ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.rel, r.start, r.node): (r["at"], r.hop) for r in catalogue.temporal_reachability_2hop(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("click", 1, 2): (0, 1), ("click", 2, 3): (5, 1), ("click", 1, 3): (5, 2),
+        ("view", 1, 2): (7, 1), ("view", 2, 4): (9, 1), ("view", 2, 5): (6, 1), ("view", 1, 4): (9, 2),
+    }

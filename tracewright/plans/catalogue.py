@@ -469,9 +469,9 @@ def head_anchored_gap(s, d):
     SELECT start, node, min(t0) AS "at", CAST(min(hop) AS INTEGER) AS hop FROM u GROUP BY start, node"""
 )
 def temporal_reachability_2hop(s, d):
-    edges = _side(s, d, "click").select("rel", "src", "dst", F.col("us").alias("at"))
+    edges = E(s, d).select("rel", "src", "dst", F.col("us").alias("at"))
     starts = edges.select("rel", F.col("src").alias("start")).distinct()
-    return G.reach_in_time(edges, starts, 2, ["rel"]).select("start", "node", "at", "hop")
+    return G.reach_in_time(edges, starts, 2, ["rel"]).select("rel", "start", "node", "at", "hop")
 
 
 @query()
