@@ -55,3 +55,36 @@ def test_random_streams_and_long_runs_against_a_loop(spark):
     expected = sorted((min(r[0] for r in run), max(r[0] for r in run)) for run in expected if len(run) > 1)
     rng.shuffle(rows)
     assert found(spark, rows) == expected
+
+
+def test_runs_over_batches_and_partitions(spark):
+    rng = random.Random(5)
+    rows, expected, key = [], [], 0
+    for k in range(60):
+        size = rng.choice([1, 1, 2, 3, 40, 333])
+        run = [edge(key + i, k * 10_000 + i, subject=f"p{k % 3}", graph=1 + k // 40) for i in range(size)]
+        key += size
+        rows += run + run[:1]
+        if size > 1:
+            expected.append((run[0][0], run[-1][0]))
+    rows += [edge(100_000 + k, 0, graph=9) for k in range(50)]  # equal times in one graph
+    expected.append((100_000, 100_049))
+    rng.shuffle(rows)
+    options = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in options}
+    try:
+        for name, value in options.items():
+            spark.conf.set(name, value)
+        assert found(spark, rows) == sorted(expected)
+        runs_ = {r.lo_edge_key: r for r in runs.collapse_runs(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert all(runs_[lo].n_edges == hi - lo + 1 for lo, hi in expected)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_pointers_double():
+    import numpy as np
+
+    assert runs.double_within(np.array([0, 0, 1, 2, 4, 4, 5])).tolist() == [0, 0, 0, 0, 4, 4, 4]
+    assert runs.double_within(np.maximum(np.arange(10_000) - 1, 0)).max() == 0
