@@ -22,10 +22,10 @@ def check(text, limit, overlap):
     ids = coder.encode(text)
     pieces = splitter.pieces(limit, overlap)
     done, last = 0, None
-    for at, to, size, shared in pieces:
+    for at, to, own, size, shared in pieces:
         assert 0 < size <= limit and 0 <= shared < limit
         part = text[at:to]
-        assert len(coder.encode(part)) <= limit
+        assert len(coder.encode(part)) == own <= limit
         first = done - shared
         assert coder.decode(ids[first : first + size]) == part
         if last is not None and overlap:
@@ -48,16 +48,25 @@ def test_cuts_lie_where_the_text_breaks_off():
     paragraph = "Some words in a sentence. And one more of them here."
     text = "\n\n".join([paragraph] * 12)
     pieces = check(text, 40, 0)
-    assert all(text[to - 2 : to] == "\n\n" for _, to, _, _ in pieces[:-1])
+    assert all(text[to - 2 : to] == "\n\n" for _, to, *_ in pieces[:-1])
     lines = "\n".join(["a line of seven words or so"] * 20)
-    assert all(lines[to - 1] == "\n" for _, to, _, _ in check(lines, 30, 5)[:-1])
-    assert all(s == 5 for _, _, _, s in check(lines, 30, 5)[1:])
+    assert all(lines[to - 1] == "\n" for _, to, *_ in check(lines, 30, 5)[:-1])
+    assert all(s == 5 for *_, s in check(lines, 30, 5)[1:])
 
 
 def test_unbroken_text():
     check("x" * 20_000, 128, 16)
     check("漢" * 4000, 128, 16)
     check("q" * 1000, 2, 1)
+    check("🙂" * 50, 4, 1)
+    with pytest.raises(ValueError):
+        check("𓀀" * 50, 1, 0)
+
+
+def test_exact_overlaps_come_first():
+    text = "".join(f"これは{k}番目の文です。とても短い。" for k in range(200))
+    shared = [s for *_, s in check(text, 128, 16)[1:]]
+    assert sum(s == 16 for s in shared) >= 0.9 * len(shared)
 
 
 def test_documents(spark):

@@ -6,13 +6,17 @@ space, then between pieces of the split pattern, then between tokens that end a
 Neighbouring atoms lie in a heap by the strength of the boundary between them, the weakest first and
 of equal ones the smallest pair; a pair is merged while both and the overlap fit into the limit.
 
-Sizes are ids of the whole text's encoding, of which a piece is a slice, so neighbours share exactly
-``overlap_tokens`` ids, unless that would split a character or the piece's own encoding would pass
-the limit; then the piece starts at the nearest id where neither happens.
+A piece is a slice of the whole text's ids (``slice_tokens``), of which ``shared_tokens`` are its
+neighbour's; ``n_tokens`` is the size of its text encoded on its own, which can differ where an end
+lies within a word. Both are within the limit. Neighbours share exactly ``overlap_tokens`` ids where
+that begins a character, so of natural boundaries those where it does are kept before others; else
+up to three ids more. A piece whose own encoding is too large is cut again, it alone; only one that
+has no boundary left shares fewer ids.
 
 Defined results: texts within the limit (null and empty ones too) give no pieces; specs with null or
 non-positive limit, or an overlap of the limit or more, are left out; negative and null overlaps
-count as 0; an empty table gives no rows. The pieces of a text cover it whole.
+count as 0; an empty table gives no rows. The pieces of a text cover it whole. A limit below the
+tokens of one character of a text (there are four at most) fails with the document's id.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ TOKEN, GLYPH, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Ends of sentences and lines; a break lies at the end of a match.
 _BREAKS = regex.compile(r"""[.!?…。！？]["')\]»”’]*(?=\s)|[。！？]|(?:\r\n?|\n| | )(?:[^\S\r\n]*(?:\r\n?|\n| | ))*""")
 _LINES = regex.compile(r"\r\n?|\n| | ")
-_SCHEMA = "spec_id string, doc_id bigint, piece int, start_char int, end_char int, n_tokens int, shared_tokens int, text string"
+_SCHEMA = (
+    "spec_id string, doc_id bigint, piece int, start_char int, end_char int, n_tokens int, slice_tokens int, shared_tokens int, text string"
+)
 _ARROW = pa.schema(
     [
         ("spec_id", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start_char", pa.int32()),
-        ("end_char", pa.int32()), ("n_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("text", pa.string()),
+        ("end_char", pa.int32()), ("n_tokens", pa.int32()), ("slice_tokens", pa.int32()), ("shared_tokens", pa.int32()), ("text", pa.string()),
     ]
 )
 
@@ -55,6 +61,7 @@ class Splitter:
         self.total = self.tokens[-1]
         self._breaks: list[tuple[int, int]] | None = None
         self._marks: list[tuple[int, int]] | None = None
+        self._cut: set[int] | None = None
 
     def breaks(self) -> list[tuple[int, int]]:
         """(index of the part that follows, strength) of every break of the text itself, in order."""
@@ -137,75 +144,97 @@ class Splitter:
                             out += self._inside(k, room)
         return out
 
-    def merged(self, limit: int, overlap: int) -> list[tuple[int, int]]:
-        """(first, end) tokens of the pieces without their overlaps."""
-        room = limit - overlap
-        held = self.atoms(room)
-        # Merging never makes a boundary weaker, so strengths are done one after the other, and what
+    def _whole(self, token: int) -> bool:
+        """Whether a token begins a character."""
+        if self._cut is None:
+            cut = self._cut = set()
+            if not self.text.isascii():
+                for k, part in enumerate(self.parts):
+                    if not part.isascii():
+                        cut.update(self.tokens[k] + n for n, at in enumerate(self._border(k)) if at is None)
+        return token not in self._cut
+
+    def _ranked(self, atoms: list[tuple[int, int]], overlap: int) -> list[tuple[int, int]]:
+        """Atoms with the rank of the boundary before: natural ones above others, in each those where the exact overlap begins a character."""
+        return [
+            (a, strength + 3 * (strength >= SENTENCE) + 3 * (not overlap or self._whole(max(a - overlap, 0))))
+            for a, strength in atoms
+        ]
+
+    def merged(self, held: list[tuple[int, int]], last: int, first_room: int, room: int) -> list[tuple[int, int]]:
+        """(first, end) tokens of the pieces without their overlaps, from ranked atoms that end at ``last``."""
+        # Merging never makes a boundary weaker, so ranks are done one after the other, and what
         # lies between stronger boundaries is merged on its own.
-        for level in sorted({strength for _, strength in held[1:]}):
+        for level in sorted({rank for _, rank in held[1:]}):
             out: list[tuple[int, int]] = []
             n, low = len(held), 0
             while low < n:
                 high = low + 1
                 while high < n and held[high][1] <= level:
                     high += 1
-                end = held[high][0] if high < n else self.total
+                end = held[high][0] if high < n else last
                 if high - low == 1 or end - held[low][0] <= room:
                     out.append(held[low])  # all of it fits, so every merge within would be made
                 else:
-                    out += _merge(held[low:high], end, room, limit if low == 0 else room)
+                    out += _merge(held[low:high], end, room, first_room if low == 0 else room)
                 low = high
             held = out
         first = [a for a, _ in held]
-        return list(zip(first, [*first[1:], self.total], strict=True))
+        return list(zip(first, [*first[1:], last], strict=True))
 
     def own_size(self, first: int, end: int, at: int, to: int) -> int:
-        """Tokens of the slice when encoded on its own: only parts cut by its ends can differ."""
-        low, high = bisect_right(self.tokens, first) - 1, bisect_left(self.tokens, end)
-        encode, size = self.coder.encode, end - first
+        """Tokens of the slice when encoded on its own."""
+        low = bisect_right(self.tokens, first) - 1
         if self.tokens[low] != first:
-            stop = min(self.chars[low + 1], to)
-            size += len(encode(self.text[at:stop])) - (min(self.tokens[low + 1], end) - first)
-            if high == low + 1:
-                return size
-        if self.tokens[high] != end:
-            size += len(encode(self.text[self.chars[high - 1] : to])) - (end - self.tokens[high - 1])
-        return size
-
-    def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
-        """(start char, end char, tokens, shared tokens) of every piece."""
-        slack = 0
-        while True:
-            out = self._pieces(limit, overlap, slack)
-            if out is not None:
-                return out
-            slack += max(1, (limit - overlap) // 16)
-
-    def _pieces(self, limit: int, overlap: int, slack: int) -> list[tuple[int, int, int, int]] | None:
-        out = []
-        tight = slack >= limit - overlap - 1
-        for first, end in self.merged(limit - slack if not tight else overlap + 1, overlap):
-            to, begun = self.char_at(end), None
-            for begin in self._starts(first, overlap, out):
-                at = self.char_at(begin)
-                if at is not None and end - begin <= limit and (self.own_size(begin, end, at, to) <= limit or tight):
-                    begun = (at, begin)
-                    break
-            if begun is None:
-                return None
-            out.append((begun[0], to, end - begun[1], first - begun[1]))
+            return len(self.coder.encode(self.text[at:to]))
+        # Parts are found from left to right, so from a part's beginning on only those at the end can differ.
+        near = max(low, bisect_left(self.tokens, end) - 2)
+        return self.tokens[near] - first + len(self.coder.encode(self.text[self.chars[near] : to]))
+
+    def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
+        """(start char, end char, own tokens, tokens of the slice, shared tokens) of every piece."""
+        room = limit - overlap
+        atoms = self._ranked(self.atoms(room), overlap)
+        todo = self.merged(atoms, self.total, limit, room)[::-1]
+        starts = [a for a, _ in atoms]
+        out: list[tuple[int, int, int, int, int]] = []
+        while todo:
+            first, end = todo.pop()
+            inner = atoms[bisect_right(starts, first) : bisect_left(starts, end)]
+            begun = self._begin(first, end, limit, overlap if out else 0, not inner)
+            if begun is not None:
+                begin, at, own = begun
+                out.append((at, self.char_at(end), own, end - begin, first - begin))
+                continue
+            # Encoded on its own it would be too large: only this piece is cut again, where it is strongest.
+            inner = inner or self._ranked(self._finer(first, end), overlap)
+            if not inner:
+                raise ValueError(f"one character takes more than {limit} tokens")
+            todo += self.merged([(first, 99), *inner], end, end - first - 1, end - first - 1)[::-1]
         return out
 
-    @staticmethod
-    def _starts(first: int, overlap: int, out: list) -> Iterator[int]:
-        """Starts to try: the exact overlap, up to three ids earlier (a character has four bytes), then later ones."""
-        if not out or not overlap:
-            yield first
-            return
+    def _begin(self, first: int, end: int, limit: int, overlap: int, last_way: bool) -> tuple[int, int, int] | None:
+        """(token, char, own tokens) at which a piece begins so that it fits.
+
+        The exact overlap, or where that would split a character up to three ids more; ``last_way``
+        says that the piece has no boundary left to cut it at, so that fewer ids are tried too.
+        """
+        to = self.char_at(end)
         exact = max(first - overlap, 0)
-        yield from range(exact, max(exact - 4, -1), -1)
-        yield from range(exact + 1, first + 1)
+        tries = [exact] if self._whole(exact) else range(exact - 1, max(exact - 4, -1), -1)
+        if last_way and overlap:
+            tries = [*tries, *range(exact + 1, first + 1)]
+        for begin in tries:
+            at = self.char_at(begin)
+            if at is not None and end - begin <= limit and (own := self.own_size(begin, end, at, to)) <= limit:
+                return begin, at, own
+        return None
+
+    def _finer(self, first: int, end: int) -> list[tuple[int, int]]:
+        """Cuts inside one atom: at white space, else between parts, else between tokens that begin a character."""
+        parts = range(bisect_right(self.tokens, first), bisect_left(self.tokens, end))
+        words = [(self.tokens[k], WORD) for k in parts if self.parts[k][0].isspace() or self.parts[k - 1][-1].isspace()]
+        return words or [(self.tokens[k], GLYPH) for k in parts] or [(t, TOKEN) for t in range(first + 1, end) if self._whole(t)]
 
 
 def _merge(atoms: list[tuple[int, int]], total: int, room: int, first_room: int) -> list[tuple[int, int]]:
@@ -262,8 +291,12 @@ def split_documents(documents: DataFrame, specs: DataFrame, vocabulary: str = VO
                 for name, limit, overlap in wanted:
                     if splitter.total <= limit:
                         continue
-                    for k, (at, to, size, shared) in enumerate(splitter.pieces(limit, overlap)):
-                        rows.append((name, doc, k, at, to, size, shared, text[at:to]))
+                    try:
+                        cut = splitter.pieces(limit, overlap)
+                    except ValueError as problem:
+                        raise ValueError(f"doc_id {doc}, spec {name}: {problem}") from problem
+                    for k, (at, to, own, size, shared) in enumerate(cut):
+                        rows.append((name, doc, k, at, to, own, size, shared, text[at:to]))
                         held += to - at
                 if held > 8_000_000:
                     yield _batch(rows)
