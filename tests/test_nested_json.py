@@ -75,3 +75,13 @@ def test_node_tables_keep_links(spark):
     assert {r.parent_pre for r in answers} == {parent.pre}
     inner = N.node_table(nodes, "rdata", ["kind"]).collect()[0]
     assert inner.parent_pre == answers[0].pre and answers[0].pre < inner.pre and inner.post < answers[0].post
+
+
+def test_scalars_in_arrays_and_scalar_layers_stay(spark):
+    text = '{"http": {"via": ["a", null, {"x": 1}, ["b", 2]], "n": null}, "note": "s", "flags": [true, {"y": []}]}'
+    nodes = {r.path: r for r in N.label_nodes(spark.createDataFrame([(1, 1, text)], SCHEMA)).collect()}
+    assert nodes["http"].members == {"via[0]": "a", "via[3][0]": "b", "via[3][1]": "2", "n": None}
+    assert nodes[""].members == {"note": "s", "flags[0]": "true"} and nodes[""].parent_pre is None
+    assert set(nodes) == {"", "http", "http/via[2]", "flags[1]"} and nodes["http"].parent_pre == nodes[""].pre
+    inner, outer = nodes["http/via[2]"], nodes["http"]
+    assert (inner.parent_pre, inner.parent_post, inner.parent_path) == (outer.pre, outer.post, "http")

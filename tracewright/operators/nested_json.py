@@ -2,13 +2,12 @@
 
 Every node of a record gets interval labels by one depth-first traversal (pre-order and post-order
 numbers): a node lies below another exactly if its interval is contained in the other's. Objects
-come out as one node table, from which the table of any type is a selection; children are linked
-to the nearest enclosing object by interval containment. As intervals nest, the nearest enclosing
-object of a child is the last object one level up that begins before it, so containment is
-resolved by a running maximum over (record, level) in pre-order, without pairing nodes.
+come out as one node table, from which the table of any type is a selection; each is linked to the
+nearest enclosing object, the last interval begun before it that contains its own.
 
 Defined results: texts that are null, empty, cut off, followed by more text, or not one JSON object
 give no nodes; numbers like NaN are not JSON; null array elements take a position and are no node;
+scalars in an array are members ``name[i]`` of the object around it, scalar layers those of the packet;
 a member given twice counts with its last value; repeated deliveries (same ``pkt_id``) count once;
 rows with null ``pkt_id`` have no identity to link by and are left out; nesting of any depth is
 read; an empty table gives no rows. Other columns are ignored, whatever their names.
@@ -21,7 +20,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Members that always take an index, a lone object being [0] (fixed values of the data's definition).
@@ -29,11 +28,12 @@ ALWAYS_INDEXED = frozenset(
     ["ip", "tls", "tcp.option", "http.header", "dns.query", "dns.answer", "tls.record", "tls.handshake", "tls.extension", "mime.part"]
 )
 
-_NODES = "pkt_id bigint, pre int, post int, level int, layer string, type string, path string, members map<string,string>"
+_NODES = "pkt_id bigint, pre int, post int, level int, layer string, type string, path string, members map<string,string>, parent_pre int, parent_post int, parent_path string"
 _ARROW = pa.schema(
     [
         ("pkt_id", pa.int64()), ("pre", pa.int32()), ("post", pa.int32()), ("level", pa.int32()), ("layer", pa.string()),
         ("type", pa.string()), ("path", pa.string()), ("members", pa.map_(pa.string(), pa.string())),
+        ("parent_pre", pa.int32()), ("parent_post", pa.int32()), ("parent_path", pa.string()),
     ]
 )
 
@@ -101,20 +101,26 @@ def _text(value: object) -> str | None:
     return {True: "true", False: "false"}[value] if isinstance(value, bool) else value  # numbers are kept as texts
 
 
-def label_record(layers: dict, members: bool) -> Iterator[tuple[int, int, int, str, str, str, list]]:
-    """(pre, post, level, layer, type, path, members) of every object; ``level`` counts enclosing objects."""
-    pre = post = 0
-    done: list = []
-    # An entry opens a node (value, name, path, level, layer) or, as an int, closes the object done[int].
-    stack: list = []
+def _scalars(name: str, value: object) -> Iterator[tuple[str, str | None]]:
+    """(name, text) of a scalar member and of the scalars in an array, which take the array's positions."""
+    todo = [(name, value, False)]
+    while todo:
+        name, value, inside = todo.pop()
+        if isinstance(value, list):
+            todo += [(f"{name}[{i}]", value[i], True) for i in range(len(value) - 1, -1, -1)]
+        elif not isinstance(value, dict) and not (inside and value is None):
+            yield name, _text(value)
+
 
-    def push(value: object, name: str, base: str, level: int, layer: str | None) -> None:
-        if isinstance(value, dict) and name in ALWAYS_INDEXED:
-            base += "[0]"
-        stack.append((value, name, base, level, layer))
+def label_record(layers: dict, members: bool) -> list[list]:
+    """[pre, post, level, layer, type, path, members] of the packet and of every object in it, in pre-order.
 
-    for name, value in reversed(layers.items()):
-        push(value, name, name, 0, name)
+    ``level`` counts enclosing objects: the packet itself has -1 and an empty path, its layers 0.
+    """
+    pre = post = 0
+    done: list[list] = []
+    # An entry opens a node (value, name, path, level, layer) or, as an int, closes the object done[int].
+    stack: list = [(layers, "packet", "", -1, None)]
     while stack:
         top = stack.pop()
         if isinstance(top, int):
@@ -123,22 +129,41 @@ def label_record(layers: dict, members: bool) -> Iterator[tuple[int, int, int, s
             continue
         value, name, path, level, layer = top
         if isinstance(value, dict):
-            scalars = [(k, _text(v)) for k, v in value.items() if not isinstance(v, dict | list)] if members else []
-            done.append([pre, 0, level, layer, name, path, scalars])
-            stack.append(len(done) - 1)
+            held = dict(pair for k, v in value.items() for pair in _scalars(k, v)) if members else {}
+            stack.append(len(done))
+            done.append([pre, 0, level, layer, name, path, list(held.items())])
             for k, v in reversed(value.items()):
                 if isinstance(v, dict | list):
-                    push(v, k, f"{path}/{k}", level + 1, layer)
-        elif isinstance(value, list):
+                    base = f"{path}/{k}" if level >= 0 else k
+                    if isinstance(v, dict) and k in ALWAYS_INDEXED:
+                        base += "[0]"
+                    stack.append((v, k, base, level + 1, layer if level >= 0 else k))
+        else:
             for i in range(len(value) - 1, -1, -1):
                 if isinstance(value[i], dict | list):
                     stack.append((value[i], name, f"{path}[{i}]", level, layer))
         pre += 1
-    yield from map(tuple, done)
+    return done
+
+
+def enclosing(nodes: list[list]) -> list[int]:
+    """For nodes in pre-order, the position of the nearest one whose interval contains theirs, or -1."""
+    open_: list[int] = []
+    out = []
+    for k, node in enumerate(nodes):
+        while open_ and nodes[open_[-1]][1] < node[1]:
+            open_.pop()
+        out.append(open_[-1] if open_ else -1)
+        open_.append(k)
+    return out
 
 
 def label_nodes(packets: DataFrame, members: bool = True) -> DataFrame:
-    """One row per object of every packet, with its interval labels, type, path and scalar members."""
+    """One row per packet and object: interval labels, type, path and scalar members, with the nearest enclosing object.
+
+    A record's intervals are all at hand where they are made, so ``parent_pre``, ``parent_post`` and
+    ``parent_path`` (null for the packet itself) are found there, without moving the nodes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,8 +174,10 @@ def label_nodes(packets: DataFrame, members: bool = True) -> DataFrame:
                     record = record["_source"].get("layers")
                 if not isinstance(record, dict):
                     continue
-                for node in label_record(record, members):
-                    for column, item in zip(columns, (key, *node), strict=True):
+                nodes = label_record(record, members)
+                for node, up in zip(nodes, enclosing(nodes), strict=True):
+                    around = (None, None, None) if up < 0 else (nodes[up][0], nodes[up][1], nodes[up][5])
+                    for column, item in zip(columns, (key, *node, *around), strict=True):
                         column.append(item)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW
@@ -160,32 +187,14 @@ def label_nodes(packets: DataFrame, members: bool = True) -> DataFrame:
     return once.mapInArrow(run, _NODES)
 
 
-def link_parents(nodes: DataFrame) -> DataFrame:
-    """Nodes with ``parent_pre`` and ``parent_path`` of the nearest enclosing object (null for layers)."""
-    # In pre-order the opener of an interval that contains a node is the last one a level above it.
-    as_parent = F.struct(F.col("level").alias("at"), F.lit(True).alias("opens"))
-    as_child = F.struct((F.col("level") - 1).alias("at"), F.lit(False).alias("opens"))
-    both = nodes.withColumn("role", F.explode(F.array(as_parent, as_child)))
-    order = Window.partitionBy("pkt_id", "role.at").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    opener = F.last(F.when(F.col("role.opens"), F.struct("pre", "post", "path")), True).over(order)
-    linked = both.withColumn("up", opener).filter("not role.opens")
-    inside: Column = (F.col("up.pre") < F.col("pre")) & (F.col("up.post") > F.col("post")) & (F.col("level") > 0)
-    return linked.select(
-        *nodes.columns,
-        F.when(inside, F.col("up.pre")).alias("parent_pre"),
-        F.when(inside, F.col("up.path")).alias("parent_path"),
-    )
-
-
 def node_table(nodes: DataFrame, kind: str, fields: list[str]) -> DataFrame:
     """The flat table of the objects of one type: keys, link to the parent, and the named scalar members."""
-    linked = link_parents(nodes).filter(F.col("type") == kind)
-    return linked.select(
+    return nodes.filter(F.col("type") == kind).select(
         "pkt_id", "pre", "post", "parent_pre", "path", *[F.try_element_at("members", F.lit(f)).alias(f) for f in fields]
     )
 
 
 def found_children(packets: DataFrame) -> DataFrame:
     """(pkt_id, parent_path, child_path) of every object below a layer."""
-    linked = link_parents(label_nodes(packets, members=False))
-    return linked.filter("parent_path is not null").select("pkt_id", "parent_path", F.col("path").alias("child_path"))
+    nodes = label_nodes(packets, members=False)
+    return nodes.filter("level > 0").select("pkt_id", "parent_path", F.col("path").alias("child_path"))

@@ -18,7 +18,7 @@ def p1_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_nodes(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested_json.link_parents(nested_json.label_nodes(table(spark, d, "packets")))
+    nodes = nested_json.label_nodes(table(spark, d, "packets"))
     return nodes.withColumn("members", F.to_json("members"))
 
 
