@@ -41,6 +41,13 @@ CASES = [
     (None, '"1709258400123"', None, 1709258400_123_000),
     (None, "1709258400123456", None, 1709258400_123_456),
     (None, "1709258400123456789", None, 1709258400_123_456),
+    (2, "1955-07-01 10:00:00", None, us(1955, 7, 1, 9)),
+    (3, "2150-07-01 10:00:00 CDT", "2200-01-01", us(2150, 7, 1, 15)),
+    (3, "2150-01-01 10:00:00", "2200-01-01", us(2150, 1, 1, 16)),
+    (2, "2996-02-29 10:00:00", "3000-01-01", us(2996, 2, 29, 9)),
+    (1, "1750-07-01 10:00:00 +0800", None, us(1750, 7, 1, 2)),
+    (1, "2150-07-01 10:00:00 LMT", "2200-01-01", None),
+    (3, "1700-01-01 00:00:00", None, us(1700, 1, 1, 5, 50, 36)),
     *[(1, bad, "2024-01-01", None) for bad in (None, "", "  ", "-", "[]", "1e", "16:05:09", "2024-03-", "2024-02-30T08:00:00Z", "29/Feb/2023:11:10:09 +0000", "2024-13-01 10:00:00 UTC", "2024-06-01 24:61:00", "Apr 31 25:61:00", "Smarch 3, 2024 10:00:00 UTC", "2024-03-01 10:00:00 +9900", "x" * 100_000)],
 ]
 
@@ -66,10 +73,10 @@ def test_empty(spark):
 
 def test_zone_periods_agree_with_the_zone():
     for name in ("Australia/Sydney", "America/New_York", "Asia/Kolkata"):
-        zone, periods = ZoneInfo(name), TS.zone_periods(name)
+        zone, periods, last = ZoneInfo(name), TS.zone_periods(name), us(TS.LAST_YEAR, 12, 31) // 1_000_000
         assert all(a[1] == b[0] for a, b in zip(periods, periods[1:]))
         for low, high, offset, abbreviation in periods:
-            for t in {low, high - 1, (low + high) // 2}:
+            for t in {max(low, -62_000_000_000), min(high - 1, last), (max(low, -10**10) + min(high, last)) // 2}:
                 local = (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=t)).astimezone(zone)
                 assert (local.utcoffset().total_seconds(), local.tzname()) == (offset, abbreviation)
 
@@ -79,3 +86,14 @@ def test_integer_days(spark):
     frame = spark.createDataFrame([(d.year, d.month, d.day) for d in days], "y int, m int, d int")
     got = [r[0] for r in frame.selectExpr(TS.days_from_civil("y", "m", "d")).collect()]
     assert got == [(d - datetime(1970, 1, 1)).days for d in days]
+
+
+def test_years_beyond_the_table_go_by_one_that_is_alike(spark):
+    years = [1, 1799, 1800, 2024, 2128, *range(2129, 2600, 7), 2400, 9999]
+    frame = spark.createDataFrame([(y,) for y in years], "y int")
+    for y, z in zip(years, (r[0] for r in frame.selectExpr(TS.rule_year("y")).collect()), strict=True):
+        assert TS.FIRST_YEAR <= z <= TS.LAST_YEAR
+        if y > TS.LAST_YEAR:
+            assert datetime(y, 1, 1).weekday() == datetime(z, 1, 1).weekday() and datetime(y, 12, 31).weekday() == datetime(z, 12, 31).weekday()
+        elif y >= TS.FIRST_YEAR:
+            assert y == z

@@ -9,24 +9,28 @@ The period table holds one row a zone; zones are those of the node table, of whi
 has under 600, so that its broadcast is bounded.
 
 Defined results: null, blank and unreadable stamps, impossible dates, unknown or null nodes where
-the node's clock is needed, and local times never shown give a null instant (and no row in
+the node's clock is needed, and local times never shown give a null instant; years from 1 to 9999 are read (and no row in
 ``found_instants``). Equal records count once, with the earliest reception. An empty table gives
 no rows. Other columns are kept by ``resolve_instants`` whatever their names.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
+from functools import cache
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_YEAR, LAST_YEAR = 1969, 2101
+#: Local years that the period table holds. Before the first every zone keeps its oldest offset; after the
+#: last only yearly rules are left, so a year goes by that one of the last 28 that has the same days.
+FIRST_YEAR, LAST_YEAR = 1800, 2128
 MAX_ZONES = 1000
 #: Years tried backwards for a stamp without year; two leap days are at most eight years apart.
 YEARS_BACK = 8
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_NEVER = 9 * 10**15
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
@@ -90,11 +94,13 @@ def zone_periods(name: str) -> list[tuple[int, int, int, str]]:
         return int(local.utcoffset().total_seconds()), local.tzname()
 
     start = int((datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
-    end = int((datetime(LAST_YEAR, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
-    step, spans, begun, now = 6 * 86400, [], start, state(start)
+    end = int((datetime(LAST_YEAR + 1, 1, 3, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+    settled = int((datetime(2090, 1, 1, tzinfo=timezone.utc) - _EPOCH).total_seconds())
+    spans, begun, now = [], -_NEVER, state(start)
     t = start
     while t < end:
-        later = min(t + step, end)
+        # Some zones changed their clocks for weeks only; yearly rules do not.
+        later = min(t + (6 if t < settled else 30) * 86400, end)
         if (then := state(later)) != now:
             low, high = t, later
             while high - low > 1:
@@ -105,31 +111,49 @@ def zone_periods(name: str) -> list[tuple[int, int, int, str]]:
             t = high
             continue
         t = later
-    return [*spans, (begun, end, *now)]
+    return [*spans, (begun, _NEVER, *now)]
+
+
+def _local_year(t: int, offset: int) -> int:
+    return FIRST_YEAR if t == -_NEVER else LAST_YEAR if t >= _NEVER - 1 else (_EPOCH + timedelta(seconds=t + offset)).year
+
+
+@cache
+def zone_years(name: str) -> list[list[tuple[int, int, int, str]]] | None:
+    """By local year from FIRST_YEAR, the periods that touch it; None for a name that no clock can show."""
+    try:
+        periods = zone_periods(name)
+    except (KeyError, ValueError, OSError):
+        return None
+    years: list[list] = [[] for _ in range(FIRST_YEAR, LAST_YEAR + 1)]
+    for low, high, offset, abbreviation in periods:
+        for year in range(_local_year(low, offset), min(_local_year(high - 1, offset), LAST_YEAR) + 1):
+            years[year - FIRST_YEAR].append((low, high, offset, abbreviation))
+    return years
 
 
 def zone_table(spark: SparkSession, names: list[str]) -> DataFrame:
     """(tz_name, years): for each zone an array by local year, from FIRST_YEAR, of the periods that touch it."""
-    rows = []
-    for name in names:
-        try:
-            periods = zone_periods(name)
-        except (KeyError, ValueError, OSError):
-            continue  # a name that no clock can show
-        years: dict[int, list[tuple[int, int, int, str]]] = {}
-        for low, high, offset, abbreviation in periods:
-            first = (_EPOCH + timedelta(seconds=low + offset)).year
-            last = (_EPOCH + timedelta(seconds=high - 1 + offset)).year
-            for year in range(first, last + 1):
-                years.setdefault(year, []).append((low, high, offset, abbreviation))
-        rows.append((name, [years.get(y) for y in range(FIRST_YEAR, LAST_YEAR + 1)]))
+    rows = [(name, years) for name in names if (years := zone_years(name)) is not None]
     schema = "tz_name string, years array<array<struct<lo: bigint, hi: bigint, off: int, abbr: string>>>"
     return spark.createDataFrame(rows, schema)
 
 
+def rule_year(year: str) -> str:
+    """SQL text: the year of the period table whose days and clock changes are those of ``year``."""
+    alike = {}
+    for y in range(LAST_YEAR - 27, LAST_YEAR + 1):
+        alike.setdefault((int(y % 4 == 0), date(y, 1, 1).weekday()), y)
+    table = f"array({', '.join(str(alike[leap, day]) for leap in (0, 1) for day in range(7))})"
+    leap = f"IF({days_in_month(year, '2')} = 29, 7, 0)"
+    # 1970-01-01 was a Thursday, the fourth day counted from Monday.
+    day = f"pmod({days_from_civil(year, '1', '1')} + 3, 7)"
+    return f"(CASE WHEN {year} < {FIRST_YEAR} THEN {FIRST_YEAR} WHEN {year} <= {LAST_YEAR} THEN {year} ELSE {table}[cast({leap} + {day} as int)] END)"
+
+
 def components(stamp: Column) -> Column:
     """The components of a stamp as an array of texts in the order of the pattern's fields, else null."""
-    bare = F.regexp_replace(stamp, r"""^[\s"'\[\](){}<>]+|[\s"'\[\](){}<>]+$""", "")
+    bare = F.btrim(stamp, F.lit(" \t\r\n\x0b\x0c\"'[](){}<>"))
     rewritten = F.regexp_replace(bare, PATTERN, _REWRITE)
     return F.when(rewritten.startswith(_MARK), F.split(F.substring(rewritten, 2, 2**31 - 1), _CUT))
 
@@ -181,31 +205,34 @@ def resolve_instants(
         }
     )
     joined = parts.join(clocks, F.col(node) == F.col("__node"), "left").join(zones, "__tz", "left")
-    span = "struct(cast(-9e15 as bigint) as lo, cast(9e15 as bigint) as hi, __fixed as off, cast(null as string) as abbr)"
     local = f"cast({days_from_civil('yy', '__month', '__day')} as bigint) * 86400 + __tod"
-    periods = f"CASE WHEN __fixed IS NOT NULL THEN array({span}) WHEN __z IS NULL OR __abbr IS NOT NULL THEN get(__years, s.y - {FIRST_YEAR}) END"
+    # Seconds between the year and the one it goes by, none for years of the table.
+    moved = f"IF(yy <= {LAST_YEAR}, 0L, ({days_from_civil('yy', '1', '1')} - {days_from_civil(rule_year('yy'), '1', '1')}) * 86400L)"
+    fits = "s.l - s.m - p.off >= p.lo AND s.l - s.m - p.off < p.hi AND (__abbr IS NULL OR p.abbr = __abbr)"
+    periods = f"get(__years, cast({rule_year('s.y')} as int) - {FIRST_YEAR})"
     around = f"sequence(year(timestamp_micros(__recv)) + 1, year(timestamp_micros(__recv)) - {YEARS_BACK}, -1)"
     # The local second of each year tried is computed once; dates that a year lacks drop out.
     tried = f"""
-        filter(transform(
-            CASE WHEN NOT __ok THEN NULL WHEN __year IS NOT NULL THEN array(__year) ELSE {around} END,
-            yy -> named_struct('y', yy, 'l', IF(__day > {days_in_month('yy', '__month')}, NULL, {local}))), s -> s.l IS NOT NULL)"""
+        filter(transform(IF(__year IS NOT NULL, array(__year), {around}),
+            yy -> named_struct('y', yy, 'm', {moved}, 'l', IF(__day > {days_in_month('yy', '__month')}, NULL, {local}))), s -> s.l IS NOT NULL)"""
     candidates = f"""
-        flatten(transform({tried}, s -> coalesce(transform(
-            filter({periods}, p -> s.l - p.off >= p.lo AND s.l - p.off < p.hi AND (__abbr IS NULL OR p.abbr = __abbr)),
-            p -> (s.l - p.off) * 1000000 + __frac), array())))"""
+        flatten(transform({tried}, s -> coalesce(IF(__fixed IS NOT NULL, array((s.l - __fixed) * 1000000 + __frac),
+            transform(filter({periods}, p -> {fits}), p -> (s.l - p.off) * 1000000 + __frac)), array())))"""
+    whole = f"""IF(__day > {days_in_month('__year', '__month')}, NULL,
+        (cast({days_from_civil('__year', '__month', '__day')} as bigint) * 86400 + __tod - __fixed) * 1000000 + __frac)"""
+    chosen = f"""transform(array({candidates}), c ->
+        IF(__year IS NOT NULL AND size(c) = 1, c[0], array_max(filter(c, t -> t <= __recv))))[0]"""
     number = """
         CASE WHEN length(__e) <= 11 THEN cast(__e as bigint) * 1000000 + coalesce(cast(rpad(substring(__g, 1, 6), 6, '0') as bigint), 0)
              WHEN length(__e) <= 14 THEN cast(__e as bigint) * 1000 + coalesce(cast(rpad(substring(__g, 1, 3), 3, '0') as bigint), 0)
              WHEN length(__e) <= 17 THEN cast(__e as bigint)
              ELSE cast(substring(__e, 1, length(__e) - 3) as bigint) END"""
-    joined = joined.withColumn("__c", F.expr(candidates))
-    chosen = F.expr(
-        "IF(__year IS NOT NULL AND size(__c) = 1, __c[0], array_max(filter(__c, c -> c <= __recv)))"
-    )
-    return joined.withColumn(
-        out, F.when(F.col("__e").isNotNull(), F.expr(number)).when(F.size("__c") > 0, chosen)
-    ).select(*[F.col(f"`{c}`") for c in records.columns], out)
+    # Stamps with year and offset need neither the node's clock nor the reception.
+    clock = "__fixed IS NOT NULL OR __z IS NULL OR __abbr IS NOT NULL"
+    instant = f"""CASE WHEN __e IS NOT NULL THEN {number} WHEN NOT coalesce(__ok, false) THEN NULL
+        WHEN __year IS NOT NULL AND __fixed IS NOT NULL THEN {whole}
+        WHEN {clock} THEN {chosen} END"""
+    return joined.withColumn(out, F.expr(instant)).select(*[F.col(f"`{c}`") for c in records.columns], out)
 
 
 def found_instants(records: DataFrame, nodes: DataFrame) -> DataFrame:
