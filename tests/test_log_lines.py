@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewright.operators import log_lines as L
 
@@ -60,6 +61,19 @@ def test_fields(spark):
     assert got[15].statement == "SELECT 1\n\t[Sat Mar 02 10:00:00 2024] [error] indented"
     assert got[17].ftp_command == "RETR" and got[18].ftp_command == "LIST"
     assert got[6].message == "text\nStack trace:\n"
+    assert got[11].statement.startswith('SELECT "a"\n') and got[2].statement is None
+    # 2024-03-01 02:00 UTC; the zone's clock is eight hours ahead.
+    assert {got[k].utc_us // 1_000_000 for k in (2, 6, 9, 10, 11, 15, 17, 18)} == {1709258400} and got[6].utc_us % 1_000_000 == 123_456
+
+
+def test_statements(spark):
+    cases = {
+        "statement: SELECT 1": "SELECT 1", "execute S_1: update x\nset y": "update x\nset y", "duration: 1.5 ms  statement: x": "x",
+        "DELETE FROM a": "DELETE FROM a", "with q as (x) select": "with q as (x) select", "connection received: host=a port=1": None,
+        "selection failed": None, "disconnection: session time": None, "": None, None: None,
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "m string")
+    assert [r[0] for r in frame.select(L.statement_of(F.col("m"))).collect()] == list(cases.values())
 
 
 def test_empty_and_null(spark):

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.operators.timestamps import resolve_instants
 from tracewright.session import stored
 
 #: A CSV field; possessive, so that long fields cannot exhaust the stack.
@@ -70,6 +71,16 @@ LAYOUTS: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: What announces a statement in a PostgreSQL message, and the words that SQL commands begin with (fixed values).
+_STATEMENT = (
+    r"(?is)^(?:(?:duration: [\d.]+ ms +)?(?:statement|(?:parse|bind|execute|execute fetch from) [^:]*): (.*)"
+    r"|((?:ALTER|ANALYZE|BEGIN|CALL|CLOSE|CLUSTER|COMMENT|COMMIT|COPY|CREATE|DEALLOCATE|DECLARE|DELETE|DISCARD|DO|DROP|END|EXECUTE"
+    r"|EXPLAIN|FETCH|GRANT|INSERT|LISTEN|LOCK|MERGE|MOVE|NOTIFY|PREPARE|REFRESH|REINDEX|RELEASE|RESET|REVOKE|ROLLBACK|SAVEPOINT"
+    r"|SELECT|SET|SHOW|START|TABLE|TRUNCATE|UPDATE|VACUUM|VALUES|WITH)\b(?!:).*))$"
+)
+#: The clock of stamps without offset, unless the caller names another.
+ZONE = "Asia/Shanghai"
+
 #: Shapes that resolve to a layout and are broadcast at most; more are joined by shuffle.
 MAX_SHAPES = 20_000
 #: Lines of a stream that form a block.
@@ -215,8 +226,36 @@ def _opening(name: str) -> Column:
     return F.max(F.when(F.col("starts"), F.col(name))).alias(name)
 
 
-def parse_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: int = MAX_SHAPES) -> DataFrame:
-    """One row per log entry: position, layout, timestamp text, level, component, message and fields."""
+def statement_of(message: Column) -> Column:
+    """The SQL of a PostgreSQL message: what a statement prefix announces, or a message that is a command; else null."""
+    return F.coalesce(*[F.when(found != "", found) for found in (F.regexp_extract(message, _STATEMENT, k) for k in (1, 2))])
+
+
+def entry_instants(entries: DataFrame, zone: str) -> DataFrame:
+    """Entries with ``utc_us``, the instant of ``stamp_text``; stamps without offset are read by ``zone``'s clock.
+
+    A stamp without year is the latest that is not after the stream's last dated entry by more than a day.
+    """
+    spark = entries.sparkSession
+    clock = spark.createDataFrame([(0, zone)], "node_id int, tz_name string")
+    undated = F.col("layout") == FTP_MESSAGE
+    columns = [*entries.columns, "utc_us"]
+    known = entries.withColumns({"__at": F.lit(0), "__seen": F.to_timestamp(F.lit("9999-12-31 00:00:00"))})
+    dated = resolve_instants(known.filter(~undated), clock, "stamp_text", "__at", "__seen").select(*columns)
+    last = dated.groupBy("stream_id").agg(F.max("utc_us").alias("__last"))
+    late = known.filter(undated).join(last, "stream_id", "left")
+    late = late.withColumn("__seen", F.coalesce(F.timestamp_micros(F.col("__last") + 86_400_000_000), F.current_timestamp()))
+    return dated.unionByName(resolve_instants(late, clock, "stamp_text", "__at", "__seen").select(*columns))
+
+
+def parse_entries(
+    lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes: int = MAX_SHAPES, zone: str = ZONE
+) -> DataFrame:
+    """One row per log entry: position, layout, timestamp (text and instant), level, component, message and fields.
+
+    An entry's message is one value, so an entry whose quote is never closed is as large as the rest of
+    its stream; ``attach_lines`` gives the same lines one by one.
+    """
     attached = attach_lines(lines, block_lines, max_shapes)
     opening = _opening
 
@@ -246,11 +285,11 @@ def parse_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes:
     stamp = F.coalesce(
         *[F.when(layout == name, _group(name, 4 if name == ACCESS else 1, head)) for name in LAYOUTS]
     )
-    statement = F.regexp_extract(F.col("message"), r"(?is)^(?:statement: |execute [^:]*: )?(.*)$", 1)
+    statement = statement_of(F.col("message"))
     command = F.when(layout == FTP_XFER, _group(FTP_XFER, 14, head)).when(
         layout == FTP_MESSAGE, F.regexp_extract(head, r"CMD '([A-Za-z]+)", 1)
     )
-    return (
+    parsed = (
         entries.withColumns({"stamp_text": stamp, "message": message})
         .withColumns(
             {
@@ -266,6 +305,7 @@ def parse_entries(lines: DataFrame, block_lines: int = BLOCK_LINES, max_shapes:
         )
         .drop("head", "text")
     )
+    return entry_instants(stored(parsed), zone)
 
 
 def found_entries(lines: DataFrame) -> DataFrame:
