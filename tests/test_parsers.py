@@ -12,7 +12,9 @@ SAMPLES = {
     "imagemagick": ('2024-03-01T10:00:00+08:00 x Policy convert[77]: y rights=Read; pattern="/u/x.png" z', {"pid": "77", "rights": "Read", "path": "/u/x.png"}),
     "proftpd": ("Fri Mar 01 10:00:00 2024 1 10.1.1.1 99 /f.txt b _ o r user ftp 0 * RETR", {"host": "10.1.1.1", "transfer_size": "99", "ftp_command": "RETR", "transfer_status": "_"}),
     "postgres": ('2024-03-01 10:00:00.123 CST,"u","db",7,"1.1.1.1:5",s,1,"SELECT",2024-03-01 10:00:00 CST,1/2,0,LOG,00000,"statement: SELECT ""a"", b",,,,,,,,,"app"', {"user": "u", "session": "7", "statement": 'SELECT "a", b'}),
-    "network": ("1\tMar 1, 2024 10:00:00\t10.0.0.5\t10.0.0.9\tHTTP\t5001,80\tGET /a.txt HTTP/1.1", {"src_ip": "10.0.0.5", "dst_port": "80", "method": "GET", "filename": "/a.txt"}),
+    "network": ("1\tMar  1, 2024 10:00:00.5\t10.0.0.5\t10.0.0.9\tHTTP\t5001,80\t\t99\tGET /a.txt HTTP/1.1", {"src_ip": "10.0.0.5", "dst_port": "80", "method": "GET", "filename": "/a.txt", "layout": 1, "ts_us": 1709258400500000}),
+    "mini_httpd": ('10.0.0.5 - - [01/Mar/2024:10:00:00 +0800] "GET /f HTTP/1.1" 200 512 "-" "agent/1.0"', {"path": "/f", "status": "200", "user_agent": "agent/1.0", "ts_us": 1709258400000000}),
+    "php": ('10.0.0.5 - - [01/Mar/2024:10:00:00 +0000] "GET /f HTTP/1.1" 200 512', {"url": "/f", "ts_us": 1709258400000000}),
 }
 
 
@@ -33,9 +35,35 @@ def test_key_values_and_texts(spark):
         parsers.json_cleaned(F.lit("{'a': None, 'b': True}")).alias("j"),
     ).first()
     assert one.kv == {"b": "x y", "c": "two words", "d": "", "a": "9"}
+    texts = [("{'a': \"it's None\", 'b': None}", '{"a": "it\'s None", "b": null}'), ("{'q': 'say \"x\"', 'Nonet': True}", '{"q": "say \\"x\\"", "Nonet": true}')]
+    got = spark.createDataFrame(texts, "a string, b string").select(parsers.json_cleaned(F.col("a")), "b").collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
     assert one.l == "a/b/z" and one.f == "q.txt" and one.p == 1 and one.j == '{"a": null, "b": true}'
 
 
+def test_network_layouts(spark):
+    ends, ip = "7\t1709258400.25\t10.0.0.5\t10.0.0.9\t", "  7   1.5 10.0.0.5 → 10.0.0.9 "
+    lines = [
+        ends + "HTTP\t50,80\t\t9\tGET /a HTTP/1.1", ends + "HTTP\t50,80\t\t9\tHTTP/1.1 200 OK yes", ends + "TCP\t\t50,80\t9\tACK here",
+        ends + "TCP\t50,80\t\t9\tACK", ends + "TLS-x\t50,80\t\t9\tHello", ends + "TLS v1.2\t50,80\t\t9\tHello", ends + "ARP\t\t\t\twho has",
+        ends + "TCP\t50,80\t\tno length", ends + "ICMP\t\t\t9\tping", ip + "HTTP 9 POST /f HTTP/1.1", ip + "TCP 9 50 → 80 [SYN]", ip + "DNS query",
+    ]
+    rows = [parsers.network_text(F.col("line")).alias("f")]
+    got = [r.f for r in spark.createDataFrame([(x,) for x in [*lines, "none"]], "line string").select(*rows).collect()]
+    assert [r.layout for r in got] == [*range(1, 13), None]
+    assert {r.src_ip for r in got[:12]} == {"10.0.0.5"} and got[0].ts_us == 1709258400250000 and got[11].ts_us == 1500000
+    assert (got[1].code, got[1].protocol, got[2].filename, got[4].protocol_name, got[6].text, got[9].method, got[10].dst_port) == ("200", "HTTP/1.1", "ACK here", "TLS-x", "who has", "POST", "80")
+
+
+def test_redis_scripts(spark):
+    head = '1709258400.5 [0 10.0.0.5:5001] "SCRIPT" "LOAD" '
+    script = head + r'"local f = package.loadlib(\"/lib/x.so\", \"luaopen_io\"); local g = io.popen(\"id -u\", \"r\"); local r = g:read(\"*a\"); return r"'
+    plain = '1709258400.5 [0 10.0.0.5:5001] "SET" "io.popen(a, b)"'
+    a, b = (r.f for r in spark.createDataFrame([(script,), (plain,)], "line string").select(parsers.redis(F.col("line")).alias("f")).collect())
+    assert (a.lib_path, a.function, a.command, a.content, a.command_mode, a.file_mode) == ("/lib/x.so", "luaopen_io", "id", "-u", "r", "*a")
+    assert (b.command, b.lib_path, b.command_mode) == ("SET", None, None) and b.ts_us == 1709258400500000
+
+
 def test_names(spark):
     cases = {"//a/./b/../c/": "/a/c", "/../x": "/x", "a/../../b": "../b", "/": "/", "/plain": "/plain", "..": ".."}
     got = spark.createDataFrame(list(cases.items()), "a string, b string").select("a", names.file_path(F.col("a")).alias("c")).collect()

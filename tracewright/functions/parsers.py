@@ -7,8 +7,6 @@ client the subject and the file the object, a write the other way round.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +26,27 @@ def struct_of(line: Column, pattern: str, names: list[str]) -> Column:
     return F.struct(*pick(line, pattern, names))
 
 
+#: The clock of local times in logs that print none (the offset of the machines whose logs these layouts are of).
+OFFSET = "+0800"
+
+
+def clock_us(text: Column, pattern: str) -> Column:
+    """Microseconds since 1970 of a printed time with its offset; null where it is none of the pattern."""
+    return F.unix_micros(F.try_to_timestamp(text, F.lit(pattern)))
+
+
+def seconds_us(text: Column) -> Column:
+    """Microseconds of printed seconds since 1970."""
+    return (text.try_cast("decimal(20,6)") * 1_000_000).cast("bigint")
+
+
+def access_us(time: Column, offset: str | None = None) -> Column:
+    """Instant of an access time; with ``offset``, of its clock there, whatever offset is printed."""
+    if offset is not None:
+        time = F.concat(F.substring_index(time, " ", 1), F.lit(" " + offset))
+    return clock_us(time, "dd/MMM/yyyy:HH:mm:ss Z")
+
+
 def request_parts(request: Column) -> list[Column]:
     """method, url and protocol of a request line; the url may hold blanks."""
     return pick(request, r"^(\S+) (.*?)(?: (HTTP/[\d.]+))?$", ["method", "url", "protocol"])
@@ -40,7 +59,7 @@ def _values(line: Column, brackets: bool) -> tuple[Column, Column]:
     return F.transform(bad_rows.fields(escaped, F.lit(brackets)), bad_rows.value), paired
 
 
-def apache(line: Column) -> Column:
+def apache(line: Column, offset: str | None = None) -> Column:
     """Access line: host, identity, user, [time], request, code, size, then optionally a dash, destination ip, port and pid.
 
     7 or 11 fields; white space separates, quoted and bracketed text is one field, escapes are resolved.
@@ -50,28 +69,39 @@ def apache(line: Column) -> Column:
     read = F.when(paired & F.size(values).isin(7, 11) & bracketed, values)
     places = {"host": 0, "identity": 1, "user": 2, "time": 3, "request": 4, "response_code": 5, "transfer_size": 6, "dst_ip": 8, "dst_port": 9, "pid": 10}
     at = lambda k: F.get(read, F.lit(k))
-    return F.struct(*[F.when(at(k) != "", at(k)).alias(n) for n, k in places.items()], *request_parts(at(4)))
+    ts = access_us(at(3), offset).alias("ts_us")
+    return F.struct(*[F.when(at(k) != "", at(k)).alias(n) for n, k in places.items()], *request_parts(at(4)), ts)
+
+
+def php(line: Column) -> Column:
+    """As for Apache; the clock is read at +08:00 whatever offset is printed."""
+    return apache(line, OFFSET)
 
 
 def nginx(line: Column) -> Column:
     """Access line followed by quoted referer and agent."""
     base = pick(line, _COMMON + " " + _QUOTED + " " + _QUOTED, ["host", "identity", "user", "time", "request", "response_code", "transfer_size", "referer", "user_agent"])
-    return F.struct(*base, *request_parts(F.regexp_extract(line, _COMMON, 5)))
+    return F.struct(*base, *request_parts(F.regexp_extract(line, _COMMON, 5)), access_us(F.regexp_extract(line, _COMMON, 4)).alias("ts_us"))
 
 
-php = apache
-mini_httpd = nginx
+def mini_httpd(line: Column) -> Column:
+    """Access line that ends with the agent: host, method, path, protocol, status, size, referer and agent."""
+    pattern = r'^(\S+) - - \[([^\]]+)\] "(\S+) (\S+) (\S+)" (\d+) (\S+) "([^"]*)" "([^"]*)"'
+    base = pick(line, pattern, ["host", "time", "method", "path", "protocol", "status", "length", "referer", "user_agent"])
+    return F.struct(*base, access_us(F.regexp_extract(line, pattern, 2)).alias("ts_us"))
 
 
-def openssh(line: Column) -> Column:
-    """Accepted and disconnected sessions: time, pid, user, ip, port and state."""
+def openssh(line: Column, year: int = 2023) -> Column:
+    """Accepted and disconnected sessions: time, pid, user, ip, port and state; ``year`` is that of times without one."""
     head = r"^([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\S+) \S+ sshd\[(\d+)\]: "
     accepted = head + r"Accepted \S+ for (\S+) from (\S+) port (\d+)"
     closed = head + r"Disconnected from (?:user )?(\S+) (\S+) port (\d+)"
     names = ["time", "pid", "user", "ip", "port"]
     one, two = struct_of(line, accepted, names), struct_of(line, closed, names)
     state = F.when(one["time"].isNotNull(), "Connect").when(two["time"].isNotNull(), "Disconnect")
-    return F.struct(*[F.coalesce(one[n], two[n]).alias(n) for n in names], state.alias("state"))
+    time = F.coalesce(one["time"], two["time"])
+    ts = clock_us(F.concat(F.regexp_replace(time, " +", " "), F.lit(f" {year} {OFFSET}")), "MMM d HH:mm:ss yyyy Z")
+    return F.struct(*[F.coalesce(one[n], two[n]).alias(n) for n in names], state.alias("state"), ts.alias("ts_us"))
 
 
 def postgres(line: Column) -> Column:
@@ -83,31 +113,52 @@ def postgres(line: Column) -> Column:
     port = F.regexp_extract(message, r"connection received: host=\S+ port=(\d+)", 1)
     statement = F.regexp_extract(message, r"(?s)^statement: (.*)$", 1)
     named = [F.when(c != "", c).alias(n) for c, n in zip(clean, ["time", "user", "database", "session", "connection", "message"], strict=True)]
-    whole = F.struct(*named, F.when(port != "", port).alias("port"), F.when(statement != "", statement).alias("statement"))
+    ts = clock_us(F.concat(F.substring_index(clean[0], " ", 2), F.lit(" " + OFFSET)), "yyyy-MM-dd HH:mm:ss[.SSSSSS] Z").alias("ts_us")
+    whole = F.struct(*named, ts, F.when(port != "", port).alias("port"), F.when(statement != "", statement).alias("statement"))
     return F.when(line.rlike(r"(?s)^(?:" + field + r",){13}"), whole)
 
 
+#: What a script line of a MONITOR log may hold: a loaded library with its function, a started command with its mode, a read mode (fixed values).
+_LOADS, _STARTS, _READS = r"loadlib\((.*),(.*)\)", r"io\.popen\((.*),(.*)\)", r"read\((.*?)\)"
+
+
 def redis(line: Column) -> Column:
-    """MONITOR line: time, database, ip, port, command, content, and what a script loads, opens or reads (last one wins)."""
-    base = pick(line, r'^(\d+(?:\.\d+)?) \[(\d+) ([^:\]]+):(\d+)\] "([^"]*)"(?: (.*))?$', ["time", "db", "ip", "port", "command", "content"])
-    last = lambda p: F.element_at(F.regexp_extract_all(line, F.lit(p), F.lit(1)), -1)
-    mined = [
-        F.when(line.rlike(p), last(p)).alias(n)
-        for n, p in (("lib_path", r"loadlib\(\\?[\"']([^\"'\\]+)"), ("command_mode", r"io\.popen\(\\?[\"']([^\"'\\]+)"), ("file_mode", r"io\.open\(\\?[\"']([^\"'\\]+)"))
-    ]
-    return F.struct(*base, *mined)
+    """MONITOR line: time, database, ip, port, command, content, and what a script loads, starts and reads (of its statements the last wins).
+
+    A command that a script starts takes the place of the line's own command and content.
+    """
+    pattern = r'^(\d+(?:\.\d+)?) \[(\d+) ([^:\]]+):(\d+)\] "([^"]*)"(?: (.*))?$'
+    base = pick(line, pattern, ["time", "db", "ip", "port", "command", "content"])
+    script = F.upper(F.regexp_extract(line, pattern, 5)) == "SCRIPT"
+    bare = lambda c: F.btrim(c, F.lit(' \\"'))
+
+    def mined(found: str, group: int) -> Column:
+        held = F.filter(F.split(line, ";"), lambda x: x.rlike(found))
+        last = F.regexp_extract(F.element_at(held, -1), found, group)
+        return F.when(script & (F.size(held) > 0), bare(last))
+
+    started = F.split(mined(_STARTS, 1), " ")
+    fields = dict(zip(["time", "db", "ip", "port", "command", "content"], base, strict=True))
+    fields["command"] = F.coalesce(bare(F.get(started, F.lit(0))), fields["command"]).alias("command")
+    fields["content"] = F.when(started.isNotNull(), bare(F.get(started, F.lit(1)))).otherwise(fields["content"]).alias("content")
+    return F.struct(
+        *fields.values(), mined(_LOADS, 1).alias("lib_path"), mined(_LOADS, 2).alias("function"), mined(_STARTS, 2).alias("command_mode"),
+        mined(_READS, 1).alias("file_mode"), seconds_us(F.regexp_extract(line, pattern, 1)).alias("ts_us"),
+    )
 
 
 def vim(line: Column) -> Column:
     """Eight tab-separated fields."""
     parts = F.split(line, "\t")
     names = ["time", "datetime", "pid", "action", "empty", "path", "file", "payload"]
-    return F.when(F.size(parts) == 8, F.struct(*[F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]))
+    at = [F.get(parts, F.lit(k)).alias(n) for k, n in enumerate(names)]
+    return F.when(F.size(parts) == 8, F.struct(*at, seconds_us(at[0]).alias("ts_us")))
 
 
 def imagemagick(line: Column) -> Column:
     """Policy line: time, pid, rights and path; patterns that are a bare format name are none."""
-    found = struct_of(line, r'^(\S+) .*?\[(\d+)\]:.*?rights=(\w+); pattern="([^"]*)"', ["time", "pid", "rights", "path"])
+    pattern = r'^(\S+) .*?\[(\d+)\]:.*?rights=(\w+); pattern="([^"]*)"'
+    found = F.struct(*pick(line, pattern, ["time", "pid", "rights", "path"]), clock_us(F.regexp_extract(line, pattern, 1), "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX").alias("ts_us"))
     return F.when(found["path"].isNotNull() & (found["path"] != "PNG"), found)
 
 
@@ -119,26 +170,54 @@ def proftpd(line: Column) -> Column:
     read = F.when(paired & (F.size(values) == 18) & time.rlike(r"^\S+ \S+ \d+ \S+ \d{4}$"), values)
     at = lambda k: F.get(read, F.lit(k))
     found = [F.when(at(k + 5) != "", at(k + 5)).alias(n) for k, n in enumerate(names)]
-    return F.struct(F.when(read.isNotNull(), time).alias("time"), *found)
+    date = F.concat(F.regexp_replace(F.regexp_replace(time, r"^\S+ ", ""), r"^(\S+) 0", "$1 "), F.lit(" " + OFFSET))
+    ts = clock_us(F.regexp_replace(date, " +", " "), "MMM d HH:mm:ss yyyy Z")
+    return F.struct(F.when(read.isNotNull(), time).alias("time"), *found, F.when(read.isNotNull(), ts).alias("ts_us"))
+
+
+_NET = ["seq", "time", "src_ip", "dst_ip", "protocol_name", "src_port", "dst_port", "length", "method", "filename", "protocol", "code", "text"]
+_TABBED = r"(\d+)\t(.*)\t(.*)\t(.*)\t"
+_ENDS = ["seq", "time", "src_ip", "dst_ip"]
+_PORTS = ["protocol_name", "src_port", "dst_port"]
+_ARROW = r"\s*(\d+)\s+(.*)\s+([0-9]+.[0-9]+.[0-9]+.[0-9]+) → ([0-9]+.[0-9]+.[0-9]+.[0-9]+)\s+"
+#: Layouts of text captures, tried in order, with the fields of their groups (fixed values).
+NETWORK_LAYOUTS: list[tuple[str, list[str]]] = [
+    (_TABBED + r"(\w+)\t(\d+),(\d+)\t\t(\d+)\t(\w+) (\S*) ([^\\\"\s]*)", [*_ENDS, *_PORTS, "length", "method", "filename", "protocol"]),
+    (_TABBED + r"(\w+)\t(\d+),(\d+)\t\t(\d+)\t([^\\\"\s]*) (\d+) (.*)", [*_ENDS, *_PORTS, "length", "protocol", "code", "text"]),
+    (_TABBED + r"(\w+)\t\t(\d+),(\d+)\t(\d+)\t(.*)", [*_ENDS, *_PORTS, "length", "text"]),
+    (_TABBED + r"(\w+)\t(\d+),(\d+)\t\t(\d+)\t(.*)", [*_ENDS, *_PORTS, "length", "text"]),
+    (_TABBED + r"([-\w]+)\t(\d+),(\d+)\t\t(\d+)\t(.*)", [*_ENDS, *_PORTS, "length", "text"]),
+    (_TABBED + r"(.*)\t(\d+),(\d+)\t\t(\d+)\t(.*)", [*_ENDS, *_PORTS, "length", "text"]),
+    (_TABBED + r"(.*)\t\t\t\t(.*)", [*_ENDS, "protocol_name", "text"]),
+    (_TABBED + r"(.*)\t(\d+),(\d+)\t\t(.*)", [*_ENDS, *_PORTS, "text"]),
+    (_TABBED + r"(.*)\t\t\t(\d+)\t(.*)", [*_ENDS, "protocol_name", "length", "text"]),
+    (_ARROW + r"HTTP\s*(\d+)\s*(\w+)\s*(.*)\s*HTTP/1.1", [*_ENDS, "length", "method", "filename"]),
+    (_ARROW + r"TCP\s*(\d+)\s*(\d+) → (\d+)\s*(.*)", [*_ENDS, "length", "src_port", "dst_port", "text"]),
+    (_ARROW + r"(.*)", [*_ENDS, "text"]),
+]
 
 
-#: Layouts of text captures, tried in order (name of the group list by position).
-_NET = ["seq", "time", "src_ip", "dst_ip", "protocol_name", "src_port", "dst_port", "info"]
-NETWORK_PATTERNS = [
-    r"^\s*(\d+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t(\d+),(\d+)\t(.*)$",
-    r"^\s*(\d+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t([^\t]+)\t(\d+)\t(\d+)\t(.*)$",
-    r"^\s*(\d+)\s+([\d.]+)\s+(\S+)\s+(?:→|->)\s+(\S+)\s+(\S+)\s+\d+\s+(\d+)\s+(?:→|->)\s+(\d+)\s*(.*)$",
-    r"^\s*(\d+)\s+([\d.]+)\s+(\S+)\s+(?:→|->)\s+(\S+)\s+(\S+)()()\s*(.*)$",
-]
+def network_text(line: Column, layouts: list[tuple[str, list[str]]] | None = None) -> Column:
+    """Capture line by the first layout that it matches exactly once, which ``layout`` names (from 1).
+
+    The file is the request's, else the text. ``ts_us`` is set for times in seconds and for
+    ``Mon d, yyyy`` dates, whose zone name is read as the clock of ``OFFSET``.
+    """
+    layouts = NETWORK_LAYOUTS if layouts is None else layouts
+    layout = F.coalesce(*[F.when(F.regexp_count(line, F.lit(p)) == 1, F.lit(k + 1)) for k, (p, _) in enumerate(layouts)])
 
+    def field(name: str) -> Column:
+        found = F.lit(None).cast("string")
+        for k, (pattern, names) in enumerate(layouts):
+            if name in names:
+                found = F.when(layout == k + 1, F.trim(F.regexp_extract(line, pattern, names.index(name) + 1))).otherwise(found)
+        return F.when(found != "", found)
 
-def network_text(line: Column, patterns: list[str] | None = None) -> Column:
-    """Capture line by the first layout that matches; request method and file are mined from the info."""
-    tried = [struct_of(line, p, _NET) for p in (patterns or NETWORK_PATTERNS)]
-    first = reduce(lambda a, b: F.when(a["time"].isNotNull(), a).otherwise(b), tried)
-    info = first["info"]
-    extra = pick(info, r"(GET|POST|PUT|HEAD|DELETE|OPTIONS|PROPFIND) (\S+)(?: (HTTP/[\d.]+))?", ["method", "filename", "protocol"])
-    return F.struct(*[first[n].alias(n) for n in _NET], *extra)
+    fields = {name: field(name) for name in _NET}
+    fields["filename"] = F.coalesce(fields["filename"], fields["text"])
+    date = F.concat(F.regexp_replace(F.regexp_extract(fields["time"], r"^([A-Z][a-z]{2} +\d{1,2}, \d{4} \d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1), " +", " "), F.lit(" " + OFFSET))
+    ts = F.coalesce(seconds_us(F.regexp_extract(fields["time"], r"^\d+(?:\.\d{1,6})?", 0)), clock_us(date, "MMM d, yyyy HH:mm:ss[.SSSSSS] Z"))
+    return F.struct(*[c.alias(n) for n, c in fields.items()], layout.alias("layout"), ts.alias("ts_us"))
 
 
 def url_parts(url: Column) -> list[Column]:
@@ -188,7 +267,23 @@ def payload_relevant(payload: Column, subject: Column, prefix: str) -> Column:
 
 
 def json_cleaned(text: Column) -> Column:
-    """A printed record with single quotes and Python constants as JSON text."""
-    for old, new in (("'", '"'), ("None", "null"), ("True", "true"), ("False", "false")):
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+    """A printed record with quoted texts of either kind and Python constants as JSON text; what stands in quotes stays."""
+    token = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"]+|['"]"""
+
+    def translated(part: Column) -> Column:
+        inner = F.replace(F.substring(part, 2, 2**31 - 1), F.lit("\\'"), F.lit("'"))
+        inner = F.substring(inner, F.lit(1), F.length(inner) - 1)
+        single = F.concat(F.lit('"'), F.regexp_replace(inner, r'(?<!\\)"', '\\\\"'), F.lit('"'))
+        plain = part
+        for old, new in (("None", "null"), ("True", "true"), ("False", "false")):
+            plain = F.regexp_replace(plain, rf"\b{old}\b", new)
+        double = F.replace(part, F.lit("\\'"), F.lit("'"))
+        return F.when(F.startswith(part, F.lit("'")), single).when(F.startswith(part, F.lit('"')), double).otherwise(plain)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), translated), "")
+
+
+def without(record: Column, names: list[str]) -> Column:
+    """A record (a struct) without the named fields, as a map of texts; null values drop out."""
+    kept = F.map_filter(F.from_json(F.to_json(record), "map<string,string>"), lambda k, v: ~k.isin(names) & v.isNotNull())
+    return kept

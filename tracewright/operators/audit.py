@@ -23,19 +23,47 @@ from pyspark.sql import functions as F
 from tracewright.functions.parsers import key_values
 
 #: Calls by what they touch (fixed values of the system's interface).
-DUAL_PATH = ["rename", "renameat", "renameat2", "link", "linkat", "symlink", "symlinkat"]
-RETURNS_FD = ["open", "openat", "creat", "openat2"]
+DUAL_PATH = ["rename", "link", "symlink", "renameat", "renameat2", "linkat", "symlinkat", "pivot_root", "mount"]
+PATH = [
+    "open", "stat", "lstat", "access", "shmat", "execve", "shmdt", "truncate", "chdir", "mkdir", "rmdir", "creat", "unlink", "chmod",
+    "chown", "lchown", "utime", "mknod", "statfs", "chroot", "acct", "umount2", "swapon", "swapoff", "setxattr", "lsetxattr", "getxattr",
+    "lgetxattr", "listxattr", "llistxattr", "removexattr", "lremovexattr", "utimes", "inotify_add_watch", "openat", "mkdirat", "mknodat",
+    "fchownat", "futimeat", "newfstatat", "unlinkat", "readlinkat", "fchmodat", "faccessat", "epoll_pwait", "execveat",
+]
+#: Calls that may come with several path lines.
+MANY_PATHS = ["openat", "creat", "unlinkat", "unlink", "open"]
+SOCKET = ["connect", "accept", "sendto", "recvfrom", "getsockname", "getpeername", "accept4"]
+FILE_FD = [
+    "read", "write", "readv", "writev", "close", "lseek", "fstat", "ioctl", "pread", "pwrite", "pread64", "pwrite64", "fcntl", "flock",
+    "fsync", "fdatasync", "ftruncate", "getdents", "fchdir", "fchmod", "fchown", "fstatfs", "readahead", "fsetxattr", "fgetxattr",
+    "flistxattr", "fremovexattr", "getdents64", "fadvice64", "vmsplice", "finit_module",
+]
+NET_FD = ["sendmsg", "send", "sendto", "recvmsg", "recvfrom", "recv", "shutdown", "listen", "connect", "bind"]
+POLL_FD = ["epoll_wait", "epoll_pwait", "epoll_pwait2"]
+RETURNS_FD = ["open", "openat", "creat"]
 MAKES_FD = {"socket": "socket", "pipe": "pipe", "pipe2": "pipe", "epoll_create": "epoll", "epoll_create1": "epoll", "memfd_create": "memfd", "eventfd2": "eventfd"}
 DUPLICATES = ["dup", "dup2", "dup3"]
 FORKS = ["fork", "vfork", "clone", "clone3"]
-USES_FD = [
-    "read", "write", "readv", "writev", "pread64", "pwrite64", "fcntl", "fstat", "lseek", "fsync", "ftruncate", "fchmod", "fchown",
-    "recvfrom", "sendto", "recvmsg", "sendmsg", "shutdown", "getsockopt", "setsockopt", "epoll_ctl", "epoll_wait", "ioctl", "close",
-]
+#: Calls on a descriptor in their first argument: those above, and further ones of sockets and polls.
+USES_FD = [*FILE_FD, *NET_FD, *POLL_FD, "getsockopt", "setsockopt", "getsockname", "getpeername", "epoll_ctl"]
 BINDS = ["bind", "connect", "accept", "accept4"]
 TWO_FDS = ["sendfile", "splice", "tee", "copy_file_range"]
-#: Calls in which data moves from the object to the process.
-REVERSED = ["sys_read", "sys_readv", "sys_pread64", "sys_recvfrom", "sys_recvmsg", "sys_execve", "sys_mmap", "sys_accept", "sys_accept4", "sys_open", "sys_openat"]
+#: Calls in which data moves from the object to the process (fixed values).
+REVERSED = [
+    "sys_read", "sys_pread64", "sys_readv", "sys_getitimer", "sys_getpid", "sys_accept", "sys_recvfrom", "sys_recvmsg", "sys_getsockname",
+    "sys_getpeername", "sys_getsockopt", "sys_readlink", "sys_getdents", "sys_getcwd", "sys_gettimeofday", "sys_getrlimit", "sys_accept4",
+    "sys_getrusage", "sys_getuid", "sys_getgid", "sys_geteuid", "sys_getegid", "sys_getppid", "sys_getpgrp", "sys_getgroups", "sys_getresuid",
+    "sys_getresgid", "sys_getpgid", "sys_getsid", "sys_getpriority", "sys_getxattr", "sys_lgetxattr", "sys_fgetxattr", "sys_getdents64",
+    "sys_timer_gettime", "sys_get_mempolicy", "sys_readlinkat",
+]
+#: Where systems keep the header that numbers their calls.
+HEADER = "/usr/include/x86_64-linux-gnu/asm/unistd_64.h"
+
+
+def touched_by(name: Column) -> Column:
+    """What a call touches: two paths, a path, a socket, a descriptor, or null."""
+    kinds = (("paths", DUAL_PATH), ("path", PATH), ("socket", SOCKET), ("descriptor", [*FILE_FD, *NET_FD, *POLL_FD]))
+    return F.coalesce(*[F.when(name.isin(names), F.lit(kind)) for kind, names in kinds])
 
 
 def raw_lines(lines: DataFrame, text: str = "line") -> DataFrame:
@@ -89,7 +117,7 @@ def assemble(lines: DataFrame, keys: list[str], seq: str) -> DataFrame:
     )
 
 
-def syscall_names(spark: SparkSession, header: str) -> DataFrame:
+def syscall_names(spark: SparkSession, header: str = HEADER) -> DataFrame:
     """(number, name) from a system header of ``#define __NR_name number`` lines."""
     text = spark.read.text(header)
     pattern = r"^#define\s+__NR_(\w+)\s+(\d+)"
@@ -220,6 +248,8 @@ def interpret(call: dict, parts: list, table: Descriptors) -> list[dict]:
         if address and ok and fd is not None:
             table.put(pid, fd, (None if address[1] is not None else address[0], address[0] if address[1] is not None else None, address[1]))
         return [row | touched(fd)]
+    if name in SOCKET and address:
+        return [row | {"ip": address[0] if address[1] is not None else None, "port": address[1], "file": None if address[1] is not None else address[0]}]
     if name in TWO_FDS:
         a, b = (1, 0) if name == "sendfile" else (0, 1)
         one = row | touched(arguments[a]) | {"action": f"sys_{name}_IN"}

@@ -9,11 +9,77 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.session import durable
-
-#: Texts whose presence makes a node noise (fixed values), and names that are noise as a whole.
-NOISE_PARTS = ["/proc/", "/dev/", "/sys/", "/lib/", "/etc/ld.so", "/usr/share/locale/", "rules.d/", "127.0.0.53", "/tmp/"]
+from tracewright.session import durable, stored
+
+#: Texts whose presence makes a node noise, and names that are noise as a whole (fixed values, spelled as the
+#: graphs to be matched were cut with them: one text has two paths in a row).
+NOISE_PARTS = [
+    "/tmp/", ".so", "/lib/x86_64-linux-gnu/", "vim.mo", ".ro", ".readonly", ".dll", ".dylib", ".conf", ".config",
+    "/etc/localtime", "/usr/lib/locale/", "/usr/share/X11/locale/en_US.UTF-8/XLC_LOCALE", "/home/victim/en_US.UTF-8",
+    "/usr/share/X11/locale/", "/usr/local/share/vim/vim80/", "/usr/local/pgsql/data/log/", "/var/log/proftpd/", "/var/log/redis/",
+    "/usr/share/zoneinfo/", "/etc/audit/rules.d//usr/share/locale/", "/usr/share/locale-langpack/", "/home/victim/.viminfo",
+    "/usr/lib/locale/locale-archive", "/etc/ld.so.cache", "/usr/local/share/vim/vim80/lang/", "/etc/X11/en_US.UTF-8/",
+    "/usr/share/X11/", "/dev/urandom", "ciscodump", "dumpcap", "auditd", "auditctl", "lsof", "polkitd", " ", "/lib/systemd/",
+    "wireshark", "127.0.0.53",
+]
 NOISE_NAMES = ["", "/", "."]
+#: Calls that say nothing of what a process does, and those that only look at a file (fixed values).
+NOISE_CALLS = [
+    "sys_rt_sigprocmask", "sys_rt_sigaction", "sys_mmap", "sys_times", "sys_mprotect", "sys_stat", "sys_getpid", "sys_brk",
+    "sys_prlimit64", "sys_futex", "sys_arch_prctl", "sys_munmap", "sys_set_tid_address", "sys_set_robust_list", "sys_sysinfo",
+    "sys_sched_getaffinity", "sys_getcwd",
+]
+LOOK_CALLS = ["sys_stat", "sys_lstat"]
+
+
+def without_calls(rows: DataFrame, calls: list[str], action: str = "action") -> DataFrame:
+    """Rows of other calls; rows without a call stay."""
+    return rows.filter(~F.coalesce(F.col(action).isin(calls), F.lit(False)))
+
+
+def since(rows: DataFrame, at: str, source: str, begins: dict[str, int]) -> DataFrame:
+    """Rows from the time on at which their source's record begins; sources without one, and null times, stay."""
+    begin = F.lit(None).cast("bigint")
+    for name, value in begins.items():
+        begin = F.when(F.col(source) == name, value).otherwise(begin)
+    return rows.filter(F.coalesce(F.col(at) >= begin, F.lit(True)))
+
+
+def in_range(at: Column, low: Column, high: Column) -> Column:
+    """Whether a time lies in a closed range; every time lies in a range that is null."""
+    return F.when(low.isNull() | high.isNull(), True).otherwise(F.coalesce((at >= low) & (at <= high), F.lit(False)))
+
+
+def fed_before(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (src, dst, label, start) whose source was entered by an edge of the same label not later than they start."""
+    first = edges.filter("label is not null").groupBy(*keys, F.col("dst").alias("src"), "label").agg(F.min("start").alias("__first"))
+    return edges.join(first, [*keys, "src", "label"]).filter("__first <= start").drop("__first")
+
+
+def labelled_pairs(edges: DataFrame, label: object) -> DataFrame:
+    """(src, dst, edge_id) of the edges of one relation."""
+    return edges.filter(F.col("relation") == F.lit(label)).select("src", "dst", "edge_id").distinct()
+
+
+def labelled_nodes(edges: DataFrame, nodes: DataFrame, label: object, kinds: list[str] | None = None) -> DataFrame:
+    """(name, entity_type) of the nodes at the ends of one relation's edges, of the kinds asked for."""
+    pairs = labelled_pairs(edges, label)
+    ends = pairs.select(F.col("src").alias("name")).union(pairs.select("dst")).distinct()
+    found = nodes.select("name", "entity_type").distinct().join(ends, "name", "left_semi")
+    return found if kinds is None else of_kind(found, kinds)
+
+
+def of_kind(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """Nodes of the kinds named (File, Socket, Process)."""
+    return nodes.filter(F.col("entity_type").isin(kinds))
+
+
+def time_ms(stamp: Column, source: Column) -> Column:
+    """Whole milliseconds of a printed time: audit ones are in microseconds, Apache and network ones in seconds, others as they are."""
+    number = stamp.try_cast("decimal(38,9)")
+    ms = F.when(F.contains(source, F.lit("audit")), number / 1000)
+    ms = ms.when((source == "Apache_app") | F.contains(source, F.lit("net")), number * 1000).otherwise(number)
+    return F.floor(ms).cast("bigint")
 
 
 def build_edges(rows: DataFrame, reverse: list[str]) -> DataFrame:
@@ -213,22 +279,22 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """
     pairs = edges.filter("src is not null and dst is not null").select(*keys, F.col("src").alias("a"), F.col("dst").alias("b"))
     nodes = pairs.select(*keys, F.col("a").alias("node")).union(pairs.select(*keys, F.col("b").alias("node"))).distinct()
-    links = durable(pairs.filter("a <> b").distinct())
-    print_of = lambda t: t.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*keys, "a", "b").cast("decimal(38,0)")).alias("h")).first()
-    last = None
+    links = stored(pairs.filter("a <> b").distinct())
     while True:
         both = links.union(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, [*keys, "a"]).filter("b > a").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        down = large.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = large.filter("a <> b").distinct()
         low = down.groupBy(*keys, "a").agg(F.min("b").alias("m"))
-        small = down.join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("m").alias("b"))
-        links = durable(small.union(low.select(*keys, "a", F.col("m").alias("b"))).filter("a <> b").distinct())
-        now = print_of(links)
-        if now == last:
+        small = down.join(low, [*keys, "a"])
+        # A node with one smaller neighbour only is as it should be unless that one goes on itself.
+        up = small.filter("b <> m").select(*keys, F.col("b").alias("a"), F.col("m").alias("b"), F.lit(True).alias("moved"))
+        kept = low.select(*keys, "a", F.col("m").alias("b"), F.lit(False).alias("moved"))
+        links = stored(up.union(kept).groupBy(*keys, "a", "b").agg(F.max("moved").alias("moved")))
+        chained = links.join(links.select(*keys, F.col("a").alias("b"), F.lit(True).alias("on")), [*keys, "b"], "left_semi")
+        if links.filter("moved").isEmpty() and chained.isEmpty():
             break
-        last = now
+        links = links.drop("moved")
     named = links.select(*keys, F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(named, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -40,7 +40,7 @@ def parsed_log(lines: DataFrame, layout: str, text: str = "line") -> tuple[DataF
     # Every layout's first field is there in each of its lines; a struct of nulls is no match.
     first = read.schema["fields"].dataType.names[0]
     matched = F.coalesce(F.col("fields").isNotNull() & F.col(f"fields.{first}").isNotNull(), F.lit(False))
-    return read.filter(matched), lines.join(read.filter(matched).select(text).distinct(), text, "left_anti")
+    return read.filter(matched), read.filter(~matched).drop("fields")
 
 
 def csv_log(spark: SparkSession, path: str) -> DataFrame:
