@@ -7,6 +7,8 @@ client the subject and the file the object, a write the other way round.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _QUOTED = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 _COMMON = r"^(\S+) (\S+) (\S+) \[([^\]]+)\] " + _QUOTED + r" (\S+) (\S+)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, where a plain reference would be computed at every use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pick(line: Column, pattern: str, names: list[str]) -> list[Column]:
     """One named column per group; what did not match or is empty is null."""
     found = [F.regexp_extract(line, pattern, k + 1) for k in range(len(names))]
@@ -204,20 +211,23 @@ def network_text(line: Column, layouts: list[tuple[str, list[str]]] | None = Non
     ``Mon d, yyyy`` dates, whose zone name is read as the clock of ``OFFSET``.
     """
     layouts = NETWORK_LAYOUTS if layouts is None else layouts
-    layout = F.coalesce(*[F.when(F.regexp_count(line, F.lit(p)) == 1, F.lit(k + 1)) for k, (p, _) in enumerate(layouts)])
+    number = F.coalesce(*[F.when(F.regexp_count(line, F.lit(p)) == 1, F.lit(k + 1)) for k, (p, _) in enumerate(layouts)])
 
-    def field(name: str) -> Column:
-        found = F.lit(None).cast("string")
-        for k, (pattern, names) in enumerate(layouts):
-            if name in names:
-                found = F.when(layout == k + 1, F.trim(F.regexp_extract(line, pattern, names.index(name) + 1))).otherwise(found)
-        return F.when(found != "", found)
+    def fields(layout: Column) -> Column:
+        found = F.coalesce(*[
+            F.when(layout == k + 1, F.array(*[F.trim(F.regexp_extract(line, p, names.index(n) + 1)) if n in names else F.lit("") for n in _NET]))
+            for k, (p, names) in enumerate(layouts)
+        ])
+        return let(F.struct(layout.alias("layout"), found.alias("found")), named)
 
-    fields = {name: field(name) for name in _NET}
-    fields["filename"] = F.coalesce(fields["filename"], fields["text"])
-    date = F.concat(F.regexp_replace(F.regexp_extract(fields["time"], r"^([A-Z][a-z]{2} +\d{1,2}, \d{4} \d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1), " +", " "), F.lit(" " + OFFSET))
-    ts = F.coalesce(seconds_us(F.regexp_extract(fields["time"], r"^\d+(?:\.\d{1,6})?", 0)), clock_us(date, "MMM d, yyyy HH:mm:ss[.SSSSSS] Z"))
-    return F.struct(*[c.alias(n) for n, c in fields.items()], layout.alias("layout"), ts.alias("ts_us"))
+    def named(read: Column) -> Column:
+        at = {n: F.when(F.get(read["found"], F.lit(k)) != "", F.get(read["found"], F.lit(k))) for k, n in enumerate(_NET)}
+        at["filename"] = F.coalesce(at["filename"], at["text"])
+        date = F.concat(F.regexp_replace(F.regexp_extract(at["time"], r"^([A-Z][a-z]{2} +\d{1,2}, \d{4} \d\d:\d\d:\d\d(?:\.\d{1,6})?)", 1), " +", " "), F.lit(" " + OFFSET))
+        ts = F.coalesce(seconds_us(F.regexp_extract(at["time"], r"^\d+(?:\.\d{1,6})?", 0)), clock_us(date, "MMM d, yyyy HH:mm:ss[.SSSSSS] Z"))
+        return F.struct(*[c.alias(n) for n, c in at.items()], read["layout"].alias("layout"), ts.alias("ts_us"))
+
+    return let(number, fields)
 
 
 def url_parts(url: Column) -> list[Column]:
@@ -230,12 +240,15 @@ def url_parts(url: Column) -> list[Column]:
 def key_values(line: Column) -> Column:
     """``k=v k2=v2`` as a map: words without ``=`` go on the value before, quotes around values are dropped."""
     pattern = r"""([\w-]+)=("[^"]*"|'[^']*'|[^=]*?)(?=\s+[\w-]+=|\s*$)"""
-    keys = F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
     values = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(2)), lambda v: F.regexp_replace(F.trim(v), r"""^["']|["']$""", ""))
-    # A key given twice keeps its last value.
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(entries, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == (F.size(keys) - i))
-    return F.map_from_entries(last)
+
+    def entries(keys: Column) -> Column:
+        # A key given twice keeps its last value.
+        zipped = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+        once = F.filter(zipped, lambda e, i: F.array_position(F.reverse(keys), e["k"]) == (F.size(keys) - i))
+        return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), zipped).otherwise(once))
+
+    return let(F.regexp_extract_all(line, F.lit(pattern), F.lit(1)), entries)
 
 
 def event_of(kind: Column, subject: Column, object_: Column, object_type: Column, action: Column, payload: Column) -> Column:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.functions.parsers import key_values
+from tracewright.functions.parsers import key_values, let
 
 #: Calls by what they touch (fixed values of the system's interface).
 DUAL_PATH = ["rename", "link", "symlink", "renameat", "renameat2", "linkat", "symlinkat", "pivot_root", "mount"]
@@ -77,10 +77,8 @@ def raw_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     plain = F.regexp_replace(F.get(body, F.lit(0)), r"[{}]", "")
     more = F.coalesce(F.get(body, F.lit(1)), F.lit(""))
     enriched = F.transform_keys(key_values(more), lambda k, v: F.lower(k))
-    raw = key_values(plain)
-    merged = F.map_from_entries(
-        F.concat(F.filter(F.map_entries(raw), lambda e: ~F.array_contains(F.map_keys(enriched), e["key"])), F.map_entries(enriched))
-    )
+    merged = let(enriched, lambda more: F.map_concat(F.map_filter(key_values(plain), lambda k, v: ~F.map_contains_key(more, k)), more))
+    merged = F.when(more == "", key_values(plain)).otherwise(merged)
     at = part(2).try_cast("bigint") * 1_000_000 + F.rpad(F.substring(part(3), 1, 6), 6, "0").try_cast("bigint")
     return lines.withColumns(
         {"event_id": part(4).try_cast("bigint"), "ts_us": at, "kind": part(1), "fields": merged}
@@ -103,6 +101,15 @@ def searched_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     )
 
 
+def delimited_events(lines: DataFrame, seq: str, text: str = "line") -> DataFrame:
+    """Lines of search output with ``event_no``: dashes end an event and are dropped themselves."""
+    from tracewright.operators.ordering import global_running_sum
+
+    ends = F.startswith(F.col(text), F.lit("--"))
+    counted = global_running_sum(lines.withColumn("event_no", ends.cast("bigint")), "event_no", [seq], "__n")
+    return counted.filter(~F.coalesce(ends, F.lit(False))).withColumn("event_no", F.col("__n")).drop("__n")
+
+
 def assemble(lines: DataFrame, keys: list[str], seq: str) -> DataFrame:
     """One row per event: its call fields, and its other lines in order as (kind, fields)."""
     parts = F.filter(F.collect_list(F.struct(F.col(seq).alias("seq"), "kind", "fields")), lambda p: p["kind"] != "SYSCALL")

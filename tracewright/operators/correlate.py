@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.parsers import payload_relevant
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, low: int, high: int, how: str = "inner") -> DataFrame:
     """Rows of equal ``keys`` with left_at + low <= right_at <= left_at + high, as an equi-join on buckets.
@@ -107,6 +109,84 @@ def parent_names(processes: DataFrame) -> DataFrame:
     return joined.withColumn("parent", F.coalesce("parent", "grandparent")).drop("grandparent")
 
 
+def synthetic_clones(runs: DataFrame, clones: DataFrame, names: DataFrame, order: list[str], dull: list[str]) -> DataFrame:
+    """Started programs (pid, ppid, name) with the clone edge from their parent that the record lacks.
+
+    Only parents that cloned (``clones``: pid, child) get one. A parent is called by the first name seen for
+    it in ``names`` (pid, name), else by that of the process that cloned it; edges from a program of
+    ``dull`` to itself are left out.
+    """
+    first = F.struct(*order)
+    known = names.filter("name is not null").groupBy("pid").agg(F.min_by("name", first).alias("parent_name"))
+    above = clones.groupBy(F.col("child").alias("ppid")).agg(F.min_by("pid", first).alias("__up"))
+    grand = above.join(known.select(F.col("pid").alias("__up"), F.col("parent_name").alias("__grand")), "__up").select("ppid", "__grand")
+    joined = runs.join(clones.select(F.col("pid").alias("ppid")).distinct(), "ppid", "left_semi")
+    joined = joined.join(known.withColumnRenamed("pid", "ppid"), "ppid", "left").join(grand, "ppid", "left")
+    joined = joined.withColumn("parent_name", F.coalesce("parent_name", "__grand")).drop("__grand")
+    same = F.coalesce((F.col("name") == F.col("parent_name")) & F.col("name").isin(dull), F.lit(False))
+    return joined.filter(~same).withColumn("action", F.lit("sys_clone"))
+
+
+def interval_join(events: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
+    """Events whose time lies in a span [low, high], as an equi-join on buckets of ``width``; a span lies in each bucket it touches."""
+    held = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    asked = events.withColumn("__b", F.floor(F.col(at) / width))
+    return asked.join(held, "__b").filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__b")
+
+
+def nearest_gap(asked: DataFrame, marks: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+    """``asked`` with ``out``, the distance of ``at`` to the nearest mark of its keys (null if there is none), by one sort of both."""
+    mark = F.when(F.col("__mark"), F.col(at))
+    both = asked.withColumn("__mark", F.lit(False)).unionByName(marks.select(*keys, at).withColumn("__mark", F.lit(True)), True)
+    order = Window.partitionBy(*keys).orderBy(at, F.col("__mark").desc())
+    back = F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    on = F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    gap = F.least(F.col(at) - F.col("__back"), F.col("__on") - F.col(at))
+    return both.withColumns({"__back": back, "__on": on}).filter("not __mark").withColumn(out, gap).drop("__mark", "__back", "__on")
+
+
+def best_labels(events: DataFrame, units: DataFrame, nets: DataFrame, fields: DataFrame, window: int, prefix: str = "") -> DataFrame:
+    """(event_id, label, s1, s2): for every event the unit of work that scores most, s1 + s2; the first label wins ties.
+
+    ``events`` have (event_id, at, subject, object) in microseconds, ``units`` (label, app_at, payload) with the
+    times of one or more application records, ``nets`` (label, at), ``fields`` (label, v) the values of a unit's
+    records. Units are candidates from ``window`` before their first to ``window`` after their last application
+    record. s1 is the time score in milliseconds to the nearest of application and network records; s2 is
+    I exp((B1 + B2) / A): A the unit's number of values, B1 and B2 how often subject and object are among them
+    (at least 1 where the payload holds them), I the share of the two that are; units with s2 = 0 are none.
+    """
+    spans = units.withColumns({"__lo": F.array_min("app_at") - window, "__hi": F.array_max("app_at") + window})
+    pairs = interval_join(events, spans, "at", "__lo", "__hi", 2 * window)
+    pairs = nearest_gap(pairs, nets, ["label"], "at", "__net")
+    apps = F.array_min(F.transform("app_at", lambda x: F.abs(F.col("at") - x)))
+    near = F.least(apps, F.col("__net"))
+    histogram = fields.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"))
+    whole = histogram.groupBy("label").agg(F.sum("n").alias("a"))
+    pairs = pairs.join(whole, "label")
+    for side in ("subject", "object"):
+        named = histogram.select("label", F.col("v").alias(side), F.col("n").alias(f"__{side}"))
+        pairs = pairs.join(named, ["label", side], "left")
+    hit = lambda side: F.greatest(F.coalesce(f"__{side}", F.lit(0)), F.coalesce(payload_relevant(F.col("payload"), F.col(side), prefix), F.lit(0)))
+    pairs = pairs.withColumns({"__b1": hit("subject"), "__b2": hit("object")})
+    share = ((F.col("__b1") > 0).cast("int") + (F.col("__b2") > 0).cast("int")) / 2
+    scored = pairs.select(
+        "event_id", "label", F.log1p(1 / (near / 1000 + 1e-9)).alias("s1"), (share * F.exp((F.col("__b1") + F.col("__b2")) / F.col("a"))).alias("s2")
+    ).filter("s2 <> 0")
+    best = F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("s"), "label", "s1", "s2")).alias("b")
+    return scored.groupBy("event_id").agg(best).select("event_id", "b.label", "b.s1", "b.s2")
+
+
+def overwrites(records: DataFrame, history: str) -> DataFrame:
+    """(label, n): how often a label was the last but one of a record's history, the one that the last took the place of."""
+    long = records.filter(F.size(history) >= 2)
+    return long.groupBy(F.element_at(history, -2).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mismatched(records: DataFrame, units: DataFrame, label: str, value: str, own: str) -> DataFrame:
+    """Records whose value differs from that of their unit; both are compared as texts."""
+    return records.join(units, label).filter(F.col(value).cast("string") != F.col(own).cast("string"))
+
+
 def key_relevance(events: DataFrame, units: DataFrame, label: str, value: str, subject: str, object_: str) -> DataFrame:
     """exp(B / A): A the unit's histogram total, B the counts of the event's subject and object in it."""
     histogram = units.groupBy(label, value).agg(F.count(F.lit(1)).alias("n"))

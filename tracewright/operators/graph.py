@@ -82,7 +82,7 @@ def time_ms(stamp: Column, source: Column) -> Column:
     return F.floor(ms).cast("bigint")
 
 
-def build_edges(rows: DataFrame, reverse: list[str]) -> DataFrame:
+def build_edges(rows: DataFrame, reverse: list[str], keep: list[str] | None = None) -> DataFrame:
     """Audit rows (process_name, file, ip, port, child, action, ts_us) as edges (src, dst, dst_type, relation, ts_us).
 
     The object is the file, else the socket, else a cloned child; other rows give no edge. Calls in
@@ -96,7 +96,7 @@ def build_edges(rows: DataFrame, reverse: list[str]) -> DataFrame:
         F.when(turned, other).otherwise(F.col("process_name")).alias("src"),
         F.when(turned, F.col("process_name")).otherwise(other).alias("dst"),
         F.when(turned, F.lit("Process")).otherwise(kind).alias("dst_type"),
-        F.col("action").alias("relation"), "ts_us",
+        F.col("action").alias("relation"), "ts_us", *(keep or ()),
     )
 
 

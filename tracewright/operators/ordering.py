@@ -106,3 +106,12 @@ def boundary_relabel(rows: DataFrame, queues: DataFrame, key: str, order: list[s
 def label_numbers(rows: DataFrame, tick: str, order: list[str], out: str = "label") -> DataFrame:
     """Labels in arrival order: by tick, then source and sequence."""
     return global_numbers(rows, [tick, *order], out)
+
+
+def first_of_text(rows: DataFrame, text: str, seq: str, start: int) -> DataFrame:
+    """(text, seq): the first row of every text as it reads from character ``start`` (from 1) on; null texts drop out.
+
+    An aggregate, so a text that is there millions of times is combined before it is moved.
+    """
+    tail = F.substring(text, start, 2**31 - 1)
+    return rows.filter(F.col(text).isNotNull()).groupBy(tail.alias(text)).agg(F.min(seq).alias(seq))

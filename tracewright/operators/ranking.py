@@ -2,67 +2,91 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that are scored against all entities in one pass; a pass holds their vectors in each worker.
-QUERY_BLOCK = 20_000
+#: Queries and candidates that one task compares at a time.
+QUERY_BLOCK, CANDIDATE_BLOCK = 2_000, 20_000
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(values), -1) if len(values) else np.zeros((0, 0))
 
 
-def ranks(queries: DataFrame, entities: DataFrame, known: DataFrame | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+def _nearer(asked: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """For each query, how many vectors lie strictly nearer (L1) than ``own``."""
+    out = np.zeros(len(asked), np.int64)
+    step = max(1, 2_000_000 // max(1, len(vectors)))
+    for low in range(0, len(asked) if len(vectors) else 0, step):
+        part = asked[low : low + step]
+        gap = np.zeros((len(part), len(vectors)))
+        for i in range(vectors.shape[1]):
+            gap += np.abs(part[:, i, None] - vectors[None, :, i])
+        out[low : low + step] = (gap < own[low : low + step, None]).sum(1)
+    return out
+
+
+def ranks(
+    queries: DataFrame, entities: DataFrame, known: DataFrame | None = None, block: int = QUERY_BLOCK, candidates: int = CANDIDATE_BLOCK
+) -> DataFrame:
     """(query_id, rank, filtered_rank) of (query_id, query, target) among (id, vec), lower L1 distance first.
 
-    The query set is read in blocks, each sent to the entity partitions; a partition returns one
-    count a query, never a pair. The rank is 1 + the entities strictly nearer than the target.
-    ``known`` (query_id, id) are other right answers, which the filtered rank does not count; they
-    are compared one by one, as there are few a query.
+    Candidates are heads, tails or relations alike: the query is what the target's vector should be.
+    The rank is 1 + the candidates strictly nearer than the target. ``known`` (query_id, id) are other
+    right answers, which the filtered rank does not count; they are compared one by one, as there are
+    few a query. Where queries have a ``kind`` and candidates ``kinds``, ``typed_rank`` and
+    ``typed_filtered_rank`` count only candidates of the query's kind (the type constraint).
+
+    Queries and candidates are hashed to blocks of bounded size and every query block meets every
+    candidate block once; a meeting gives one count a query, never a pair, and nothing passes the driver.
     """
+    typed = "kind" in queries.columns and "kinds" in entities.columns
+    kind = ["kind"] if typed else []
+    kinds = ["kinds"] if typed else []
     targets = queries.join(entities.select(F.col("id").alias("target"), F.col("vec").alias("tv")), "target")
     distance = F.aggregate(F.zip_with("query", "tv", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
-    measured = targets.withColumn("own", distance).select("query_id", "query", "own")
-    spark = queries.sparkSession
-    parts: DataFrame | None = None
-    rows: list = []
-
-    def flush(rows: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(
-            (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float))
-        )
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, asked, own = held.value
-            nearer = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                vectors = np.array(batch.column(0).to_pylist(), float)
-                step = max(1, 4_000_000 // max(1, vectors.size))
-                for low in range(0, len(ids), step):
-                    gap = np.zeros((len(ids[low : low + step]), len(vectors)))
-                    for i in range(vectors.shape[1] if len(vectors) else 0):
-                        gap += np.abs(asked[low : low + step, i, None] - vectors[None, :, i])
-                    nearer[low : low + step] += (gap < own[low : low + step, None]).sum(1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nearer)], names=["query_id", "n"])
-
-        return entities.select("vec").mapInArrow(count, "query_id bigint, n bigint")
-
-    for row in measured.toLocalIterator(prefetchPartitions=True):
-        rows.append(row)
-        if len(rows) == block:
-            parts = flush(rows) if parts is None else parts.union(flush(rows))
-            rows = []
-    if rows or parts is None:
-        done = flush(rows) if rows else spark.createDataFrame([], "query_id bigint, n bigint")
-        parts = done if parts is None else parts.union(done)
-    raw = parts.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"))
+    measured = targets.withColumn("own", distance).select("query_id", "query", "own", *kind)
+    n_q, n_e = (max(1, -(-t.count() // size)) for t, size in ((queries, block), (entities, candidates)))
+    spread = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = measured.withColumn("qb", spread("query_id", n_q)).withColumn("eb", each(n_e))
+    right = entities.select("id", "vec", *kinds).withColumn("eb", spread("id", n_e)).withColumn("qb", each(n_q))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked, own, vectors = _matrix(a["query"]), a["own"].to_numpy(), _matrix(b["vec"])
+        columns = {"query_id": a["query_id"], "n": pa.array(_nearer(asked, own, vectors))}
+        if typed:
+            n = np.zeros(len(asked), np.int64)
+            of = np.array(a["kind"].to_pylist(), object)
+            held: dict = {}
+            for k, names in enumerate(b["kinds"].to_pylist()):
+                for name in names or ():
+                    held.setdefault(name, []).append(k)
+            for name in set(of.tolist()) & held.keys():
+                rows = np.flatnonzero(of == name)
+                n[rows] = _nearer(asked[rows], own[rows], vectors[held[name]])
+            columns["m"] = pa.array(n)
+        return pa.table(columns)
+
+    id_type = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {id_type}, n bigint" + (", m bigint" if typed else "")
+    met = left.groupBy("qb", "eb").cogroup(right.groupBy("qb", "eb")).applyInArrow(meet, schema)
+    ranked = met.groupBy("query_id").agg((F.sum("n") + 1).alias("rank"), *([(F.sum("m") + 1).alias("typed_rank")] if typed else []))
     if known is None:
-        return raw.withColumn("filtered_rank", F.col("rank"))
-    others = known.join(measured, "query_id").join(entities.select("id", F.col("vec").alias("tv")), "id")
-    nearer = others.withColumn("d", distance).filter("d < own").groupBy("query_id").agg(F.count(F.lit(1)).alias("k"))
-    joined = raw.join(nearer, "query_id", "left")
-    return joined.select("query_id", "rank", (F.col("rank") - F.coalesce("k", F.lit(0))).alias("filtered_rank"))
+        return ranked.withColumns({f"{c[:-4]}filtered_rank": F.col(c) for c in ranked.columns[1:]})
+    others = known.join(measured, "query_id").join(entities.select("id", F.col("vec").alias("tv"), *kinds), "id")
+    fits = F.array_contains("kinds", F.col("kind")) if typed else F.lit(False)
+    nearer = others.withColumn("d", distance).filter("d < own").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("k"), F.count(F.when(fits, 1)).alias("kt")
+    )
+    joined = ranked.join(nearer, "query_id", "left").na.fill(0, ["k", "kt"])
+    out = joined.withColumn("filtered_rank", F.col("rank") - F.col("k"))
+    if typed:
+        out = out.withColumn("typed_filtered_rank", F.col("typed_rank") - F.col("kt"))
+    return out.drop("k", "kt")
 
 
 def rank_metrics(ranked: DataFrame, rank: str = "filtered_rank", hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:

@@ -235,3 +235,8 @@ def weighted_relations(facts: DataFrame, weights: DataFrame, temperature: float
     whole = weights.agg(F.sum(p).alias("z")).first()[0]
     shares = weights.withColumn("p", p / F.lit(whole))
     return shares.withColumn("hi", F.sum("p").over(order)).select("r", (F.col("hi") - F.col("p")).alias("lo"), "hi")
+
+
+def difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct rows of the left side that the right side does not hold; nulls are equal to nulls."""
+    return left.subtract(right)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.functions.parsers import let
+
 
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -21,11 +23,6 @@ def norm(v: Column, p: int = 2) -> Column:
     return total(F.transform(v, F.abs)) if p == 1 else F.sqrt(total(F.transform(v, lambda x: x * x)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over a value that is computed once, where a plain reference would be computed at every use."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def unit(v: Column) -> Column:
     """v / max(|v|, 1e-12)."""
     return let(v, lambda a: let(norm(a), lambda n: F.transform(a, lambda x: x / F.greatest(n, F.lit(1e-12)))))

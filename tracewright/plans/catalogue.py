@@ -170,12 +170,17 @@ def snapshot_cumulative_entities(s, d):
 
 @query(
     _E + """, f AS (SELECT DISTINCT src AS h, rel AS r, dst AS t FROM e),
-    x AS (SELECT h, r, t, d.v AS draw, k.v AS try, (h * 31 + t * 17 + d.v * 7 + k.v * 101) % 100 AS i
-      FROM f, (SELECT unnest([1, 2]) AS v) d, (SELECT unnest([0, 1, 2, 3]) AS v) k),
-    y AS (SELECT *, CASE WHEN draw % 2 = 0 THEN i ELSE h END AS nh, CASE WHEN draw % 2 = 0 THEN t ELSE i END AS nt FROM x),
-    z AS (SELECT y.*, row_number() OVER (PARTITION BY y.h, y.r, y.t, y.draw ORDER BY y.try) AS k FROM y
-      WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.h = y.nh AND f.r = y.r AND f.t = y.nt))
-    SELECT h, r, t, draw, nh, nt FROM z WHERE k = 1"""
+    ent AS (SELECT name, row_number() OVER (ORDER BY min(event_id), name) - 1 AS i FROM (SELECT src AS name, event_id FROM e UNION ALL SELECT dst, event_id FROM e) q GROUP BY name),
+    n AS (SELECT count(*) AS n FROM ent),
+    x AS (SELECT h, r, t, d.v AS draw, k.v AS try, (h * 31 + t * 17 + d.v * 7 + k.v * 101) % n AS i
+      FROM f, n, (SELECT unnest([1, 2]) AS v) d, (SELECT unnest([0, 1, 2, 3]) AS v) k),
+    y AS (SELECT x.*, CASE WHEN draw % 2 = 0 THEN name ELSE h END AS nh, CASE WHEN draw % 2 = 0 THEN t ELSE name END AS nt FROM x JOIN ent USING (i)),
+    z AS (SELECT y.*, row_number() OVER (PARTITION BY y.h, y.r, y.t, y.draw ORDER BY y.try) AS k FROM y ANTI JOIN f ON f.h = y.nh AND f.r = y.r AND f.t = y.nt),
+    found AS (SELECT h, r, t, draw, nh, nt FROM z WHERE k = 1),
+    lost AS (SELECT h, r, t, draw, i AS start FROM y WHERE try = 3 AND NOT EXISTS (SELECT 1 FROM found g WHERE g.h = y.h AND g.r = y.r AND g.t = y.t AND g.draw = y.draw)),
+    tried AS (SELECT lost.*, (ent.i - start + n) % n AS far, CASE WHEN draw % 2 = 0 THEN name ELSE h END AS nh, CASE WHEN draw % 2 = 0 THEN t ELSE name END AS nt FROM lost, ent, n),
+    near AS (SELECT v.*, row_number() OVER (PARTITION BY v.h, v.r, v.t, v.draw ORDER BY far) AS k FROM tried v ANTI JOIN f ON f.h = v.nh AND f.r = v.r AND f.t = v.nt)
+    SELECT * FROM found UNION ALL SELECT h, r, t, draw, nh, nt FROM near WHERE k = 1"""
 )
 def negatives_filtered(s, d):
     f = facts(s, d)
@@ -186,11 +191,12 @@ def negatives_filtered(s, d):
 
 
 @query(
-    _E + """, f AS (SELECT DISTINCT src AS h, rel AS r, dst AS t FROM e), k AS (SELECT DISTINCT r, t FROM f),
-    n AS (SELECT r, t, row_number() OVER (PARTITION BY r ORDER BY t) AS k, count(*) OVER (PARTITION BY r) AS n FROM k),
-    x AS (SELECT f.h, f.r, f.t, d.v AS draw, (n.k - 1 + d.v) % n.n + 1 AS want FROM f JOIN n USING (r, t), (SELECT unnest([1, 2]) AS v) d)
-    SELECT x.h, x.r, x.t, x.draw, m.t AS nt FROM x JOIN n m ON m.r = x.r AND m.k = x.want
-    WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.h = x.h AND f.r = x.r AND f.t = m.t)"""
+    _E + """, f AS (SELECT DISTINCT src AS h, rel AS r, dst AS t FROM e), k AS (SELECT DISTINCT r, t FROM f), p AS (SELECT DISTINCT h, r FROM f),
+    u AS (SELECT p.h, p.r, k.t FROM p JOIN k USING (r) ANTI JOIN f ON f.h = p.h AND f.r = p.r AND f.t = k.t),
+    l AS (SELECT h, r, list(t ORDER BY t) AS free FROM u GROUP BY h, r),
+    c AS (SELECT f.h, f.r, f.t, d.v AS draw, free, list_concat(list_filter(free, lambda x: x > f.t), list_filter(free, lambda x: x < f.t)) AS following
+      FROM f JOIN l USING (h, r), (SELECT unnest([1, 2]) AS v) d)
+    SELECT h, r, t, draw, following[(draw - 1) % len(free) + 1] AS nt FROM c"""
 )
 def negatives_type_constrained(s, d):
     return T.constrained_tails(facts(s, d), 2)
@@ -463,10 +469,10 @@ def head_anchored_gap(s, d):
 
 @query(
     _E + """
-    , h AS (SELECT src, rel, dst, us FROM e), o AS (SELECT a.src AS start, a.dst AS node, min(a.us) AS t0 FROM h a WHERE a.rel = 'click' GROUP BY a.src, a.dst),
-    t AS (SELECT o.start, b.dst AS node, min(b.us) AS t0 FROM o JOIN h b ON b.rel = 'click' AND b.src = o.node AND b.us > o.t0 GROUP BY o.start, b.dst),
-    u AS (SELECT start, node, t0, 1 AS hop FROM o UNION ALL SELECT start, node, t0, 2 FROM t)
-    SELECT start, node, min(t0) AS "at", CAST(min(hop) AS INTEGER) AS hop FROM u GROUP BY start, node"""
+    , o AS (SELECT rel, src AS start, dst AS node, min(us) AS t0 FROM e GROUP BY rel, src, dst),
+    t AS (SELECT o.rel, o.start, b.dst AS node, min(b.us) AS t0 FROM o JOIN e b ON b.rel = o.rel AND b.src = o.node AND b.us > o.t0 GROUP BY o.rel, o.start, b.dst),
+    u AS (SELECT rel, start, node, t0, 1 AS hop FROM o UNION ALL SELECT rel, start, node, t0, 2 FROM t)
+    SELECT rel, start, node, min(t0) AS "at", CAST(min(hop) AS INTEGER) AS hop FROM u GROUP BY rel, start, node"""
 )
 def temporal_reachability_2hop(s, d):
     edges = E(s, d).select("rel", "src", "dst", F.col("us").alias("at"))

@@ -28,18 +28,22 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_A = r"^([^ ]+) ([^ ]+) ([^ ]+) \[([^\]]+)\] \"([^\"\\]*)\" ([^ ]+) ([^ ]+)( - ([^ ]+) ([^ ]+) ([^ ]+))?$"
+#: The fields of a row, told by one pattern: escaped characters, quoted and (where wanted) bracketed texts belong to their field.
+_FIELDS = r"""(?:\\(?:.|\n)|"(?:\\(?:.|\n)|[^"\\])*"|{bracketed}[^\s"\\{open}]|\\)+"""
+_WITH = _FIELDS.replace("{bracketed}", r"""\[(?:\\(?:.|\n)|[^\]"\\])*\]|\[|""").replace("{open}", r"\[")
+_WITHOUT = _FIELDS.replace("{bracketed}", "").replace("{open}", "")
+_BARE = r"""regexp_replace(regexp_replace(regexp_replace({x}, $re$^"((?:\\(?:.|\n)|[^"\\])*)"$$re$, '\1'),
+  $re$^\[((?:\\(?:.|\n)|[^\[\]\\])*)\]$$re$, '\1'), $re$\\([\\"\[\]\s])$re$, '\1', 'g')"""
 
 
-def _ex(k: int) -> str:
-    return f"nullif(regexp_extract(raw, '{_A.replace(chr(92) + chr(34), chr(34))}', {k}), '')"
+def _fields_sql(feed: str, pattern: str) -> str:
+    return f"""WITH q AS (SELECT DISTINCT row_id, rtrim(raw, chr(13)) AS raw FROM accessrows WHERE feed = '{feed}'),
+  w AS (SELECT row_id, raw, regexp_extract_all(raw, $re${pattern}$re$) AS parts, regexp_replace(raw, $re$\\\\.$re$, '', 'g') AS plain FROM q),
+  p AS (SELECT row_id, len(plain) - len(replace(plain, '"', '')) AS quotes, parts, list_transform(parts, lambda x: {_BARE.format(x="x")}) AS f FROM w)"""
 
 
-def _end(k: int) -> str:
-    return f"nullif(regexp_extract(raw, '\" [^ ]+ [^ ]+ - ([^ ]+) ([^ ]+) ([^ ]+)$', {k}), '')"
-
-
-_ACCESS = f"""WITH r AS (SELECT * FROM (SELECT DISTINCT row_id, rtrim(raw, chr(13)) AS raw FROM accessrows WHERE feed = 'ApacheLog') q WHERE regexp_matches(raw, '{_A.replace(chr(92) + chr(34), chr(34))}'))"""
+_ACCESS = _fields_sql("ApacheLog", _WITH) + """,
+  r AS (SELECT row_id, CASE WHEN quotes % 2 = 0 AND len(f) IN (7, 11) AND regexp_matches(parts[4], $re$^\\[.*\\]$$re$) THEN f END AS f FROM p)"""
 
 
 def _access_rows(s: SparkSession, d: str) -> DataFrame:
@@ -47,8 +51,8 @@ def _access_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{_ACCESS} SELECT row_id, {_ex(1)} AS host, {_ex(4)} AS "time", {_ex(6)} AS response_code, {_ex(7)} AS transfer_size, {_end(1)} AS dst_ip,
-    {_end(2)} AS dst_port, {_end(3)} AS pid, nullif(split_part({_ex(5)}, ' ', 1), '') AS method FROM r"""
+    _ACCESS + """ SELECT row_id, nullif(f[1], '') AS host, nullif(f[4], '') AS "time", nullif(f[6], '') AS response_code, nullif(f[7], '') AS transfer_size,
+    nullif(f[9], '') AS dst_ip, nullif(f[10], '') AS dst_port, nullif(f[11], '') AS pid, nullif(regexp_extract(f[5], '^([^\\s]+) ', 1), '') AS method FROM r"""
 )
 def apache_fields(s, d):
     """Every row of the feed; rows that are no access line (field count, quoting, time) have null fields."""
@@ -57,10 +61,7 @@ def apache_fields(s, d):
     return _access_rows(s, d).withColumn("f", fields).select("row_id", *[F.col(f"f.{c}") for c in keep])
 
 
-@query(
-    f"""{_ACCESS}, p AS (SELECT row_id, {_ex(1)} AS host, {_ex(6)} AS code FROM r)
-    SELECT host, count(*) AS n, sum(CASE WHEN code >= '400' THEN 1 ELSE 0 END) AS failed FROM p GROUP BY host"""
-)
+@query(_ACCESS + " SELECT nullif(f[1], '') AS host, count(*) AS n, CAST(sum(CASE WHEN f[6] >= '400' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM r GROUP BY 1")
 def host_activity(s, d):
     """Rows and failures per host; the null host counts the rows that are no access line."""
     f = apache_fields(s, d)
@@ -68,13 +69,11 @@ def host_activity(s, d):
     return f.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(failed).alias("failed"))
 
 
-_F = r"^([A-Z][a-z][a-z] [A-Z][a-z][a-z] [0-9][0-9] [^ ]+ [0-9][0-9][0-9][0-9]) ([^ ]+) ([^ ]+) ([^ ]+) ([^ \"\\]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+) ([^ ]+)$".replace('\\"', '"')
-
-
 @query(
-    f"""WITH r AS (SELECT * FROM (SELECT DISTINCT row_id, rtrim(raw, chr(13)) AS raw FROM accessrows WHERE feed = 'ProftpdLog') q WHERE regexp_matches(raw, '{_F}'))
-    SELECT row_id, regexp_extract(raw, '{_F}', 1) AS "time", split_part(raw, ' ', 7) AS host, split_part(raw, ' ', 8) AS transfer_size,
-    split_part(raw, ' ', 9) AS file, split_part(raw, ' ', 11) AS transfer_status, split_part(raw, ' ', 18) AS ftp_command FROM r"""
+    _fields_sql("ProftpdLog", _WITHOUT) + """,
+    r AS (SELECT row_id, CASE WHEN quotes % 2 = 0 AND len(f) = 18 AND regexp_matches(array_to_string(f[1:5], ' '), $re$^\\S+ \\S+ \\d+ \\S+ \\d{4}$$re$) THEN f END AS f FROM p)
+    SELECT row_id, CASE WHEN f IS NOT NULL THEN array_to_string(f[1:5], ' ') END AS "time", nullif(f[7], '') AS host, nullif(f[8], '') AS transfer_size,
+    nullif(f[9], '') AS file, nullif(f[11], '') AS transfer_status, nullif(f[18], '') AS ftp_command FROM r"""
 )
 def proftpd_fields(s, d):
     """Every row of the feed; rows that are no transfer line (field count, quoting) have null fields."""

@@ -23,6 +23,21 @@ def cut_graphs(edges: DataFrame, noise: list[str] | None = None) -> DataFrame:
     return G.cpr_merge(G.merge_nodes(edges, noise), ["graph_id"], "event_id")
 
 
+def compress(edges: DataFrame, keys: list[str], edge_id: str, lasts_ms: int = 1000, gap_ms: int = 10, least: float = 0.95) -> DataFrame:
+    """(edge_id, start, end, n_edges) of the edges that all four stages of the compression leave.
+
+    ``edges`` have (src, dst, relation, stamp, data_source, log_data) and the keys; printed times are brought
+    to milliseconds, every edge lasts ``lasts_ms``. Stages: noise nodes, causality (an edge stands for those
+    merged into it), events like the one before, network noise.
+    """
+    timed = edges.withColumn("start", G.time_ms(F.col("stamp"), F.lit("audit"))).withColumn("end", F.col("start") + lasts_ms)
+    cut = G.cpr_merge(G.merge_nodes(timed), keys, edge_id)
+    rows = cut.join(edges.select(edge_id, "data_source", "log_data"), edge_id)
+    sets = rows.withColumn("values", F.coalesce(G.value_set(F.col("log_data")), F.array().cast("array<string>")))
+    kept = G.head_anchored(sets.withColumn("relation", F.coalesce("relation", F.lit(""))), [*keys, "src", "dst", "relation"], edge_id, gap_ms, least)
+    return G.drop_net_noise(rows.join(kept, edge_id, "left_semi")).select(edge_id, "start", "end", "n_edges")
+
+
 def graph_snapshots(edges: DataFrame, slices: int = 4) -> DataFrame:
     """Edges with their time slice, and once more under the slice ``slices``, which is the whole."""
     sliced = O.time_slices(edges, ["start", "event_id"], slices)
