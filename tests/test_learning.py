@@ -94,7 +94,43 @@ def test_denstream_against_a_plain_fold(spark):
     plain = K.MicroClusters(1.0, 0.5, 3.0, 0.01)
     for _, _, vec in rows:
         plain.add(np.array(vec))
-    assert got == sorted((round(plain._faded(c), 6), [round(float(x), 6) for x in c[0]]) for c in plain.kept) and len(got) == 3
+    assert got == sorted((round(c[2], 6), [round(float(x), 6) for x in c[0]]) for c in plain.kept) and len(got) == 3
+
+
+def test_denstream_labels(spark):
+    frame, rows = vectors(spark, 90)
+    stream = frame.withColumn("g", F.lit(1))
+    folded = K.denstream(stream, ["g"], ["id"], 1.0, 0.5, 3.0, 0.01)
+    labels = {r.id: r.cluster for r in K.denstream_labels(stream, ["g"], "id", folded).collect()}
+    assert len({labels[r[0]] for r in rows}) == 3 and all(labels[r[0]] == labels[r[1]] for r in rows)
+    other = K.denstream_labels(frame.withColumn("g", F.lit(2)), ["g"], "id", folded)
+    assert {r.cluster for r in other.collect()} == {None}
+
+
+def test_average_linkage_against_nearest_pairs():
+    rng = np.random.default_rng(3)
+    for _ in range(10):
+        x, k = rng.normal(size=(20, 3)), int(rng.integers(1, 6))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        groups = [[i] for i in range(len(x))]
+        while len(groups) > k:
+            _, i, j = min(((1 - u @ u.T)[np.ix_(a, b)].mean(), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            groups[i] += groups.pop(j)
+        own = {i: g for g, members in enumerate(groups) for i in members}
+        assert len({(a, own[i]) for i, a in enumerate(N.agglomerate(x, k))}) == k
+
+
+def test_batches_do_not_depend_on_partitions(spark):
+    pairs = spark.createDataFrame([(k, [1.0, float(k)], [1.0, float(k) + 0.1]) for k in range(20)], "k int, a array<double>, b array<double>")
+    one, two = (sorted((r.k, round(r.loss, 9)) for r in N.contrastive_by_batch(pairs.repartition(n), "k", 6).collect()) for n in (1, 5))
+    assert one == two and len(one) == 20
+
+
+def test_a_large_graph_is_searched_too():
+    n = 3000
+    links = {k: {x for x in (k - 1, k + 1) if 0 <= x < n} for k in range(n)}
+    atoms, score = N.search_subgraph({k: np.array([1.0]) for k in range(n)}, links, np.array([5.0]), 10, rounds=1, branches=1)
+    assert 0 < len(atoms) and score > 0
 
 
 def test_encoders(spark):

@@ -14,8 +14,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tracewright.operators.vectors import element_stats, gathered
 from tracewright.session import stored
 
-#: Centres that assignment may hold in each worker.
-MAX_CENTRES = 100_000
+#: Bytes of centres that assignment may hold in each worker.
+MAX_CENTRE_BYTES = 256 << 20
+
+
+def held_centres(centres: DataFrame, *columns: str) -> list:
+    """The rows of a table of centres, after a check that their vectors fit into a worker."""
+    sized = centres.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("d")).first()
+    if sized["n"] * max(sized["d"], 1) * 8 > MAX_CENTRE_BYTES:
+        raise ValueError(f"{sized['n']} centres of {sized['d']} elements are more than {MAX_CENTRE_BYTES} bytes")
+    return centres.select(*columns).collect()
 
 
 def centroids(vectors: DataFrame, label: str, how: str = "mean") -> DataFrame:
@@ -28,9 +36,7 @@ def assign(vectors: DataFrame, centres: DataFrame, key: str, label: str) -> Data
 
     Centres are few by nature; their number is checked before they go to the workers.
     """
-    listed = centres.select(label, "vec").limit(MAX_CENTRES + 1).collect()
-    if len(listed) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} centres")
+    listed = held_centres(centres, label, "vec")
     listed.sort(key=lambda r: r[0])
     names = pa.array([r[0] for r in listed], to_arrow_type(centres.schema[label].dataType))
     matrix = np.array([r[1] for r in listed], float)
@@ -72,6 +78,27 @@ def kmeans(vectors: DataFrame, seeds: DataFrame, key: str, label: str, rounds: i
     return assign(vectors, centres, key, label)
 
 
+def minibatch_step(batch: DataFrame, centres: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """((key, label, distance), centres) of one batch: its vectors by the centres as they were, and the centres moved to the running mean.
+
+    ``centres`` have (label, vec, n), n the vectors that each stands for so far (0 for a seed).
+    """
+    assigned = stored(assign(batch, centres, key, label))
+    stats = centroids(batch.join(assigned.select(key, label), key), label, "sum").withColumnRenamed("vec", "total")
+    counts = assigned.groupBy(label).agg(F.count(F.lit(1)).alias("m"))
+    joined = centres.join(stats, label, "left").join(counts, label, "left").na.fill(0, ["m"])
+    n = F.col("n") + F.col("m")
+    moved = F.when(F.col("m") == 0, F.col("vec")).otherwise(F.zip_with("vec", "total", lambda c, t: (c * F.col("n") + t) / n))
+    return assigned, joined.select(label, moved.alias("vec"), n.alias("n"))
+
+
+def hashed_seeds(vectors: DataFrame, key: str, k: int, label: str = "label") -> DataFrame:
+    """(label, vec, n): k vectors as seeds, those whose keys hash lowest."""
+    first = vectors.orderBy(F.xxhash64(key), key).limit(k)
+    order = Window.orderBy(F.xxhash64(key), key)  # k rows
+    return first.select((F.row_number().over(order) - 1).alias(label), "vec", F.lit(0).cast("bigint").alias("n"))
+
+
 def neighbour_pairs(vectors: DataFrame, key: str, eps: float, dims: int = 3) -> DataFrame:
     """(a, b): vectors within ``eps``, by a grid of cells of that width over the elements of most spread.
 
@@ -113,9 +140,7 @@ def quality(vectors: DataFrame, key: str, label: str) -> DataFrame:
     norms = vectors.withColumn("q", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     stats = gathered(element_stats(vectors, [label]), [label], "sum").withColumnRenamed("vec", "total")
     sums = norms.groupBy(label).agg(n.alias("n"), F.sum("q").alias("qq")).join(stats, label)
-    listed = sums.select(label, "n", "qq", "total").limit(MAX_CENTRES + 1).collect()
-    if len(listed) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} clusters")
+    listed = held_centres(sums.withColumn("vec", F.col("total")), label, "n", "qq", "total")
     listed.sort(key=lambda r: r[0])
     sizes = np.array([r["n"] for r in listed], float)
     squares, totals = np.array([r["qq"] for r in listed], float), np.array([r["total"] for r in listed], float)
@@ -183,35 +208,38 @@ def weighted_scores(pairs: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 class MicroClusters:
-    """DenStream: decaying potential and outlier micro-clusters of a stream."""
+    """DenStream: decaying potential and outlier micro-clusters of a stream.
+
+    A cluster fades by 2^-decay with every sample it takes; an outlier is held to the weight that its age
+    since it was made asks for.
+    """
 
     def __init__(self, eps: float, beta: float, mu: float, decay: float) -> None:
-        self.eps, self.beta, self.mu, self.decay = eps, beta, mu, decay
-        self.kept: list[list] = []  # potential: [mean, m2, weight, last time]
+        self.eps, self.least, self.decay = eps, beta * mu, decay
+        self.kept: list[list] = []  # potential: [mean, variance sum, weight, time made]
         self.loose: list[list] = []  # outlier
         self.now = 0
-        ratio = beta * mu / max(beta * mu - 1, 1e-9)
-        self.every = max(1, int(np.ceil(np.log2(max(ratio, 1.0 + 1e-9)) / decay))) if decay > 0 else 1 << 30
-
-    def _faded(self, c: list) -> float:
-        return c[2] * 2.0 ** (-self.decay * (self.now - c[3]))
+        ratio = self.least / max(self.least - 1, 1e-9)
+        self.every = max(1, int(np.ceil(np.log(max(ratio, 1.0 + 1e-9)) / decay))) if decay > 0 else 1 << 30
 
     def _with(self, c: list, x: np.ndarray, w: float) -> list:
-        old = self._faded(c)
-        weight = old + w
-        shift = x - c[0]
-        mean = c[0] + shift * (w / weight)
-        m2 = c[1] * (old / max(c[2], 1e-300)) + w * shift * (x - mean)
-        return [mean, m2, weight, self.now]
+        weight = c[2] * 2.0**-self.decay + w
+        mean = c[0] + (w / weight) * (x - c[0])
+        spread = c[1] * ((weight - w) / c[2]) + w * (x - mean) * (x - c[0])
+        return [mean, spread, weight, c[3]]
 
     @staticmethod
     def radius(c: list) -> float:
-        return float(np.sqrt(np.maximum(c[1] / max(c[2], 1e-300), 0).max()))
+        return float(np.linalg.norm(np.sqrt(np.maximum(c[1], 0) / c[2])))
+
+    @staticmethod
+    def nearest(group: list[list], x: np.ndarray) -> int:
+        return int(np.argmin([np.linalg.norm(c[0] - x) for c in group]))
 
     def _try(self, group: list[list], x: np.ndarray, w: float) -> int | None:
         if not group:
             return None
-        k = int(np.argmin([((c[0] - x) ** 2).sum() for c in group]))
+        k = self.nearest(group, x)
         trial = self._with(group[k], x, w)
         if self.radius(trial) > self.eps:
             return None
@@ -219,34 +247,68 @@ class MicroClusters:
         return k
 
     def add(self, x: np.ndarray, w: float = 1.0) -> None:
-        self.now += 1
         if self._try(self.kept, x, w) is None:
             k = self._try(self.loose, x, w)
             if k is None:
                 self.loose.append([x.astype(float), np.zeros(len(x)), w, self.now])
-            elif self.loose[k][2] > self.beta * self.mu:
+            elif self.loose[k][2] > self.least:
                 self.kept.append(self.loose.pop(k))
         if self.now % self.every == 0:
-            self.kept = [c for c in self.kept if self._faded(c) >= self.beta * self.mu]
-            self.loose = [c for c in self.loose if self._faded(c) >= self._least(c)]
+            self.kept = [c for c in self.kept if c[2] >= self.least]
+            self.loose = [c for c in self.loose if c[2] >= self._asked(c)]
+        self.now += 1
+
+    def _asked(self, c: list) -> float:
+        fade = lambda t: 2.0 ** (-self.decay * t) - 1
+        return fade(self.now - c[3] + self.every) / fade(self.every) if self.decay > 0 else 0.0
+
+    def labels(self, eps: float = 0.3, min_weight: float = 5.0) -> list[int]:
+        """DBSCAN of the potential clusters by their weights: a number for each, -1 for noise."""
+        if not self.kept:
+            return []
+        centres, weights = np.array([c[0] for c in self.kept]), np.array([c[2] for c in self.kept])
+        near = [np.flatnonzero(np.linalg.norm(centres - x, axis=1) <= eps) for x in centres]
+        core = [weights[n].sum() >= min_weight for n in near]
+        out, next_ = [-1] * len(centres), 0
+        for k in range(len(centres)):
+            if not core[k] or out[k] >= 0:
+                continue
+            todo, out[k] = [k], next_
+            while todo:
+                for n in near[todo.pop()]:
+                    if out[n] < 0:
+                        out[n] = next_
+                        if core[n]:
+                            todo.append(n)
+            next_ += 1
+        return out
 
-    def _least(self, c: list) -> float:
-        top = 2.0 ** (-self.decay * (self.now - c[3] + self.every)) - 1
-        return top / (2.0 ** (-self.decay * self.every) - 1) if self.decay > 0 else 0.0
+
+def denstream_labels(vectors: DataFrame, keys: list[str], key: str, folded: DataFrame) -> DataFrame:
+    """(keys, key, cluster): every vector by the label of its nearest potential cluster of ``folded``; null in streams without one.
+
+    Streams have few potential clusters; they are gathered to one row a stream and joined.
+    """
+    held = folded.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("number", "centre", "cluster"))).alias("__c"))
+    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    far = F.transform("__c", lambda c: F.struct(square(F.col("vec"), c["centre"]).alias("d"), c["number"].alias("number"), c["cluster"].alias("cluster")))
+    return vectors.join(held, keys, "left").select(*keys, key, F.array_min(far)["cluster"].alias("cluster"))
 
 
 def denstream(vectors: DataFrame, keys: list[str], order: list[str], eps: float, beta: float, mu: float, decay: float) -> DataFrame:
-    """(keys, centre, weight): potential micro-clusters per stream, folded in order with bounded state.
+    """(keys, number, centre, weight, cluster): potential micro-clusters per stream, folded in order with bounded state.
+
+    ``cluster`` is the final grouping of the micro-clusters, -1 for those that are noise.
 
     A stream is one ordered fold by nature; rows reach it sorted in batches, and only its
     micro-clusters are held.
     """
     ordered = vectors.select(*keys, *order, "vec").repartition(*keys).sortWithinPartitions(*keys, *order)
-    schema = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", centre array<double>, weight double"
+    schema = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in keys) + ", number int, centre array<double>, weight double, cluster int"
 
     def out(key: tuple, state: MicroClusters) -> pd.DataFrame:
-        rows = [(*key, c[0].tolist(), state._faded(c)) for c in state.kept]
-        return pd.DataFrame(rows, columns=[*keys, "centre", "weight"])
+        rows = [(*key, k, c[0].tolist(), c[2], label) for k, (c, label) in enumerate(zip(state.kept, state.labels(), strict=True))]
+        return pd.DataFrame(rows, columns=[*keys, "number", "centre", "weight", "cluster"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -334,27 +396,28 @@ def clustream(vectors: DataFrame, keys: list[str], order: list[str], m: int = 25
 
 def prototype_merges(prototypes: DataFrame, key: str, share: float) -> DataFrame:
     """(a, b) prototypes nearer than the k-th smallest nearest distance; prototypes are a bounded set."""
-    listed = prototypes.select(key, "vec").limit(10_001).collect()
-    if len(listed) > 10_000:
-        raise ValueError("more than 10,000 prototypes")
+    listed = held_centres(prototypes, key, "vec")
     listed.sort(key=lambda r: r[0])
     x = np.array([r[1] for r in listed], float)
     schema = f"a {prototypes.schema[key].dataType.simpleString()}, b {prototypes.schema[key].dataType.simpleString()}"
     if len(x) < 2:
         return prototypes.sparkSession.createDataFrame([], schema)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    np.fill_diagonal(d, np.inf)
-    nearest = np.sort(d.min(1))
+
+    def row(i: int) -> np.ndarray:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        d[i] = np.inf
+        return d
+
+    # Distances are made a row at a time, so that only one row is held.
+    nearest = np.sort([row(i).min() for i in range(len(x))])
     limit = nearest[min(len(nearest) - 1, max(0, int(share * len(nearest)) - 1))]
-    pairs = [(listed[i][0], listed[j][0]) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= limit + 1e-9]
+    pairs = [(listed[i][0], listed[j][0]) for i in range(len(x)) for j in np.flatnonzero(row(i) <= limit + 1e-9) if j > i]
     return prototypes.sparkSession.createDataFrame(pairs, schema)
 
 
 def prototype_scores(vectors: DataFrame, prototypes: DataFrame, key: str, temperature: float = 0.2) -> DataFrame:
     """(key, score): least exp(cos / (temperature * density)) over prototypes (vec, density), a bounded set."""
-    listed = prototypes.select("vec", "density").limit(MAX_CENTRES + 1).collect()
-    if len(listed) > MAX_CENTRES:
-        raise ValueError(f"more than {MAX_CENTRES} prototypes")
+    listed = held_centres(prototypes, "vec", "density")
     c = np.array([r["vec"] for r in listed], float)
     width = np.array([r["density"] for r in listed], float) * temperature
     c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)

@@ -6,13 +6,12 @@ grouped sum) and a matrix product on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.ordering import global_numbers
 from tracewright.operators.vectors import readout
 
 
@@ -58,17 +57,19 @@ def contrastive(a: np.ndarray, b: np.ndarray, temperature: float = 0.2) -> np.nd
 
 
 def contrastive_by_batch(pairs: DataFrame, key: str, batch: int) -> DataFrame:
-    """(key, loss) of (key, a, b) rows; batches are runs of the key's hash order, of at most ``batch`` rows."""
-    spread = pairs.select(key, "a", "b").repartitionByRange(F.xxhash64(key)).sortWithinPartitions(F.xxhash64(key))
+    """(key, loss) of (key, a, b) rows; batches are runs of ``batch`` rows in the key's hash order, the last one shorter.
+
+    Rows are numbered first, so a batch is the same however the data is partitioned.
+    """
+    hashed = pairs.select(key, "a", "b").withColumn("__h", F.xxhash64(key))
+    numbered = global_numbers(hashed, ["__h", key], "__n").withColumn("__batch", F.floor(F.col("__n") / batch))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for low in range(0, len(frame), batch):
-                part = frame.iloc[low : low + batch]
-                a, b = (np.stack(part[c].map(np.asarray).to_list()) for c in ("a", "b"))
-                yield pd.DataFrame({key: part[key].to_numpy(), "loss": contrastive(a, b)})
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = frame.sort_values("__n")
+        a, b = (np.stack(part[c].map(np.asarray).to_list()) for c in ("a", "b"))
+        return pd.DataFrame({key: part[key].to_numpy(), "loss": contrastive(a, b)})
 
-    return spread.mapInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, loss double")
+    return numbered.groupBy("__batch").applyInPandas(run, f"{key} {pairs.schema[key].dataType.simpleString()}, loss double")
 
 
 def prototype_similarity(distance: np.ndarray) -> np.ndarray:
@@ -83,6 +84,10 @@ def class_connections(classes: list[int], n_classes: int, wrong: float = -0.5) -
     return out
 
 
+#: Steps in which a search takes a graph apart.
+STEPS = 500
+
+
 class _Node:
     def __init__(self, atoms: tuple[int, ...]) -> None:
         self.atoms, self.children, self.n, self.total, self.prior = atoms, [], 0, 0.0, 0.0
@@ -105,7 +110,10 @@ def _largest_part(atoms: set[int], links: dict[int, set[int]]) -> tuple[int, ...
 
 
 def search_subgraph(vectors: dict[int, np.ndarray], links: dict[int, set[int]], prototype: np.ndarray, max_atoms: int, least: int = 2, rounds: int = 20, explore: float = 5.0, branches: int = 12) -> tuple[tuple[int, ...], float]:
-    """The connected part of at most ``max_atoms`` nodes most like a prototype, by tree search with PUCT."""
+    """The connected part of at most ``max_atoms`` nodes most like a prototype, by tree search with PUCT.
+
+    A step takes a share of the nodes away (one in ``STEPS``, at least one), so that large graphs need not more steps.
+    """
 
     def value(atoms: tuple[int, ...]) -> float:
         centre = sum(vectors[a] for a in atoms)
@@ -115,24 +123,30 @@ def search_subgraph(vectors: dict[int, np.ndarray], links: dict[int, set[int]],
     root = _Node(_largest_part(set(vectors), links))
     known[root.atoms] = root
 
-    def roll(node: _Node) -> float:
-        if len(node.atoms) <= least:
-            return value(node.atoms)
-        if not node.children:
-            by_degree = sorted(node.atoms, key=lambda a: (len(links.get(a, set()) & set(node.atoms)), a))
-            for a in by_degree[:branches]:
-                part = _largest_part(set(node.atoms) - {a}, links)
-                if part:
-                    child = known.setdefault(part, _Node(part))
-                    child.prior = child.prior or value(part)
-                    if child not in node.children:
-                        node.children.append(child)
-        whole = sum(c.n for c in node.children)
-        best = max(node.children, key=lambda c: ((c.total / c.n if c.n else 0.0) + explore * c.prior * np.sqrt(whole + 1) / (1 + c.n), -len(c.atoms)))
-        found = roll(best)
-        best.n += 1
-        best.total += found
-        return found
+    def grown(node: _Node) -> None:
+        inside = set(node.atoms)
+        by_degree = sorted(node.atoms, key=lambda a: (len(links.get(a, set()) & inside), a))
+        step = max(1, len(by_degree) // STEPS)
+        for low in range(0, min(branches * step, len(by_degree)), step):
+            part = _largest_part(inside - set(by_degree[low : low + step]), links)
+            if part:
+                child = known.setdefault(part, _Node(part))
+                child.prior = child.prior or value(part)
+                if child not in node.children:
+                    node.children.append(child)
+
+    def roll(node: _Node) -> None:
+        way = []
+        while len(node.atoms) > least:
+            if not node.children:
+                grown(node)
+            whole = sum(c.n for c in node.children)
+            node = max(node.children, key=lambda c: ((c.total / c.n if c.n else 0.0) + explore * c.prior * np.sqrt(whole + 1) / (1 + c.n), -len(c.atoms)))
+            way.append(node)
+        found = value(node.atoms)
+        for passed in way:
+            passed.n += 1
+            passed.total += found
 
     for _ in range(rounds):
         roll(root)
@@ -141,10 +155,8 @@ def search_subgraph(vectors: dict[int, np.ndarray], links: dict[int, set[int]],
     return top.atoms, value(top.atoms)
 
 
-def explain_graphs(nodes: DataFrame, edges: DataFrame, graph: str, prototype: np.ndarray, max_atoms: int, max_nodes: int = 5000) -> DataFrame:
-    """(graph, atoms, score) of every graph of at most ``max_nodes`` nodes; larger ones come out with null atoms."""
-    size = nodes.groupBy(graph).agg(F.count(F.lit(1)).alias("n"))
-    small = nodes.join(size.filter(F.col("n") <= max_nodes).select(graph), graph)
+def explain_graphs(nodes: DataFrame, edges: DataFrame, graph: str, prototype: np.ndarray, max_atoms: int) -> DataFrame:
+    """(graph, atoms, score) of every graph: a search holds one graph in one task."""
     kind = nodes.schema[graph].dataType.simpleString()
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -159,36 +171,58 @@ def explain_graphs(nodes: DataFrame, edges: DataFrame, graph: str, prototype: np
         atoms, score = search_subgraph(vectors, links, prototype, max_atoms)
         return pd.DataFrame({graph: [a[graph].iloc[0]], "atoms": [list(atoms)], "score": [score]})
 
-    done = small.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(run, f"{graph} {kind}, atoms array<bigint>, score double")
-    large = size.filter(F.col("n") > max_nodes).select(graph, F.lit(None).cast("array<bigint>").alias("atoms"), F.lit(None).cast("double").alias("score"))
-    return done.unionByName(large)
+    return nodes.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(run, f"{graph} {kind}, atoms array<bigint>, score double")
 
 
 def agglomerate(vectors: np.ndarray, clusters: int) -> np.ndarray:
-    """Average-linkage clusters by cosine distance of a bounded set of vectors."""
+    """Average-linkage clusters by cosine distance.
+
+    The mean cosine distance of two clusters is had from their sums, 1 - S.T / (m n), so no matrix of
+    distances is held. Merges are found along chains of nearest neighbours, which gives the same tree as
+    merging the nearest pair first; the lowest merges are then made.
+    """
+    n = len(vectors)
     x = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    d = 1 - x @ x.T
-    np.fill_diagonal(d, np.inf)
-    size, member = np.ones(len(x)), np.arange(len(x))
-    for _ in range(max(0, len(x) - clusters)):
-        i, j = divmod(int(d.argmin()), len(x))
-        i, j = min(i, j), max(i, j)
-        joined = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-        d[i, :], d[:, i] = joined, joined
-        d[i, i] = np.inf
-        d[j, :], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        member[member == j] = i
-    return np.unique(member, return_inverse=True)[1]
-
-
-def agglomerative(vectors: DataFrame, keys: list[str], key: str, clusters: int, max_rows: int = 5000) -> DataFrame:
-    """(keys, key, cluster) per group of at most ``max_rows`` vectors; larger groups fail with a message."""
+    total, size, alive = x.astype(float).copy(), np.ones(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(alive)[0])]
+        while True:
+            at = chain[-1]
+            far = np.where(alive, 1 - total @ total[at] / (size * size[at]), np.inf)
+            far[at] = np.inf
+            near = int(far.argmin())
+            if len(chain) > 1 and far[chain[-2]] <= far[near] + 1e-15:
+                near = chain[-2]
+                break
+            chain.append(near)
+        at, near = chain.pop(), chain.pop()
+        merges.append((float(far[near]), at, near))
+        kept, gone = min(at, near), max(at, near)
+        total[kept] += total[gone]
+        size[kept] += size[gone]
+        alive[gone] = False
+    parent = np.arange(n)
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - clusters)]:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return np.unique([root(k) for k in range(n)], return_inverse=True)[1]
+
+
+def agglomerative(vectors: DataFrame, keys: list[str], key: str, clusters: int) -> DataFrame:
+    """(keys, key, cluster) per group; a group is one task, whose memory grows with its vectors and whose time with their square."""
     kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in [*keys, key])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > max_rows:
-            raise ValueError(f"a group has more than {max_rows} vectors; use k-means there")
         ordered = frame.sort_values(key)
         found = agglomerate(np.stack(ordered["vec"].map(np.asarray).to_list()), clusters)
         return ordered[[*keys, key]].assign(cluster=found.astype("int32"))

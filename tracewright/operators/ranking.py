@@ -89,9 +89,9 @@ def ranks(
     return out.drop("k", "kt")
 
 
-def rank_metrics(ranked: DataFrame, rank: str = "filtered_rank", hits: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """Mean rank, mean reciprocal rank and hits at k."""
-    return ranked.agg(
+def rank_metrics(ranked: DataFrame, rank: str = "filtered_rank", hits: tuple[int, ...] = (1, 3, 10), by: list[str] | None = None) -> DataFrame:
+    """Mean rank, mean reciprocal rank and hits at k, of all queries or of each value of ``by``."""
+    return ranked.groupBy(*(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.avg(rank).alias("mr"), F.avg(1 / F.col(rank)).alias("mrr"),
         *[F.avg((F.col(rank) <= k).cast("double")).alias(f"hits_{k}") for k in hits],
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,9 +162,16 @@ def _marks_up_to(asks: DataFrame, marks: DataFrame, keys: list[str], strict: boo
     return both.withColumn("n_marks", F.sum((F.col("__k") != 1).cast("bigint")).over(order)).filter("__k = 1").drop("__k")
 
 
-def corrupt(facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | None = None, tries: int = 4) -> DataFrame:
+def corrupt(
+    facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | None = None, tries: int = 4,
+    known: DataFrame | None = None, shares: DataFrame | None = None, u: Column | None = None,
+) -> DataFrame:
     """Filtered corruption: ``ratio`` false facts a fact, head or tail replaced, none of them known.
 
+    Even draws replace the head, odd ones the tail; with ``shares`` (r, share) the head is replaced where
+    ``u`` (by default a hash of fact and draw) is below the relation's share. ``known`` holds the known
+    facts, by default the facts themselves.
+
     ``entities`` has dense (id, index from 0). Candidates come from a hash of (fact, draw, try); the
     first try that is no known fact is kept. Where all tries are known, the next entity in index order
     from the last try on, cyclically, that makes no known fact is taken; a draw for which every entity
@@ -175,22 +184,28 @@ def corrupt(facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | No
     attempt = F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))
     spread = facts.select("h", "r", "t").withColumn("draw", draw).withColumn("try", attempt)
     chosen = F.pmod(F.xxhash64("h", "r", "t", "draw", "try"), F.lit(n)) if pick is None else pick
-    head = F.pmod(F.col("draw"), F.lit(2)) == 0
+    if shares is None:
+        spread = spread.withColumn("side", F.pmod(F.col("draw"), F.lit(2)) == 0)
+    else:
+        drawn = F.pmod(F.xxhash64("h", "r", "t", "draw"), F.lit(1 << 30)) / float(1 << 30) if u is None else u
+        spread = spread.join(shares.select("r", "share"), "r").withColumn("side", drawn < F.col("share")).drop("share")
+    head = F.col("side")
+    truth = facts if known is None else known
     spread = spread.withColumn("index", chosen).join(entities.select(F.col("index"), F.col("id").alias("e")), "index", "left")
     spread = spread.withColumns({"nh": F.when(head, F.col("e")).otherwise(F.col("h")), "nt": F.when(head, F.col("t")).otherwise(F.col("e"))})
-    known = facts.select(F.col("h").alias("nh"), "r", F.col("t").alias("nt")).distinct().withColumn("known", F.lit(True))
+    known = truth.select(F.col("h").alias("nh"), "r", F.col("t").alias("nt")).distinct().withColumn("known", F.lit(True))
     false = F.col("known").isNull() & F.col("e").isNotNull()
     kept = durable(
-        spread.join(known, ["nh", "r", "nt"], "left").groupBy("h", "r", "t", "draw")
+        spread.join(known, ["nh", "r", "nt"], "left").groupBy("h", "r", "t", "draw", "side")
         .agg(F.min_by(F.when(false, F.struct("nh", "nt")), F.when(false, F.col("try"))).alias("x"), F.max_by("index", "try").alias("last"))
     )
     left = kept.filter("x is null").select(
-        "h", "r", "t", "draw", head.alias("side"), F.when(head, F.col("t")).otherwise(F.col("h")).alias("fixed"),
+        "h", "r", "t", "draw", "side", F.when(head, F.col("t")).otherwise(F.col("h")).alias("fixed"),
         F.pmod(F.coalesce("last", F.lit(0)), F.lit(n)).cast("bigint").alias("at"),
     )
     keys = ["side", "r", "fixed"]
-    ends = facts.select(F.lit(True).alias("side"), "r", F.col("t").alias("fixed"), F.col("h").alias("id")).union(
-        facts.select(F.lit(False), "r", F.col("h"), F.col("t"))
+    ends = truth.select(F.lit(True).alias("side"), "r", F.col("t").alias("fixed"), F.col("h").alias("id")).union(
+        truth.select(F.lit(False), "r", F.col("h"), F.col("t"))
     )
     places = ends.join(left.select(*keys).distinct(), keys, "left_semi").distinct().join(entities, "id").select(*keys, F.col("index").cast("bigint").alias("at"))
     own = Window.partitionBy(*keys)
@@ -205,6 +220,67 @@ def corrupt(facts: DataFrame, entities: DataFrame, ratio: int, pick: Column | No
     return kept.filter("x is not null").select("h", "r", "t", "draw", "x.nh", "x.nt").unionByName(rest)
 
 
+def head_shares(stats: DataFrame) -> DataFrame:
+    """(r, share): how often the head is replaced, by the relation's facts a tail against its facts a head."""
+    return stats.select("r", (F.col("right_mean") / (F.col("left_mean") + F.col("right_mean"))).alias("share"))
+
+
+#: Relations that every task may hold.
+MAX_RELATIONS = 100_000
+
+
+def corrupt_relations(
+    facts: DataFrame, pick: Column | None = None, weights: DataFrame | None = None, u: Column | None = None, temperature: float = 1.0
+) -> DataFrame:
+    """(h, r, t, nr): every fact with a relation that its two entities are not known to have.
+
+    ``pick`` (by default a hash) takes one of those in name order; with ``weights`` (r, x) they are drawn by
+    softmax(-x / temperature) at ``u`` in [0, 1). Facts whose entities have every relation give no row. The
+    relations are held by every task; their number is checked.
+    """
+    table = facts.select("r").distinct() if weights is None else weights
+    x = F.lit(0.0) if weights is None else F.col("x")
+    listed = sorted(map(tuple, table.select("r", x).limit(MAX_RELATIONS + 1).collect()))
+    if len(listed) > MAX_RELATIONS:
+        raise ValueError(f"more than {MAX_RELATIONS} relations")
+    least = min((v for _, v in listed), default=0.0)
+    every = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(math.exp(-(v - least) / temperature)).alias("p")) for r, v in listed])
+    known = facts.groupBy("h", "t").agg(F.collect_set("r").alias("__known"))
+    free = F.filter(every, lambda c: ~F.array_contains("__known", c["r"]))
+    open_ = facts.select("h", "r", "t").distinct().join(known, ["h", "t"]).withColumn("__free", free).filter(F.size("__free") > 0)
+    if weights is None:
+        at = F.xxhash64("h", "r", "t") if pick is None else pick
+        chosen = F.get("__free", F.pmod(at, F.size("__free")).cast("int"))["r"]
+    else:
+        drawn = F.pmod(F.xxhash64("h", "r", "t"), F.lit(1 << 30)) / float(1 << 30) if u is None else u
+        whole = F.aggregate("__free", F.lit(0.0), lambda s, c: s + c["p"])
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast(facts.schema["r"].dataType).alias("r"))
+        passed = F.aggregate(
+            "__free", start,
+            lambda a, c: F.struct((a["s"] + c["p"]).alias("s"), F.when(a["r"].isNull() & (a["s"] + c["p"] > drawn * whole), c["r"]).otherwise(a["r"]).alias("r")),
+        )
+        chosen = F.coalesce(passed["r"], F.element_at("__free", -1)["r"])
+    return open_.select("h", "r", "t", chosen.alias("nr"))
+
+
+def cross_batches(facts: DataFrame, order: list[str], size: int) -> DataFrame:
+    """Facts with ``batch`` (runs of ``size`` in order) and ``side``, the end that is corrupted: heads and tails batch by batch in turn."""
+    numbered = global_numbers(facts, order, "__n").withColumn("batch", F.floor(F.col("__n") / size))
+    return numbered.withColumn("side", F.when(F.col("batch") % 2 == 0, "head").otherwise("tail")).drop("__n")
+
+
+def unknown_only(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates (h, r, t) that are no known fact."""
+    return candidates.join(known.select("h", "r", "t").distinct(), ["h", "r", "t"], "left_anti")
+
+
+def with_new_ids(facts: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """Facts by the ids of ``old`` (name, id) written by those of ``new``; facts with a name that is in one only drop out."""
+    same = old.select("name", F.col("id").alias("__old")).join(new.select("name", F.col("id").alias("__new")), "name").select("__old", "__new")
+    first = facts.join(same, F.col("h") == F.col("__old")).select(F.col("__new").alias("h"), "r", "t")
+    return first.join(same, F.col("t") == F.col("__old")).select("h", "r", F.col("__new").alias("t"))
+
+
 def constrained_tails(facts: DataFrame, ratio: int) -> DataFrame:
     """Corruption by tails the relation was seen with: the k-th next of them in id order that is unknown for the head.
 

@@ -180,6 +180,24 @@ def softplus_loss(positive: Column, negative: Column) -> Column:
     return (F.log1p(F.exp(-positive)) + F.log1p(F.exp(negative))) / 2
 
 
+def self_adversarial(negatives: DataFrame, keys: list[str], score: str, temperature: float = 1.0) -> DataFrame:
+    """(keys, loss): log(1 + exp(score)) of the negatives of each positive, weighed by the softmax of their scores.
+
+    Sums only, so the negatives of one positive are combined before they are moved.
+    """
+    e = F.exp(F.col(score) * temperature)
+    sums = negatives.groupBy(*keys).agg(F.sum(e * F.log1p(F.exp(F.col(score)))).alias("__a"), F.sum(e).alias("__b"))
+    return sums.select(*keys, (F.col("__a") / F.col("__b")).alias("loss"))
+
+
+def regularization_of(facts: DataFrame, parts: list[str]) -> DataFrame:
+    """``reg``: the mean of squares over the vectors of each part (heads, tails, relations) that take part, averaged over the parts."""
+    sums = [F.sum(total(F.transform(c, lambda x: x * x))).alias(c) for c in parts]
+    sizes = [F.sum(F.size(c)).alias(f"n_{c}") for c in parts]
+    whole = sum((F.col(c) / F.col(f"n_{c}") for c in parts[1:]), F.col(parts[0]) / F.col(f"n_{parts[0]}"))
+    return facts.agg(*sums, *sizes).select((whole / len(parts)).alias("reg"))
+
+
 def padded(v: Column, size: int) -> Column:
     """v cut or filled with zeros to ``size``."""
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), size)), 1, size)

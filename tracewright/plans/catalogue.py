@@ -458,7 +458,16 @@ def jaccard_pairs(s, d):
     return done.filter("similarity is not null").select("edge_key", r6("similarity"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT edge_key, graph_id, coalesce(subject_name, '') AS s, coalesce(object_name, '') AS o, coalesce(log_type, '') AS r, epoch_us(event_ts) // 1000 AS start,
+      coalesce(list_distinct(list_filter(map_values(log_data), lambda x: x IS NOT NULL)), []) AS v FROM edges WHERE event_ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY edge_key ORDER BY ingested_at) = 1),
+    n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY graph_id, s, o, r ORDER BY start, edge_key) AS k FROM e),
+    f AS (SELECT graph_id, s, o, r, k, edge_key, start AS head, v AS held, true AS kept FROM n WHERE k = 1
+      UNION ALL SELECT n.graph_id, n.s, n.o, n.r, n.k, n.edge_key, CASE WHEN x.new THEN n.start ELSE head END, CASE WHEN x.new THEN n.v ELSE held END, x.new
+      FROM f JOIN n ON n.graph_id IS NOT DISTINCT FROM f.graph_id AND n.s = f.s AND n.o = f.o AND n.r = f.r AND n.k = f.k + 1,
+        LATERAL (SELECT n.start - f.head > 10 OR CASE WHEN len(list_distinct(list_concat(n.v, f.held))) = 0 THEN 1.0 ELSE len(list_intersect(n.v, f.held)) / len(list_distinct(list_concat(n.v, f.held))) END <= 0.95 AS new) x)
+    SELECT edge_key FROM f WHERE kept"""
+)
 def head_anchored_gap(s, d):
     edges = table(s, d, "edges").filter("event_ts is not null").dropDuplicates(["edge_key"])
     sets = edges.withColumn("values", F.coalesce(G.value_set(F.col("log_data")), F.array().cast("array<string>")))
@@ -480,7 +489,14 @@ def temporal_reachability_2hop(s, d):
     return G.reach_in_time(edges, starts, 2, ["rel"]).select("rel", "start", "node", "at", "hop")
 
 
-@query()
+_WCC = """WITH RECURSIVE d AS (SELECT DISTINCT edge_key, graph_id, subject_name, object_name FROM edges),
+  p AS MATERIALIZED (SELECT DISTINCT graph_id, 's:' || subject_name AS src, 'o:' || object_name AS dst FROM d WHERE subject_name IS NOT NULL AND object_name IS NOT NULL),
+  l AS MATERIALIZED (SELECT graph_id, src AS a, dst AS b FROM p UNION SELECT graph_id, dst, src FROM p),
+  w AS (SELECT graph_id, a AS node, a AS seen FROM l UNION SELECT w.graph_id, w.node, l.b FROM w JOIN l ON l.graph_id = w.graph_id AND l.a = w.seen),
+  c AS MATERIALIZED (SELECT graph_id, node, min(seen) AS component FROM w GROUP BY graph_id, node)"""
+
+
+@query(_WCC + " SELECT * FROM c")
 def wcc_labels(s, d):
     edges = _edges(s, d).select("graph_id", F.concat(F.lit("s:"), "subject_name").alias("src"), F.concat(F.lit("o:"), "object_name").alias("dst"))
     return G.components(edges.filter("src is not null and dst is not null"), ["graph_id"])
@@ -509,7 +525,10 @@ def parallel_edge_claims(s, d):
     return G.claim_parallel(edges, ["graph_id"], "edge_key").select("edge_key", "label")
 
 
-@query()
+@query(
+    _WCC + """, r AS (SELECT graph_id, component, min(node) AS node FROM c GROUP BY graph_id, component), f AS (SELECT graph_id, min(component) AS first FROM r GROUP BY graph_id)
+    SELECT r.graph_id, r.node AS src, z.node AS dst FROM r JOIN f USING (graph_id) JOIN r z ON z.graph_id = r.graph_id AND z.component = f.first WHERE r.component <> f.first"""
+)
 def component_bridges(s, d):
     return G.component_bridges(wcc_labels(s, d), ["graph_id"])
 

@@ -41,5 +41,20 @@ QUERIES: dict[str, Query] = {
     "p6_found": lambda s, d: bad_rows.found_failures(table(s, d, "accessrows")),
     "p6_loaded": p6_loaded,
 }
-#: None of these can be put as SQL over the raw texts at this size; tests hold them against plain Python versions.
-SQL: dict[str, str] = {}
+def _failures_sql() -> str:
+    """Failing rows by one pattern of a field instead of the column expressions."""
+    from tracewright.plans.log_queries import _BARE, _WITH, _WITHOUT
+
+    return f"""WITH q AS (SELECT DISTINCT row_id, feed <> 'ProftpdLog' AS access, raw FROM accessrows),
+    w AS (SELECT *, CASE WHEN access THEN regexp_extract_all(raw, $re${_WITH}$re$) ELSE regexp_extract_all(raw, $re${_WITHOUT}$re$) END AS parts, regexp_replace(raw, $re$\\\\(?:.|\\n)$re$, '', 'g') AS plain FROM q),
+    p AS (SELECT *, list_transform(parts, lambda x: {_BARE.format(x="x")}) AS f, len(plain) - len(replace(plain, '"', '')) AS quotes FROM w),
+    v AS (SELECT *, CASE WHEN access THEN f[7] ELSE f[8] END AS size FROM p),
+    r AS (SELECT row_id, CASE WHEN raw IS NULL OR regexp_matches(raw, $re$^[\\s\\x0b]*$$re$) THEN 'columns' WHEN quotes % 2 = 1 THEN 'quoting'
+      WHEN (access AND len(f) NOT IN (7, 11)) OR (NOT access AND len(f) <> 18) THEN 'columns'
+      WHEN (access AND NOT regexp_matches(f[6], '^[1-5][0-9][0-9]$')) OR NOT ((regexp_matches(size, '^[0-9]+$') AND TRY_CAST(size AS BIGINT) IS NOT NULL) OR (access AND size = '-'))
+        OR (NOT access AND f[11] NOT IN ('_', 'c', 'i')) THEN 'value' END AS reason FROM v)
+    SELECT row_id, reason FROM r WHERE reason IS NOT NULL"""
+
+
+#: The others cannot be put as SQL over the raw texts at this size; tests hold them against plain Python versions.
+SQL: dict[str, str] = {"p6_found": _failures_sql()}

@@ -66,8 +66,8 @@ def event_vectors(triples: DataFrame, entities: DataFrame, relations: DataFrame)
 
 
 def classify(graphs: DataFrame, truth: DataFrame, rounds: int = 10) -> DataFrame:
-    """Scores of clusters seeded by known classes: ``graphs`` (graph_id, vec), ``truth`` (graph_id, label)."""
+    """Scores of clusters seeded by the sums of known classes: ``graphs`` (graph_id, vec), ``truth`` (graph_id, label)."""
     known = graphs.join(truth, "graph_id")
-    found = K.kmeans(graphs, K.centroids(known, "label"), "graph_id", "label", rounds)
+    found = K.kmeans(graphs, K.centroids(known, "label", "sum"), "graph_id", "label", rounds)
     pairs = found.select("graph_id", F.col("label").alias("cluster")).join(truth, "graph_id")
     return K.weighted_scores(pairs.join(K.majority_labels(pairs, "cluster", "label"), "cluster"), "label", "predicted")

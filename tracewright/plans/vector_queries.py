@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import clusters as K
+from tracewright.operators import encoders as N
 from tracewright.operators import ranking as R
 from tracewright.operators import triples as T
 from tracewright.operators import vectors as V
+from tracewright.plans import pipeline
 from tracewright.session import stored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,6 +137,129 @@ def loss_terms(s, d):
     return table(s, d, "events").select("event_id", F.round(margin, 6).alias("margin_loss"), F.round(log, 6).alias("sigmoid_loss"))
 
 
+@query(
+    _V + _J + """, m AS MATERIALIZED (SELECT vec_id, (i - 1) // 8 + 1 AS a, (i - 1) % 8 + 1 AS b, q AS w FROM j), s AS MATERIALIZED (SELECT vec_id, i, h, t, r FROM j WHERE i <= 8),
+    p AS (SELECT m.vec_id, m.b AS i, sum(s.h * w) AS h, sum(s.t * w) AS t FROM m JOIN s ON s.vec_id = m.vec_id AND s.i = m.a GROUP BY m.vec_id, m.b),
+    y AS (SELECT p.vec_id, p.i, p.h, p.t, s.r FROM p JOIN s ON s.vec_id = p.vec_id AND s.i = p.i),
+    n AS (SELECT vec_id, sqrt(sum(h * h)) AS nh, sqrt(sum(t * t)) AS nt, sqrt(sum(r * r)) AS nr FROM y GROUP BY vec_id)
+    SELECT vec_id, round(sum(abs(h / nh + r / nr - t / nt)), 6) AS score FROM y JOIN n USING (vec_id) GROUP BY vec_id"""
+)
+def transr_scores(s, d):
+    """Eight elements of each vector, projected by an 8 x 8 matrix."""
+    cut = lambda c: F.slice(c, 1, 8)
+    return _score(s, d, V.transr(cut(F.col("h")), cut(F.col("r")), cut(F.col("t")), F.col("q")))
+
+
+@query(
+    _V + _J + """, k AS (SELECT vec_id, sum(h * q) AS hq, sum(t * q) AS tq FROM j GROUP BY vec_id), p AS (SELECT vec_id, h + hq * q AS h, t + tq * q AS t, r FROM j JOIN k USING (vec_id)),
+    n AS (SELECT vec_id, sqrt(sum(h * h)) AS nh, sqrt(sum(t * t)) AS nt, sqrt(sum(r * r)) AS nr FROM p GROUP BY vec_id)
+    SELECT vec_id, round(sum(abs(h / nh + r / nr - t / nt)), 6) AS score FROM p JOIN n USING (vec_id) GROUP BY vec_id"""
+)
+def transd_scores(s, d):
+    return _score(s, d, V.transd(F.col("h"), F.col("r"), F.col("t"), F.col("q"), F.col("q"), F.col("q")))
+
+
+@query(
+    _HALF + """, c AS (SELECT vec_id, sum(h1 * r1 * t1 + h2 * r1 * t2 + h1 * r2 * t2 - h2 * r2 * t1) AS c FROM w GROUP BY vec_id),
+    e AS (SELECT vec_id, sum(h * q * t) AS e FROM j GROUP BY vec_id) SELECT vec_id, round(-c - e, 6) AS score FROM c JOIN e USING (vec_id)"""
+)
+def analogy_scores(s, d):
+    return _score(s, d, V.analogy(F.col("h"), F.col("r"), F.col("t"), F.col("h"), F.col("q"), F.col("t")))
+
+
+@query(_V + _J + " SELECT vec_id, round(-sum(h * r * t), 6) AS product, round(6 - sum(h * t), 6) AS undone FROM j GROUP BY vec_id")
+def predicted_scores(s, d):
+    h, r, t = F.col("h"), F.col("r"), F.col("t")
+    return chains(s, d).select(
+        "vec_id", F.round(V.predict(V.distmult(h, r, t), False), 6).alias("product"), F.round(V.predict(V.dot(h, t), True, 6.0), 6).alias("undone")
+    )
+
+
+@query(_V + " SELECT vec_id, 70 AS n, round(sum(CASE WHEN i <= 70 THEN x ELSE 0 END), 6) AS total, round(sum(CASE WHEN i <= 10 THEN x ELSE 0 END), 6) AS head FROM v GROUP BY vec_id")
+def padded_vectors(s, d):
+    long, short = V.padded(F.col("vec"), 70), V.padded(F.col("vec"), 10)
+    return vectors(s, d).select("vec_id", F.size(long).alias("n"), F.round(V.total(long), 6).alias("total"), F.round(V.total(short), 6).alias("head"))
+
+
+@query(_A + " SELECT vec_id, label, round(ln((d + 1) / (d + 1e-4)), 6) AS similarity FROM a")
+def prototype_similarities(s, d):
+    d_ = F.col("distance")
+    return _assigned(s, d).select("vec_id", "label", F.round(F.log((d_ + 1) / (d_ + 1e-4)), 6).alias("similarity"))
+
+
+@query("SELECT event_id, round(ln(1 + exp(-value / 50)) / 2 + ln(1 + exp(value / 100)) / 2, 6) AS softplus FROM events")
+def softplus_losses(s, d):
+    e = table(s, d, "events")
+    return e.select("event_id", F.round(V.softplus_loss(F.col("value") / 50, F.col("value") / 100), 6).alias("softplus"))
+
+
+@query(
+    """WITH n AS (SELECT event_id, user_id, value / 100 AS x FROM events), w AS (SELECT *, exp(x) / sum(exp(x)) OVER (PARTITION BY user_id) AS w FROM n)
+    SELECT user_id, round(sum(w * ln(1 + exp(x))), 6) AS loss FROM w GROUP BY user_id"""
+)
+def self_adversarial_losses(s, d):
+    """Negatives of one positive weigh by the softmax of their scores."""
+    n = table(s, d, "events").select("user_id", (F.col("value") / 100).alias("score"))
+    return V.self_adversarial(n, ["user_id"], "score").select("user_id", F.round("loss", 6).alias("loss"))
+
+
+@query(
+    _V + _J + """, a AS (SELECT sum(h * h) AS hh, sum(t * t) AS tt, sum(r * r) AS rr, count(*) AS n FROM j) SELECT round((hh / n + tt / n + rr / n) / 3, 6) AS reg FROM a"""
+)
+def regularization_of_parts(s, d):
+    """The mean of squares over the vectors taking part, averaged over heads, tails and relations."""
+    return V.regularization_of(chains(s, d), ["h", "t", "r"]).select(F.round("reg", 6).alias("reg"))
+
+
+_GRAPH = """WITH e AS (SELECT event_type AS g, user_id AS src, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS dst FROM events),
+  p AS (SELECT g, src AS node FROM e UNION SELECT g, dst FROM e), v AS (SELECT vec_id AS node, CAST(x AS DOUBLE) AS x, i FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) q),
+  n AS MATERIALIZED (SELECT p.g, p.node, i, x FROM p JOIN v USING (node)), b AS (SELECT g, src AS node, dst AS other FROM e UNION ALL SELECT g, dst, src FROM e),
+  s AS (SELECT b.g, b.node, n.i, sum(n.x) AS near FROM b JOIN n ON n.g = b.g AND n.node = b.other GROUP BY b.g, b.node, n.i),
+  t AS MATERIALIZED (SELECT n.g, n.node, n.i, n.x + coalesce(near, 0) AS x FROM n LEFT JOIN s ON s.g = n.g AND s.node = n.node AND s.i = n.i)"""
+
+
+def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    edges = T.edge_view(table(s, d, "events")).select(F.col("rel").alias("g"), "src", "dst")
+    ends = edges.select("g", F.col("src").alias("node")).union(edges.select("g", "dst")).distinct()
+    return ends.join(vectors(s, d).select(F.col("vec_id").alias("node"), "vec"), "node").select("g", "node", "vec"), edges
+
+
+@query(_GRAPH + " SELECT g, node, round(sum(x), 5) AS total, round(sum(x * i), 4) AS weighted FROM t GROUP BY g, node")
+def neighbour_sums(s, d):
+    nodes, edges = _graph(s, d)
+    out = N.neighbour_sum(nodes, edges, ["g"])
+    weighted = V.total(F.transform("vec", lambda x, i: x * (i + 1)))
+    return out.select("g", "node", F.round(V.total(F.col("vec")), 5).alias("total"), F.round(weighted, 4).alias("weighted"))
+
+
+@query(_GRAPH + ", r AS (SELECT g, node, i, greatest(0.5 * x - 0.1, 0) AS x FROM t) SELECT g, i, round(sum(x), 4) AS x FROM r GROUP BY g, i")
+def graph_encoding(s, d):
+    """One layer with half the identity as weights, summed over the nodes of each graph."""
+    nodes, edges = _graph(s, d)
+    out = N.encode_graphs(nodes, edges, ["g"], [(np.eye(64) * 0.5, np.full(64, -0.1))])
+    return out.select("g", F.posexplode("vec").alias("i", "x")).select("g", (F.col("i") + 1).alias("i"), F.round("x", 4).alias("x"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, user_id AS g, event_type AS r, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k FROM events),
+    c AS (SELECT g, r, k, count(*) AS n FROM e GROUP BY g, r, k), w AS (SELECT r, k, count(DISTINCT g) AS df, (SELECT count(DISTINCT g) FROM e) AS n FROM e GROUP BY r, k),
+    z AS (SELECT r, k, df / n * log10((n + 1) / (df + 1)) AS w FROM w), v AS (SELECT vec_id, CAST(x AS DOUBLE) AS x, i FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) q)
+    SELECT c.g AS graph_id, round(sum(c.n * z.w * v.x * v.i), 5) AS weighted FROM c JOIN z USING (r, k) JOIN v ON v.vec_id = c.k GROUP BY c.g"""
+)
+def graph_pool(s, d):
+    """Graph vectors: weighted sums of the vectors of a graph's triples (here: the vector of the object)."""
+    e = T.edge_view(table(s, d, "events")).select(F.col("src").alias("graph_id"), F.lit("x").alias("src"), F.col("rel").alias("relation"), "dst")
+    v = e.select("src", "relation", "dst").distinct().join(vectors(s, d).select(F.col("vec_id").alias("dst"), "vec"), "dst")
+    out = pipeline.pool(e, v)
+    return out.select("graph_id", F.round(V.total(F.transform("vec", lambda x, i: x * (i + 1))), 5).alias("weighted"))
+
+
+@query()
+def agglomerative_clusters(s, d):
+    """Average linkage within each label, three clusters each."""
+    return N.agglomerative(vectors(s, d), ["label"], "vec_id", 3)
+
+
 # ---- ranks -----------------------------------------------------------------------------------------
 _RANK = _V + _J + """, o AS MATERIALIZED (SELECT vec_id AS q, i, h + r AS x FROM j WHERE vec_id % 20 = 0),
   g AS MATERIALIZED (SELECT o.q, e.vec_id AS e, sum(abs(o.x - e.x)) AS d FROM o JOIN v e ON e.i = o.i GROUP BY o.q, e.vec_id),
@@ -163,6 +289,57 @@ def link_rank_mrr_hits(s, d):
     return m.select("n", *[F.round(c, 6).alias(c) for c in m.columns if c != "n"])
 
 
+def _rank_sql(query: str, target: str, other: str) -> str:
+    return _V + _J + f""", o AS MATERIALIZED (SELECT vec_id AS q, i, {query} AS x FROM j WHERE vec_id % 20 = 0),
+      g AS MATERIALIZED (SELECT o.q, e.vec_id AS e, sum(abs(o.x - e.x)) AS d FROM o JOIN v e ON e.i = o.i GROUP BY o.q, e.vec_id),
+      t AS (SELECT q, d AS own FROM g WHERE e = {target}),
+      k AS (SELECT q AS query_id, 1 + count(*) FILTER (d < own) AS rank, 1 + count(*) FILTER (d < own AND e <> {other}) AS filtered_rank,
+        1 + count(*) FILTER (d < own AND (e % 3 = q % 3 OR e = {target})) AS typed_rank,
+        1 + count(*) FILTER (d < own AND e <> {other} AND (e % 3 = q % 3 OR e = {target})) AS typed_filtered_rank FROM t JOIN g USING (q) GROUP BY q)"""
+
+
+def _typed_ranks(s, d, query, step: int, other: int) -> DataFrame:
+    """Ranks of target vec_id + step; candidates of a query's kind have its remainder by 3 or are its own target."""
+    asked = chains(s, d).filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), query.alias("query"), (F.col("vec_id") + step).alias("target"), (F.col("vec_id") % 3).alias("remainder"), F.col("vec_id").alias("kind")
+    )
+    known = asked.select("query_id", (F.col("query_id") + other).alias("id"))
+    ids = vectors(s, d).select(F.col("vec_id").alias("id"), "vec")
+    allowed = asked.select("query_id", "remainder").join(ids.select("id", (F.col("id") % 3).alias("remainder")), "remainder").select("query_id", "id").union(asked.select("query_id", "target")).distinct()
+    kinds = allowed.groupBy("id").agg(F.collect_list("query_id").alias("kinds"))
+    return R.ranks(asked.drop("remainder"), ids.join(kinds, "id", "left"), known)
+
+
+_OUT = " SELECT query_id, CAST(rank AS BIGINT) AS rank, CAST(filtered_rank AS BIGINT) AS filtered_rank, CAST(typed_rank AS BIGINT) AS typed_rank, CAST(typed_filtered_rank AS BIGINT) AS typed_filtered_rank FROM k"
+
+
+@query(_rank_sql("h + r", "q + 1", "q") + _OUT)
+def tail_ranks_typed(s, d):
+    return _typed_ranks(s, d, V.plus(F.col("h"), F.col("r")), 1, 0)
+
+
+@query(_rank_sql("t - r", "q", "q + 1") + _OUT)
+def head_ranks_typed(s, d):
+    return _typed_ranks(s, d, V.minus(F.col("t"), F.col("r")), 0, 1)
+
+
+@query(_rank_sql("t - h", "q + 2", "q") + " SELECT query_id, CAST(rank AS BIGINT) AS rank, CAST(filtered_rank AS BIGINT) AS filtered_rank FROM k")
+def relation_ranks(s, d):
+    """Which relation vector leads from head to tail."""
+    asked = chains(s, d).filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), V.minus(F.col("t"), F.col("h")).alias("query"), (F.col("vec_id") + 2).alias("target"))
+    return R.ranks(asked, vectors(s, d).select(F.col("vec_id").alias("id"), "vec"), asked.select("query_id", F.col("query_id").alias("id")))
+
+
+@query(
+    _RANK + """ SELECT query_id // 100 AS relation, count(*) AS n, round(avg(filtered_rank), 6) AS mr, round(avg(1 / filtered_rank), 6) AS mrr,
+    round(avg(CASE WHEN filtered_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_10 FROM k GROUP BY 1"""
+)
+def rank_metrics_by_relation(s, d):
+    ranked = _ranked(s, d).withColumn("relation", F.floor(F.col("query_id") / 100))
+    out = R.rank_metrics(ranked, hits=(10,), by=["relation"])
+    return out.select("relation", "n", F.round("mr", 6).alias("mr"), F.round("mrr", 6).alias("mrr"), F.round("hits_10", 6).alias("hits_10"))
+
+
 def _scored(s, d):
     e = T.edge_view(table(s, d, "events"))
     return e.select(F.col("dst").alias("score"), (F.col("value") + F.col("dst") > 100).cast("int").alias("positive"))
@@ -222,15 +399,59 @@ def dbscan_core_points(s, d):
     return pairs.groupBy(F.col("a").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("vec_id")
 
 
-@query()
+@query(
+    _V.replace("WITH", "WITH RECURSIVE", 1) + f""", g AS MATERIALIZED (SELECT a, b FROM (SELECT a.vec_id AS a, b.vec_id AS b, sum((a.x - b.x) * (a.x - b.x)) AS d FROM v a JOIN v b USING (i)
+      GROUP BY a.vec_id, b.vec_id) q WHERE d <= {_EPS} * {_EPS}),
+    c AS MATERIALIZED (SELECT a AS p FROM g GROUP BY a HAVING count(*) >= 3), l AS MATERIALIZED (SELECT a, b FROM g WHERE a IN (SELECT p FROM c) AND b IN (SELECT p FROM c)),
+    w AS (SELECT p AS a, p AS b FROM c UNION SELECT w.a, l.b FROM w JOIN l ON l.a = w.b), m AS (SELECT a AS p, min(b) AS cluster FROM w GROUP BY a),
+    n AS (SELECT g.a, min(cluster) AS near FROM g JOIN m ON m.p = g.b GROUP BY g.a)
+    SELECT vec_id, coalesce(cluster, near) AS cluster, cluster IS NOT NULL AS core FROM (SELECT DISTINCT vec_id FROM v) e LEFT JOIN m ON m.p = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+)
 def dbscan_clusters(s, d):
     return K.dbscan(vectors(s, d), "vec_id", _EPS, 3)
 
 
-@query()
+def _lloyd(rounds: int, how: str) -> str:
+    """SQL of so many Lloyd rounds from the classes' means or sums; empty clusters keep their centre."""
+    sql = _V + f", c0 AS MATERIALIZED (SELECT label, i, {how}(x) AS x FROM v GROUP BY label, i)"
+    for k in range(rounds + 1):
+        sql += f""", d{k} AS MATERIALIZED (SELECT vec_id, label, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS k FROM
+          (SELECT v.vec_id, c.label, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{k} c USING (i) GROUP BY v.vec_id, c.label) q) z WHERE k = 1)"""
+        if k < rounds:
+            sql += f""", c{k + 1} AS MATERIALIZED (SELECT c.label, c.i, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN
+              (SELECT d.label, v.i, avg(v.x) AS x FROM v JOIN d{k} d USING (vec_id) GROUP BY d.label, v.i) m ON m.label = c.label AND m.i = c.i)"""
+    return sql + f" SELECT vec_id, label, round(d, 6) AS distance FROM d{rounds}"
+
+
+@query(_lloyd(4, "avg"))
 def kmeans_clusters(s, d):
     v = vectors(s, d)
-    return K.kmeans(v, K.centroids(v, "label"), "vec_id", "label", 10)
+    return K.kmeans(v, K.centroids(v, "label"), "vec_id", "label", 4, tolerance=-1.0).withColumn("distance", F.round("distance", 6))
+
+
+@query(_lloyd(2, "sum"))
+def kmeans_seeded_by_sums(s, d):
+    v = vectors(s, d)
+    return K.kmeans(v, K.centroids(v, "label", "sum"), "vec_id", "label", 2, tolerance=-1.0).withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    _V + """, s AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS label, vec_id FROM (SELECT DISTINCT vec_id FROM v) q QUALIFY row_number() OVER (ORDER BY vec_id) <= 6),
+    c AS MATERIALIZED (SELECT s.label, v.i, v.x FROM s JOIN v USING (vec_id)),
+    a AS MATERIALIZED (SELECT vec_id, label FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, label) AS k FROM
+      (SELECT v.vec_id, c.label, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c USING (i) GROUP BY v.vec_id, c.label) q) z WHERE k = 1),
+    n AS (SELECT label, count(*) AS n FROM a GROUP BY label),
+    m AS (SELECT c.label, c.i, coalesce((2 * c.x + t.x) / (2 + n.n), c.x) AS x FROM c LEFT JOIN n ON n.label = c.label LEFT JOIN
+      (SELECT a.label, v.i, sum(v.x) AS x FROM v JOIN a USING (vec_id) GROUP BY a.label, v.i) t ON t.label = c.label AND t.i = c.i)
+    SELECT m.label, 2 + coalesce(any_value(n.n), 0) AS n, round(sum(m.x * m.x), 6) AS square FROM m LEFT JOIN n ON n.label = m.label GROUP BY m.label"""
+)
+def minibatch_centres(s, d):
+    """One batch on centres that stand for two vectors each so far."""
+    v = vectors(s, d)
+    order = Window.orderBy("vec_id")
+    seeds = v.orderBy("vec_id").limit(6).select((F.row_number().over(order) - 1).alias("label"), "vec", F.lit(2).cast("bigint").alias("n"))
+    _, moved = K.minibatch_step(v.drop("label"), seeds, "vec_id", "label")
+    return moved.select("label", "n", F.round(V.dot(F.col("vec"), F.col("vec")), 6).alias("square"))
 
 
 @query(
