@@ -37,6 +37,9 @@ TOKEN, GLYPH, WORD, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Ends of sentences and lines; a break lies at the end of a match.
 _BREAKS = regex.compile(r"""[.!?…。！？]["')\]»”’]*(?=\s)|[。！？]|(?:\r\n?|\n| | )(?:[^\S\r\n]*(?:\r\n?|\n| | ))*""")
 _LINES = regex.compile(r"\r\n?|\n| | ")
+#: Borders of short parts are remembered by each worker, up to this number of them; this changes speed only.
+MAX_BORDERS = 200_000
+_BORDERS: dict[str, list[int | None]] = {}
 _SCHEMA = (
     "spec_id string, doc_id bigint, piece int, start_char int, end_char int, n_tokens int, slice_tokens int, shared_tokens int, text string"
 )
@@ -89,20 +92,25 @@ class Splitter:
         k = bisect_right(self.tokens, token) - 1
         if self.tokens[k] == token:
             return self.chars[k]
-        return self._border(k)[token - self.tokens[k]]
+        inside = self._border(k)[token - self.tokens[k]]
+        return None if inside is None else self.chars[k] + inside
 
     def _border(self, k: int) -> list[int | None]:
-        """For every token of a part, the character offset at which it begins, None inside a character."""
-        known = self._borders.get(k)
+        """For every token of a part, the character of the part at which it begins, None inside a character."""
+        part = self.parts[k]
+        known = _BORDERS.get(part) or self._borders.get(k)
         if known is None:
             # Offsets of the bytes that begin a character, and of those that tokens begin at.
-            offset, chars = {}, self.chars[k]
-            at = 0
-            for n, char in enumerate(self.parts[k]):
-                offset[at] = chars + n
+            offset, at = {}, 0
+            for n, char in enumerate(part):
+                offset[at] = n
                 at += 1 if char < "\x80" else 2 if char < "\u0800" else 3 if char < "\U00010000" else 4
             starts = accumulate(map(self.coder.length.__getitem__, self.ids[k]), initial=0)
-            known = self._borders[k] = list(map(offset.get, starts))
+            known = list(map(offset.get, starts))
+            if len(part) <= 64 and len(_BORDERS) < MAX_BORDERS:
+                _BORDERS[part] = known
+            else:
+                self._borders[k] = known
         return known
 
     def _inside(self, k: int, room: int) -> list[tuple[int, int]]:
@@ -150,8 +158,8 @@ class Splitter:
             cut = self._cut = set()
             if not self.text.isascii():
                 for k, part in enumerate(self.parts):
-                    if not part.isascii():
-                        cut.update(self.tokens[k] + n for n, at in enumerate(self._border(k)) if at is None)
+                    if len(self.ids[k]) > 1 and not part.isascii() and None in (border := self._border(k)):
+                        cut.update(self.tokens[k] + n for n, at in enumerate(border) if at is None)
         return token not in self._cut
 
     def _ranked(self, atoms: list[tuple[int, int]], overlap: int) -> list[tuple[int, int]]:
@@ -183,13 +191,30 @@ class Splitter:
         return list(zip(first, [*first[1:], last], strict=True))
 
     def own_size(self, first: int, end: int, at: int, to: int) -> int:
-        """Tokens of the slice when encoded on its own."""
-        low = bisect_right(self.tokens, first) - 1
-        if self.tokens[low] != first:
-            return len(self.coder.encode(self.text[at:to]))
-        # Parts are found from left to right, so from a part's beginning on only those at the end can differ.
-        near = max(low, bisect_left(self.tokens, end) - 2)
-        return self.tokens[near] - first + len(self.coder.encode(self.text[self.chars[near] : to]))
+        """Tokens of the slice when encoded on its own.
+
+        Parts are found from left to right with one character ahead, so a text that begins within a part is
+        split as the whole from the next common border on, and at its end only a run of white space that
+        was split before what follows can differ.
+        """
+        tokens, parts = self.tokens, self.parts
+        low, high = bisect_right(tokens, first) - 1, bisect_left(tokens, end)
+        size = 0
+        if tokens[low] != first:
+            begun = self.coder.findall(self.text[at : min(self.chars[min(low + 3, len(parts))], to)])[0]
+            if at + len(begun) != self.chars[low + 1]:
+                return len(self.coder.encode(self.text[at:to]))
+            size = len(self.coder.memo[begun])
+            low += 1
+        if low >= high:
+            return size
+        whole = tokens[high] == end
+        if whole and not (parts[high - 1].isspace() and high - 2 >= low and parts[high - 2].isspace()):
+            return size + end - tokens[low]
+        near = max(low, high - 2)
+        while near > low and parts[near].isspace() and parts[near - 1].isspace():
+            near -= 1
+        return size + tokens[near] - tokens[low] + len(self.coder.encode(self.text[self.chars[near] : to]))
 
     def pieces(self, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
         """(start char, end char, own tokens, tokens of the slice, shared tokens) of every piece."""
