@@ -157,3 +157,93 @@ def test_clustream_keeps_few_clusters(spark):
     assert 3 <= len(got) <= 10 and sum(r.weight for r in got) == 120
     centres = np.array([r.vec for r in got])
     assert all(np.abs(centres - 3 * k).max(1).min() < 1 for k in range(3))
+
+
+def test_optimisers_against_their_formulas():
+    g, x0 = np.array([[0.5, -2.0]]), np.array([[1.0, 1.0]])
+    expected = {
+        "sgd": x0 - 0.1 * g, "adagrad": x0 - 0.1 * g / (np.abs(g) + 1e-10), "adam": x0 - 0.1 * g / (np.abs(g) + 1e-8),
+        "adadelta": x0 - 0.1 * np.sqrt(1e-6) / np.sqrt(0.1 * g * g + 1e-6) * g,
+    }
+    for name, after in expected.items():
+        x = x0.copy()
+        L.Optimiser(name, 0.1, [np.zeros_like(x) for _ in range(L.Optimiser.STATES[name])]).step(x, g)
+        assert np.allclose(x, after), name
+
+
+def test_every_optimiser_lowers_the_loss(spark):
+    facts = spark.createDataFrame([(k % 40, k % 3, (k * 7 + k % 3) % 40) for k in range(400)], "h bigint, r bigint, t bigint")
+    for name, rate in (("adagrad", 0.1), ("adam", 0.01), ("adadelta", 1.0)):
+        losses = L.train_static(facts, 40, 3, L.Settings(dim=8, margin=1.0, rate=rate, epochs=4, batch=64, optimiser=name)).log[0]["losses"]
+        assert min(losses[1:]) < losses[0], name
+
+
+def test_projection_is_the_least_change_that_agrees():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        g, m = rng.normal(size=6), rng.normal(size=6)
+        out = L.projected(g, m)
+        if g @ m >= 0:
+            assert (out == g).all()
+            continue
+        p, q = np.array([[m @ m, m @ g], [m @ g, g @ g]]) + np.eye(2) * 1e-3, np.array([m @ g, g @ g])
+        grid = np.linspace(0.5, 8, 400)
+        a, b = np.meshgrid(grid, grid)
+        value = (p[0, 0] * a * a + 2 * p[0, 1] * a * b + p[1, 1] * b * b) / 2 + q[0] * a + q[1] * b
+        k = value.argmin()
+        v = np.linalg.lstsq(np.stack([m, g], 1), out - g, rcond=None)[0]
+        got = (v @ p @ v) / 2 + q @ v
+        assert got <= value.ravel()[k] + 1e-6 and (v >= 0.5 - 1e-9).all()
+
+
+def test_attention_gradient_against_differences():
+    rel = np.random.default_rng(2).normal(size=(3, 8))
+    exact = L.attention_gradient(rel, 4, 2)
+    for i in range(3):
+        for j in range(8):
+            up, down = rel.copy(), rel.copy()
+            up[i, j] += 1e-6
+            down[i, j] -= 1e-6
+            assert abs((L.attention_rest(up, 4, 2) - L.attention_rest(down, 4, 2)) / 2e-6 - exact[i, j]) < 1e-6
+
+
+def test_one_partition_steps_like_a_plain_loop(spark):
+    rows = [(k % 9, k % 2, (k * 5 + 1) % 9) for k in range(30)]
+    facts = spark.createDataFrame(rows, "h bigint, r bigint, t bigint").coalesce(1)
+    s = L.Settings(dim=4, margin=1.0, rate=0.1, batch=10, negatives=2, optimiser="adagrad")
+    model = L.Model(L._rows(9, 4, 1), L._rows(2, 4, 2))
+    ent, rel = model.ent.copy(), model.rel.copy()
+    model.tracked = [[np.zeros_like(m), np.zeros_like(m)] for m in (ent, rel)]
+    L._epoch(facts, model, s, 0, L.Extra(track=True))
+    steps = [L.Optimiser("adagrad", 0.1, [np.zeros_like(m)]) for m in (ent, rel)]
+    fisher = [np.zeros_like(ent), np.zeros_like(rel)]
+    data = np.array(rows)
+    for low in range(0, 30, 10):
+        h, r, t = data[low : low + 10].T
+        batch = L._corrupted(h, r, t, 9, s, [s.seed, 0, int(h[0]), int(t[0]), 10])
+        grads = L.gradients(ent, rel, *batch, s.margin, None)[:2]
+        for k, (g, v) in enumerate(zip(grads, (ent, rel))):
+            steps[k].step(v, g)
+            fisher[k] += 10 * g * g
+    ent /= np.maximum(np.linalg.norm(ent, axis=1, keepdims=True), 1.0)
+    assert np.allclose(model.ent, ent) and np.allclose(model.rel, rel)
+    assert np.allclose(model.tracked[0][0], fisher[0]) and np.allclose(model.tracked[1][0], fisher[1])
+
+
+def test_reconstruction_on_tables_and_on_matrices(spark):
+    rows = [(k % 7, k % 2, (k * 3 + 1) % 7) for k in range(20)]
+    facts = spark.createDataFrame(rows, "h bigint, r bigint, t bigint")
+    model = L.Model(L._rows(7, 4, 1), L._rows(2, 4, 2))
+    tables = L.model_tables(spark, model)
+    parts = [tables.filter(F.col("kind") == kind).select("id", "vec") for kind in ("entity", "relation")]
+    ent, rel = ({r.id: r.vec for r in x.collect()} for x in L.reconstructed(facts, *parts))
+    e, r = L.rebuilt(facts, model)
+    assert np.allclose(e, [ent[k] for k in range(7)]) and np.allclose(r, [rel[k] for k in range(2)])
+
+
+def test_continual_report(spark):
+    one = spark.createDataFrame([(k % 10, k % 2, (k * 3) % 10) for k in range(30)], "h bigint, r bigint, t bigint")
+    two = spark.createDataFrame([(k % 14, k % 3, (k * 5) % 14) for k in range(30)], "h bigint, r bigint, t bigint")
+    report = L.continual_report([one, two], [(10, 2), (14, 3)], "finetune", L.Settings(dim=8, margin=1.0, epochs=1, batch=32, negatives=2))
+    assert len(report["before"]) == len(report["first"]) == len(report["final"]) == 2
+    assert abs(report["bwt"] - (report["final"][0] - report["first"][0])) < 1e-9 and 0 < report["whole"] <= 1

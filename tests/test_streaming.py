@@ -45,6 +45,26 @@ def test_events_are_assembled_after_the_watermark(spark, tmp_path):
     assert got == {k: [f"line {3 * k + i}" for i in range(3)] for k in range(10)}
 
 
+def test_lines_of_an_event_are_ordered_across_batches(spark, tmp_path):
+    late = [(1, T0 + timedelta(seconds=1), "first"), (1, T0 + timedelta(seconds=3), "third")]
+    for part in ([(1, T0 + timedelta(seconds=2), "second")], late, [(9, T0 + timedelta(hours=1), "last")]):
+        spark.createDataFrame(part, "event_id bigint, at timestamp, line string").coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+    stream = spark.readStream.schema("event_id bigint, at timestamp, line string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "o"))
+    out = run(W.assemble_stream(stream, "event_id", "at", "line", "1 minute"), tmp_path / "c4")
+    assert {r.event_id: r.lines for r in out.collect()} == {1: ["first", "second", "third"]}
+
+
+def test_batches_of_a_size(spark, tmp_path):
+    spark.range(25).coalesce(1).write.parquet(str(tmp_path / "b"))
+    seen = {}
+    query = W.in_batches(
+        spark.readStream.schema("id bigint").parquet(str(tmp_path / "b")), 10, lambda df, n: seen.__setitem__(n, [r.id for r in df.orderBy("id").collect()]), ["id"], str(tmp_path / "c5")
+    )
+    query.processAllAvailable()
+    query.stop()
+    assert [seen[k] for k in sorted(seen)] == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
 def test_cluster_stream_keeps_state(spark, tmp_path):
     rng = random.Random(2)
     rows = [(0, k, [rng.gauss(c, 0.05), rng.gauss(c, 0.05)]) for k, c in enumerate([0, 5] * 40)]

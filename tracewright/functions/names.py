@@ -54,6 +54,18 @@ def call(text: Column) -> Column:
     return F.regexp_replace(F.lower(bare(text)), r"^_*sys_|\(\)$", "")
 
 
+def aliased(name: Column, aliases: dict[str, str]) -> Column:
+    """The name that stands for an alias; other names stay."""
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
+def rule_parts(key: Column) -> Column:
+    """(source, fields) of a rule key ``source_field_field``."""
+    parts = F.split(key, "_")
+    return F.struct(F.get(parts, F.lit(0)).alias("source"), F.slice(parts, 2, 1 << 20).alias("fields"))
+
+
 def number(text: Column) -> Column:
     """A non-negative whole number written with blanks, quotes, brackets, zeros or ``.0``, else null."""
     cut = F.btrim(text, F.lit(" \t\r\n\"'[](){}"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.operators.ordering import global_numbers
-from tracewright.operators.vectors import readout
+from tracewright.operators.vectors import dot, readout
 
 
 def _product(vectors: DataFrame, keys: list[str], weight: np.ndarray, bias: np.ndarray, relu: bool) -> DataFrame:
@@ -36,6 +36,31 @@ def neighbour_sum(nodes: DataFrame, edges: DataFrame, keys: list[str], mean: boo
     return joined.withColumn("vec", F.when(F.col("near").isNull(), F.transform("vec", lambda a: own * a)).otherwise(total)).drop("near")
 
 
+def attention_layer(nodes: DataFrame, edges: DataFrame, keys: list[str], weight: np.ndarray, source: np.ndarray, target: np.ndarray, slope: float = 0.2) -> DataFrame:
+    """(keys, node, vec): neighbours (both directions, and the node itself) weighed by a softmax of leaky-ReLU(source . Wi + target . Wj).
+
+    Only two numbers a node travel along the edges before the softmax; vectors follow with their weights.
+    """
+    moved = _product(nodes, [*keys, "node"], weight, np.zeros(weight.shape[1]), False)
+    side = lambda w: dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in w]))
+    scored = moved.select(*keys, "node", "vec", side(source).alias("__s"), side(target).alias("__t"))
+    ends = edges.select(*keys, "src", "dst")
+    both = ends.select(*keys, F.col("src").alias("node"), F.col("dst").alias("other")).union(ends.select(*keys, "dst", "src"))
+    both = both.union(nodes.select(*keys, "node", F.col("node").alias("other"))).distinct()
+    own, near = scored.select(*keys, "node", "__s"), scored.select(*keys, F.col("node").alias("other"), "__t", "vec")
+    linked = both.join(own, [*keys, "node"]).join(near, [*keys, "other"])
+    raw = F.col("__s") + F.col("__t")
+    linked = linked.withColumn("__e", F.exp(F.when(raw > 0, raw).otherwise(raw * slope)))
+    whole = linked.groupBy(*keys, "node").agg(F.sum("__e").alias("__z"))
+    weighed = linked.join(whole, [*keys, "node"]).select(*keys, "node", F.transform("vec", lambda x: x * F.col("__e") / F.col("__z")).alias("vec"))
+    return readout(weighed, [*keys, "node"], "sum")
+
+
+def logits(graphs: DataFrame, key: str, weight: np.ndarray, bias: np.ndarray) -> DataFrame:
+    """(key, vec): the class scores of graph vectors by a last layer."""
+    return _product(graphs, [key], weight, bias, False)
+
+
 def encode_graphs(nodes: DataFrame, edges: DataFrame, keys: list[str], layers: list[tuple[np.ndarray, np.ndarray]], pool: str = "sum", mean: bool = False) -> DataFrame:
     """(keys, vec): layer outputs pooled per graph and concatenated."""
     out: DataFrame | None = None

@@ -299,6 +299,14 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
     return nodes.join(named, [*keys, "node"], "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def largest_component(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node): the nodes of the largest component of each graph, of equally large ones the one named least."""
+    labelled = stored(components(edges, keys))
+    sized = labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
+    best = sized.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), "component")).alias("b")).select(*keys, "b.component")
+    return labelled.join(best, [*keys, "component"], "left_semi").select(*keys, "node")
+
+
 def component_bridges(labelled: DataFrame, keys: list[str]) -> DataFrame:
     """One bridge edge from each further component to the first one of its graph."""
     roots = labelled.groupBy(*keys, "component").agg(F.min("node").alias("node"))

@@ -113,6 +113,24 @@ def best_threshold(scored: DataFrame, score: str, positive: str) -> DataFrame:
     return running.agg(best).select(F.col("b.s").alias("threshold"), (-F.col("b.a")).alias("accuracy"))
 
 
+def best_thresholds(scored: DataFrame, by: str, score: str, positive: str) -> DataFrame:
+    """(by, threshold, accuracy): as ``best_threshold`` for every relation; scores of a relation are counted before they are summed in order."""
+    counted = scored.groupBy(by, score).agg(F.sum(positive).alias("p"), F.sum(1 - F.col(positive)).alias("q"))
+    own, order = Window.partitionBy(by), Window.partitionBy(by).orderBy(score)
+    right = F.sum(F.col("p") - F.col("q")).over(order) + F.sum("q").over(own)
+    judged = counted.withColumn("accuracy", right / F.sum(F.col("p") + F.col("q")).over(own))
+    best = F.min(F.struct((-F.col("accuracy")).alias("a"), F.col(score).alias("s"))).alias("b")
+    return judged.groupBy(by).agg(best).select(by, F.col("b.s").alias("threshold"), (-F.col("b.a")).alias("accuracy"))
+
+
+def auc_over_trials(scored: DataFrame, trial: str, score: str, positive: str) -> DataFrame:
+    """(n, mean, std) of the area under the ROC curve over trials; trials without both classes have none."""
+    counted = scored.groupBy(trial, score).agg(F.sum(positive).alias("p"), F.sum(1 - F.col(positive)).alias("q"))
+    below = F.sum("q").over(Window.partitionBy(trial).orderBy(score)) - F.col("q") / 2
+    per = counted.withColumn("__b", below).groupBy(trial).agg((F.sum(F.col("p") * F.col("__b")) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return per.agg(F.count("auc").alias("n"), F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"))
+
+
 def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties by half; sums run over distinct scores."""
     from tracewright.operators.ordering import global_running_sum

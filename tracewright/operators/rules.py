@@ -153,13 +153,13 @@ def fits_any(rules: list[dict[str, str]], prefix: str = "") -> Column:
     return out
 
 
-def equality_class(record: Column, classes: dict[str, list[str]]) -> Column:
-    """The first class all of whose tokens the record holds."""
+def equality_class(record: Column, classes: dict[str, list[str]], ends: tuple[str, ...] = ()) -> Column:
+    """The first class all of whose tokens the record holds; tokens of ``ends`` must stand at its end."""
     out = F.lit(None).cast("string")
     for name, tokens in reversed(list(classes.items())):
         held = F.lit(True)
         for token in tokens:
-            held = held & F.contains(record, F.lit(token))
+            held = held & (F.endswith(record, F.lit(token)) if token in ends else F.contains(record, F.lit(token)))
         out = F.when(held, name).otherwise(out)
     return out
 

@@ -122,6 +122,12 @@ def golden_answers(facts: DataFrame) -> DataFrame:
     return with_inverse(facts).groupBy("h", "r").agg(F.array_sort(F.collect_set("t")).alias("answers"))
 
 
+def golden_batches(facts: DataFrame, size: int) -> DataFrame:
+    """(batch, h, r, answers) of the queries in order of (h, r), inverse ones included: ``answers`` are the places of a mask that are 1."""
+    numbered = global_numbers(golden_answers(facts), ["h", "r"], "__n")
+    return numbered.withColumn("batch", F.floor(F.col("__n") / size)).drop("__n")
+
+
 def snapshot_growth(facts: DataFrame, snapshot: str = "snapshot") -> DataFrame:
     """Per snapshot: new and cumulative entities and relations, and facts so far."""
     ends = facts.select(snapshot, F.col("h").alias("x")).union(facts.select(snapshot, F.col("t").alias("x")))

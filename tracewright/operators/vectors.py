@@ -203,6 +203,68 @@ def padded(v: Column, size: int) -> Column:
     return F.slice(F.concat(v, F.array_repeat(F.lit(0.0), size)), 1, size)
 
 
+def factor_blocks(v: Column, factors: int) -> Column:
+    """A vector cut into so many blocks of equal length."""
+    size = F.floor(F.size(v) / factors).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(factors - 1)), lambda k: F.slice(v, k * size + 1, size))
+
+
+def top_factors(relation: Column, factors: int, top: int) -> Column:
+    """The places of the blocks that a relation attends to most, by their norms, the first of equal ones first."""
+    scored = F.transform(factor_blocks(relation, factors), lambda b, k: F.struct((-norm(b)).alias("n"), k.alias("k")))
+    return F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, top), lambda s: s["k"]))
+
+
+def gathered_factors(v: Column, places: Column, factors: int) -> Column:
+    """The blocks of a vector at the given places, one after the other."""
+    return let(factor_blocks(v, factors), lambda blocks: F.flatten(F.transform(places, lambda k: F.get(blocks, k))))
+
+
+def unattended(relation: Column, factors: int, top: int) -> Column:
+    """The attention mass (softmax of block norms) outside the attended blocks."""
+    norms = F.transform(factor_blocks(relation, factors), norm)
+    shares = let(norms, lambda n: let(F.array_max(n), lambda m: let(F.transform(n, lambda x: F.exp(x - m)), lambda e: F.transform(e, lambda x: x / total(e)))))
+    return 1 - total(F.slice(F.sort_array(shares, asc=False), 1, top))
+
+
+def consolidated(new: Column, old: Column) -> Column:
+    """Rows of a consolidated model: (p w + p) / (1 + w), p the trained and w the consolidated value before."""
+    return F.zip_with(new, old, lambda p, w: (p * w + p) / (1 + w))
+
+
+def importance_penalty(new: Column, old: Column, importance: Column) -> Column:
+    """Sum of importance times the squared change of a row."""
+    return total(F.zip_with(importance, minus(new, old), lambda w, d: w * d * d))
+
+
+def fisher_merged(new: Column, old: Column, snapshot: int) -> Column:
+    """Squared gradients of the snapshots so far: (new + old k + 1) / (k + 2)."""
+    return F.zip_with(new, old, lambda n, o: (n + o * snapshot + 1) / (snapshot + 2))
+
+
+def path_importance(omega: Column, path: Column, change: Column, damping: float = 0.1) -> Column:
+    """Importance along the way: omega + path / (change^2 + damping)."""
+    return plus(omega, F.zip_with(path, change, lambda w, d: w / (d * d + damping)))
+
+
+def count_penalty(new: Column, old: Column, old_count: Column, new_count: Column) -> Column:
+    """Sum of squared changes of a row, weighed by the share of its facts that are old."""
+    return total(F.transform(minus(new, old), lambda d: F.pow(d * old_count / (new_count + old_count), 2)))
+
+
+def gumbel_softmax(logits: Column, noise: Column, temperature: float = 1.0) -> Column:
+    """Softmax of logits disturbed by Gumbel noise made of uniform numbers in (0, 1)."""
+    raw = F.zip_with(logits, noise, lambda x, u: (x - F.log(-F.log(u))) / temperature)
+    return let(raw, lambda z: let(F.array_max(z), lambda m: let(F.transform(z, lambda x: F.exp(x - m)), lambda e: F.transform(e, lambda x: x / total(e)))))
+
+
+#: Scores by the name of their model; each takes the vectors its model has.
+SCORES: dict[str, Callable[..., Column]] = {
+    "transe": transe, "transh": transh, "transd": transd, "transr": transr, "distmult": distmult, "complex": complex_score, "rotate": rotate,
+    "analogy": analogy, "simple": simple_score, "hole": hole, "rescal": rescal,
+}
+
+
 def element_stats(vectors: DataFrame, keys: list[str], column: str = "vec") -> DataFrame:
     """(keys, i, n, sum, mean, std, max): statistics of each element over the vectors of a key."""
     spread = vectors.select(*keys, F.posexplode(column).alias("i", "v"))

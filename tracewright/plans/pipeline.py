@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,9 +68,18 @@ def event_vectors(triples: DataFrame, entities: DataFrame, relations: DataFrame)
     return joined.select("src", "relation", "dst", F.concat("sv", "rv", "ov").alias("vec"))
 
 
-def classify(graphs: DataFrame, truth: DataFrame, rounds: int = 10) -> DataFrame:
-    """Scores of clusters seeded by the sums of known classes: ``graphs`` (graph_id, vec), ``truth`` (graph_id, label)."""
+def classify(graphs: DataFrame, truth: DataFrame, rounds: int = 10, seeds: str = "mean") -> DataFrame:
+    """Scores of clusters seeded by the means (or sums) of known classes: ``graphs`` (graph_id, vec), ``truth`` (graph_id, label)."""
     known = graphs.join(truth, "graph_id")
-    found = K.kmeans(graphs, K.centroids(known, "label", "sum"), "graph_id", "label", rounds)
+    found = K.kmeans(graphs, K.centroids(known, "label", seeds), "graph_id", "label", rounds)
     pairs = found.select("graph_id", F.col("label").alias("cluster")).join(truth, "graph_id")
     return K.weighted_scores(pairs.join(K.majority_labels(pairs, "cluster", "label"), "cluster"), "label", "predicted")
+
+
+def hooked(rows: DataFrame, label: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Rows through a function of frames, such as a call of a labelling service: the place to plug one in."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from map(label, frames)
+
+    return rows.mapInPandas(run, schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.operators.clusters import MicroClusters
+from tracewright.session import durable
 
 
 def correlate_streams(nets: DataFrame, apps: DataFrame, keys: list[str], net_at: str, app_at: str, window: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
@@ -34,20 +36,26 @@ def session_groups(rows: DataFrame, keys: list[str], at: str, gap: str, delay: s
 
 
 def assemble_stream(lines: DataFrame, key: str, at: str, text: str, delay: str = "10 seconds") -> DataFrame:
-    """(key, n, lines): the lines of each event id, given out once the watermark has passed them."""
+    """(key, n, lines): the lines of each event id in time order, given out once the watermark has passed them.
+
+    Times are kept with the lines, so that the order does not depend on the batches they came in; lines of
+    equal time keep the order of their arrival.
+    """
 
     def collect(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            held = state.get[0]
+            times, lines = state.get
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "n": [len(held)], "lines": [held]})
+            ordered = [line for _, _, line in sorted(zip(times, range(len(lines)), lines, strict=True))]
+            yield pd.DataFrame({key: [k[0]], "n": [len(ordered)], "lines": [ordered]})
             return
-        held = list(state.get[0]) if state.exists else []
+        times, held = map(list, state.get) if state.exists else ([], [])
         latest = 0
         for batch in batches:
-            held += batch.sort_values(at)[text].tolist()
+            times += [int(t.value // 1000) for t in batch[at]]
+            held += batch[text].tolist()
             latest = max(latest, int(batch[at].max().timestamp() * 1000))
-        state.update((held,))
+        state.update((times, held))
         state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
 
     kind = lines.schema[key].dataType.simpleString()
@@ -55,7 +63,7 @@ def assemble_stream(lines: DataFrame, key: str, at: str, text: str, delay: str =
         lines.withWatermark(at, delay)
         .groupBy(key)
         .applyInPandasWithState(
-            collect, f"{key} {kind}, n bigint, lines array<string>", "lines array<string>", "append", GroupStateTimeout.EventTimeTimeout
+            collect, f"{key} {kind}, n bigint, lines array<string>", "times array<bigint>, lines array<string>", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
@@ -77,3 +85,18 @@ def cluster_stream(vectors: DataFrame, key: str, order: str, eps: float, beta: f
     return vectors.groupBy(key).applyInPandasWithState(
         fold, f"{key} {kind}, seen bigint, clusters bigint", "state binary", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def in_batches(rows: DataFrame, size: int, handle: Callable[[DataFrame, int], None], order: list[str], checkpoint: str) -> StreamingQuery:
+    """Start a stream whose rows are handed on in batches of at most ``size`` rows, in order within a micro-batch, with the batch's number.
+
+    ``handle`` gets a DataFrame and (micro-batch, place in it) as one rising number; nothing passes the driver.
+    """
+    from tracewright.operators.ordering import global_numbers
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        numbered = durable(global_numbers(batch, order, "__n"))
+        for part in range(-(-numbered.count() // size)):
+            handle(numbered.filter((F.col("__n") >= part * size) & (F.col("__n") < (part + 1) * size)).drop("__n"), (epoch << 32) + part)
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
