@@ -113,3 +113,32 @@ def test_reachability_of_every_relation(spark, tmp_path):
         ("click", 1, 2): (0, 1), ("click", 2, 3): (5, 1), ("click", 1, 3): (5, 2),
         ("view", 1, 2): (7, 1), ("view", 2, 4): (9, 1), ("view", 2, 5): (6, 1), ("view", 1, 4): (9, 2),
     }
+
+
+def test_cpr_at_a_hub_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        # Half of the edges leave one node, most of them to one other; times span many buckets.
+        src, dst = ("hub", rng.choice(["x", "x", "x", "y", None])) if k % 2 else (rng.choice("xyz"), rng.choice(["hub", "y", "z"]))
+        start = rng.randrange(0, 5000)
+        rows.append((1, k, src, dst, rng.choice(["r", None]), start, start + rng.choice([0, 5, 40])))
+    frame = spark.createDataFrame(rows, "g int, id int, src string, dst string, relation string, start bigint, `end` bigint")
+    groups, last = {}, {}
+    for g, i, src, dst, rel, start, end in sorted(rows, key=lambda r: (r[5], r[6], r[1])):
+        before = last.get((src, dst, rel))
+        last[src, dst, rel] = (start, end)
+        over = lambda a, b, low, high: not (b < low or a > high)
+        flows = before is None or any(r[2] == dst and dst is not None and over(r[5], r[6], before[0], start) for r in rows) or any(
+            r[3] == src and src is not None and over(r[5], r[6], before[1], end) for r in rows
+        )
+        flows = flows or (dst is None and any(r[2] is None and over(r[5], r[6], before[0], start) for r in rows))
+        if flows:
+            groups.setdefault((src, dst, rel), []).append([])
+        groups[src, dst, rel][-1].append((i, start, end))
+    expected = sorted((str(k), run[0][0], min(x[1] for x in run), max(x[2] for x in run), len(run)) for k, runs in groups.items() for run in runs)
+    for width in (7, 300, 600_000):
+        got = G.cpr_merge(frame, ["g"], "id", width).collect()
+        assert sorted((str((r.src, r.dst, r.relation)), r.id, r.start, r.end, r.n_edges) for r in got) == expected, width

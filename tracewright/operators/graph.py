@@ -125,49 +125,66 @@ def merge_nodes(edges: DataFrame, parts: list[str] | None = None) -> DataFrame:
     return edges.filter(~is_noise(F.col("src"), parts) & ~is_noise(F.col("dst"), parts))
 
 
-def cpr_merge(edges: DataFrame, keys: list[str], edge_id: str) -> DataFrame:
+#: Milliseconds of a node's or pair's timeline that are read in one piece.
+TIMELINE_MS = 600_000
+
+
+def _within_and_before(rows: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str]) -> DataFrame:
+    """``rows`` with running sums over each timeline, read bucket by bucket: within the bucket, plus the totals of those before it.
+
+    A timeline of any length is so many buckets; only one row a bucket is read along it. Null keys are keys.
+    """
+    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    along = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, bucket).agg(*[F.sum(c).alias(c) for c in sums])
+    before = totals.select(F.struct(*keys, bucket).alias("__at"), *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"__b_{c}") for c in sums])
+    joined = rows.withColumn("__at", F.struct(*keys, bucket)).join(before, "__at")
+    return joined.withColumns({out: F.col(f"__b_{c}") + F.sum(c).over(inside) for c, out in sums.items()}).drop("__at", *[f"__b_{c}" for c in sums])
+
+
+def cpr_merge(edges: DataFrame, keys: list[str], edge_id: str, bucket_ms: int = TIMELINE_MS) -> DataFrame:
     """Causality-preserving reduction of edges (src, dst, relation, start, end) per graph key.
 
     An edge merges into the one before of the same (src, dst, relation) unless information could have
     flowed between them: an edge out of dst that overlaps [previous start, own start], or one into
     src that overlaps [previous end, own end]. Merged edges take the latest end. Overlaps are counted
     without pairing edges: those starting up to the right bound minus those ending before the left
-    one, both read off one sorted pass per node.
+    one. Both are read off one sorted pass over the timelines of all nodes, in buckets of time, so that
+    a node or pair that holds most of the edges is no one task.
     """
-    pair = Window.partitionBy(*keys, "src", "dst", "relation").orderBy("start", "end", edge_id)
-    asked = edges.withColumns({"ps": F.lag("start").over(pair), "pe": F.lag("end").over(pair)})
-    outward = _overlaps(edges, asked, keys, edge_id, "src", "dst", "ps", "start", "out_hits")
-    inward = _overlaps(edges, asked, keys, edge_id, "dst", "src", "pe", "end", "in_hits")
-    checked = asked.join(outward, [*keys, edge_id], "left").join(inward, [*keys, edge_id], "left")
-    kept = F.col("ps").isNull() | (F.coalesce("out_hits", F.lit(0)) > 0) | (F.coalesce("in_hits", F.lit(0)) > 0)
-    island = F.sum(kept.cast("int")).over(pair)
-    return checked.withColumn("island", island).groupBy(*keys, "src", "dst", "relation", "island").agg(
-        F.min_by(edge_id, F.struct("start", "end", edge_id)).alias(edge_id), F.min("start").alias("start"), F.max("end").alias("end"),
+    own = [*keys, "src", "dst", "relation"]
+    order = ["start", "end", edge_id]
+    placed = edges.withColumn("__b", F.floor(F.col("start") / bucket_ms))
+    inside = Window.partitionBy(*own, "__b").orderBy(*order)
+    lasts = placed.groupBy(*own, "__b").agg(F.max(F.struct(*order)).alias("__last"))
+    carried = lasts.select(F.struct(*own, "__b").alias("__at"), F.lag("__last").over(Window.partitionBy(*own).orderBy("__b")).alias("__before"))
+    asked = placed.withColumn("__at", F.struct(*own, "__b")).join(carried, "__at").drop("__at")
+    asked = asked.withColumns(
+        {"ps": F.coalesce(F.lag("start").over(inside), F.col("__before.start")), "pe": F.coalesce(F.lag("end").over(inside), F.col("__before.end"))}
+    ).drop("__before")
+    asked = durable(asked.select(*own, "start", "end", edge_id, "__b", "ps", "pe"))
+
+    def mark(way: int, node: str, at: str, place: int, starts: int, ends: int) -> Column:
+        named = {"way": F.lit(way), "node": F.col(node), "t": F.col(at), "place": F.lit(place), "s": F.lit(starts), "e": F.lit(ends)}
+        return F.struct(*[c.alias(n) for n, c in named.items()])
+
+    # Edges out of a node (way 0) and into it (1); questions come before the ends and after the starts of their time.
+    marks = [mark(way, end, at, 1, int(at == "start"), int(at == "end")) for way, end in ((0, "src"), (1, "dst")) for at in ("start", "end")]
+    questions = [mark(0, "dst", "start", 2, 0, 0), mark(0, "dst", "ps", 0, 0, 0), mark(1, "src", "end", 2, 0, 0), mark(1, "src", "pe", 0, 0, 0)]
+    rows = asked.select(*keys, edge_id, F.explode(F.when(F.col("ps").isNull(), F.array(*marks)).otherwise(F.array(*marks, *questions))).alias("m"))
+    rows = rows.select(*keys, edge_id, "m.*").withColumn("__b", F.floor(F.col("t") / bucket_ms))
+    summed = _within_and_before(rows, [*keys, "way", "node"], "__b", ["t", "place"], {"s": "started", "e": "ended"}).filter("place <> 1")
+    hits = lambda way: F.sum(F.when(F.col("way") == way, F.when(F.col("place") == 2, F.col("started")).otherwise(-F.col("ended"))))
+    flowed = summed.groupBy(*keys, edge_id).agg(((hits(0) > 0) | (hits(1) > 0)).alias("__flowed"))
+    checked = asked.join(flowed, [*keys, edge_id], "left")
+    checked = checked.withColumn("__kept", (F.col("ps").isNull() | F.coalesce("__flowed", F.lit(False))).cast("int"))
+    islands = _within_and_before(checked, own, "__b", order, {"__kept": "island"})
+    return islands.groupBy(*own, "island").agg(
+        F.min_by(edge_id, F.struct(*order)).alias(edge_id), F.min("start").alias("start"), F.max("end").alias("end"),
         F.count(F.lit(1)).alias("n_edges"),
     )
 
 
-def _overlaps(edges: DataFrame, asked: DataFrame, keys: list[str], edge_id: str, own_end: str, asked_end: str, low: str, high: str, out: str) -> DataFrame:
-    """Per asked edge, how many edges with ``own_end`` at its ``asked_end`` overlap [low, high]."""
-    null = F.lit(None).cast(edges.schema[edge_id].dataType)
-    node = F.col(own_end).alias("__n")
-    starts = edges.select(*keys, node, F.col("start").alias("__t"), F.lit(0).alias("__k"), null.alias(edge_id))
-    ends = edges.select(*keys, node, F.col("end").alias("__t"), F.lit(2).alias("__k"), null.alias(edge_id))
-    wanted = asked.filter(F.col(low).isNotNull())
-    begun = wanted.select(*keys, F.col(asked_end).alias("__n"), F.col(high).alias("__t"), F.lit(1).alias("__k"), edge_id)
-    over = wanted.select(*keys, F.col(asked_end).alias("__n"), F.col(low).alias("__t"), F.lit(1).alias("__k"), edge_id)
-
-    def running(marks: DataFrame, asks: DataFrame, kind: int, strict: bool) -> DataFrame:
-        # Marks at the asked time count for starts (closed on the right), not for ends (closed on the left).
-        order = Window.partitionBy(*keys, "__n").orderBy("__t", F.when(F.col("__k") == 1, 1).otherwise(2 if strict else 0))
-        count = F.sum((F.col("__k") == kind).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-        return marks.unionByName(asks).withColumn("__c", count).filter("__k = 1").select(*keys, edge_id, "__c")
-
-    up_to = running(starts, begun, 0, False).withColumnRenamed("__c", "__a")
-    before = running(ends, over, 2, True).withColumnRenamed("__c", "__z")
-    return up_to.join(before, [*keys, edge_id]).select(*keys, edge_id, (F.col("__a") - F.col("__z")).alias(out))
-
-
 #: Fields of a record that differ between equal events (fixed values).
 VOLATILE = ["Timestamp", "log_id", "datetime", "data_source", "sequenceNum", "len", "label", "time"]
 

@@ -89,6 +89,29 @@ def ranks(
     return out.drop("k", "kt")
 
 
+def link_prediction(test: DataFrame, known: DataFrame, entities: DataFrame, relations: DataFrame, typed: bool = False) -> DataFrame:
+    """(side, n, mr, mrr, hits_1, hits_3, hits_10): facts (fact_id, h, r, t) ranked among all heads, then among all tails.
+
+    ``entities`` and ``relations`` have (id, vec); other facts of ``known`` (h, r, t) are not counted. With
+    ``typed``, candidates are the entities that the relation was seen with on that side.
+    """
+    hv, tv = (entities.select(F.col("id").alias(c), F.col("vec").alias(f"{c}v")) for c in "ht")
+    joined = test.join(hv, "h").join(tv, "t").join(relations.select(F.col("id").alias("r"), F.col("vec").alias("rv")), "r")
+    reports = []
+    for side, other, query in (("h", "t", F.zip_with("tv", "rv", lambda a, b: a - b)), ("t", "h", F.zip_with("hv", "rv", lambda a, b: a + b))):
+        asked = joined.select(F.col("fact_id").alias("query_id"), query.alias("query"), F.col(side).alias("target"), F.col("r").alias("kind"))
+        others = test.select("fact_id", other, "r", F.col(side).alias("__own")).join(known.select(other, "r", F.col(side).alias("id")).distinct(), [other, "r"])
+        others = others.filter("id <> __own").select(F.col("fact_id").alias("query_id"), "id")
+        candidates = entities
+        if typed:
+            seen = known.groupBy(F.col(side).alias("id")).agg(F.collect_set("r").alias("kinds"))
+            candidates = entities.join(seen, "id", "left")
+        ranked = ranks(asked if typed else asked.drop("kind"), candidates, others)
+        named = F.lit("head" if side == "h" else "tail").alias("side")
+        reports.append(rank_metrics(ranked, "typed_filtered_rank" if typed else "filtered_rank").select(named, "*"))
+    return reports[0].unionByName(reports[1])
+
+
 def rank_metrics(ranked: DataFrame, rank: str = "filtered_rank", hits: tuple[int, ...] = (1, 3, 10), by: list[str] | None = None) -> DataFrame:
     """Mean rank, mean reciprocal rank and hits at k, of all queries or of each value of ``by``."""
     return ranked.groupBy(*(by or [])).agg(

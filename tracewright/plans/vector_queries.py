@@ -330,6 +330,42 @@ def relation_ranks(s, d):
     return R.ranks(asked, vectors(s, d).select(F.col("vec_id").alias("id"), "vec"), asked.select("query_id", F.col("query_id").alias("id")))
 
 
+_LINKS = _V + """, test AS MATERIALIZED (SELECT vec_id AS q, vec_id AS h, vec_id + 2 AS r, vec_id + 1 AS t FROM (SELECT DISTINCT vec_id FROM v) z WHERE vec_id % 20 = 0 AND vec_id + 2 IN (SELECT vec_id FROM v)),
+  known AS MATERIALIZED (SELECT h, r, t FROM test UNION SELECT h, r, (t + 40) % 400 FROM test UNION SELECT (h + 60) % 400, r, t FROM test),
+  o AS MATERIALIZED (SELECT q, 'tail' AS side, h.i, h.x + r.x AS x, t AS target FROM test JOIN v h ON h.vec_id = test.h JOIN v r ON r.vec_id = test.r AND r.i = h.i
+    UNION ALL SELECT q, 'head', t.i, t.x - r.x, h FROM test JOIN v t ON t.vec_id = test.t JOIN v r ON r.vec_id = test.r AND r.i = t.i),
+  g AS MATERIALIZED (SELECT o.q, side, target, e.vec_id AS e, sum(abs(o.x - e.x)) AS d FROM o JOIN v e ON e.i = o.i GROUP BY o.q, side, target, e.vec_id),
+  w AS (SELECT q, side, d AS own FROM g WHERE e = target),
+  x AS MATERIALIZED (SELECT g.*, own, test.h, test.r, test.t FROM g JOIN w ON w.q = g.q AND w.side = g.side JOIN test ON test.q = g.q WHERE d < own),
+  k AS (SELECT t.q, t.side, 1 + count(x.e) FILTER (NOT EXISTS (SELECT 1 FROM known n WHERE n.r = x.r AND CASE WHEN x.side = 'tail' THEN n.h = x.h AND n.t = x.e ELSE n.t = x.t AND n.h = x.e END)) AS rank,
+    1 + count(x.e) FILTER (NOT EXISTS (SELECT 1 FROM known n WHERE n.r = x.r AND CASE WHEN x.side = 'tail' THEN n.h = x.h AND n.t = x.e ELSE n.t = x.t AND n.h = x.e END)
+      AND EXISTS (SELECT 1 FROM known n WHERE n.r = x.r AND CASE WHEN x.side = 'tail' THEN n.t ELSE n.h END = x.e)) AS typed
+    FROM w t LEFT JOIN x ON x.q = t.q AND x.side = t.side GROUP BY t.q, t.side)
+  SELECT side, count(*) AS n, round(avg({rank}), 6) AS mr, round(avg(1 / {rank}), 6) AS mrr, round(avg(CASE WHEN {rank} <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_10 FROM k GROUP BY side"""
+
+
+def _links(s, d, typed):
+    v = vectors(s, d).select(F.col("vec_id").alias("id"), "vec")
+    ids = v.select("id")
+    test = ids.filter("id % 20 = 0").join(ids.select((F.col("id") - 2).alias("id")), "id").select(F.col("id").alias("fact_id"), F.col("id").alias("h"), (F.col("id") + 2).alias("r"), (F.col("id") + 1).alias("t"))
+    facts = test.select("h", "r", "t")
+    known = facts.union(facts.select("h", "r", (F.col("t") + 40) % 400)).union(facts.select((F.col("h") + 60) % 400, "r", "t")).distinct()
+    out = R.link_prediction(test, known, v, v, typed)
+    return out.select("side", "n", F.round("mr", 6).alias("mr"), F.round("mrr", 6).alias("mrr"), F.round("hits_10", 6).alias("hits_10"))
+
+
+@query(_LINKS.format(rank="rank"))
+def link_prediction(s, d):
+    """Heads and tails of facts ranked among all entities, known facts left out."""
+    return _links(s, d, False)
+
+
+@query(_LINKS.format(rank="typed"))
+def link_prediction_typed(s, d):
+    """As ``link_prediction`` among the entities that the relation was seen with."""
+    return _links(s, d, True)
+
+
 @query(
     _RANK + """ SELECT query_id // 100 AS relation, count(*) AS n, round(avg(filtered_rank), 6) AS mr, round(avg(1 / filtered_rank), 6) AS mrr,
     round(avg(CASE WHEN filtered_rank <= 10 THEN 1.0 ELSE 0.0 END), 6) AS hits_10 FROM k GROUP BY 1"""
