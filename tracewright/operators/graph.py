@@ -125,44 +125,66 @@ def merge_nodes(edges: DataFrame, parts: list[str] | None = None) -> DataFrame:
     return edges.filter(~is_noise(F.col("src"), parts) & ~is_noise(F.col("dst"), parts))
 
 
-#: Milliseconds of a node's or pair's timeline that are read in one piece.
-TIMELINE_MS = 600_000
+#: Rows of a timeline that are read in one piece.
+SLICE_ROWS = 1_000_000
 
 
-def _within_and_before(rows: DataFrame, keys: list[str], bucket: str, order: list, sums: dict[str, str]) -> DataFrame:
-    """``rows`` with running sums over each timeline, read bucket by bucket: within the bucket, plus the totals of those before it.
+def _long_timelines(rows: DataFrame, keys: list[str], at: str, slice_rows: int) -> DataFrame | None:
+    """(__key, __n, __lo, __hi) of the timelines that are longer than a slice; None if there is none. Null keys are keys."""
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min(at).alias("__lo"), F.max(at).alias("__hi")).filter(F.col("__n") > slice_rows)
+    long = stored(long.select(F.struct(*keys).alias("__key"), "__n", "__lo", "__hi"))
+    return None if long.isEmpty() else long
 
-    A timeline of any length is so many buckets; only one row a bucket is read along it. Null keys are keys.
-    """
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    along = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*keys, bucket).agg(*[F.sum(c).alias(c) for c in sums])
-    before = totals.select(F.struct(*keys, bucket).alias("__at"), *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"__b_{c}") for c in sums])
-    joined = rows.withColumn("__at", F.struct(*keys, bucket)).join(before, "__at")
-    return joined.withColumns({out: F.col(f"__b_{c}") + F.sum(c).over(inside) for c, out in sums.items()}).drop("__at", *[f"__b_{c}" for c in sums])
+
+def _sliced(rows: DataFrame, keys: list[str], at: str, long: DataFrame | None, slice_rows: int) -> DataFrame:
+    """``rows`` with ``__b``, the slice of their timeline: so many equal spans of time that each has about ``slice_rows`` rows."""
+    if long is None:
+        return rows.withColumn("__b", F.lit(0).cast("bigint"))
+    placed = rows.withColumn("__key", F.struct(*keys)).join(long, "__key", "left")
+    share = (F.col(at) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
+    return placed.withColumn("__b", F.coalesce(F.floor(share * F.ceil(F.col("__n") / slice_rows)), F.lit(0))).drop("__key", "__n", "__lo", "__hi")
+
+
+def _carried(rows: DataFrame, keys: list[str], long: DataFrame | None, totals: list[Column], values: dict[str, tuple[Column, str]]) -> DataFrame:
+    """``rows`` with ``values`` (column, type), made of the ``totals`` of the slices before theirs on the timeline; null in first slices."""
+    if long is None:
+        return rows.withColumns({n: F.lit(None).cast(kind) for n, (_, kind) in values.items()})
+    sums = rows.groupBy(*keys, "__b").agg(*totals)
+    before = sums.select(F.struct(*keys, "__b").alias("__at"), "__b", *[v.alias(n) for n, (v, _) in values.items()]).filter("__b > 0").drop("__b")
+    return rows.withColumn("__at", F.struct(*keys, "__b")).join(before, "__at", "left").drop("__at")
 
 
-def cpr_merge(edges: DataFrame, keys: list[str], edge_id: str, bucket_ms: int = TIMELINE_MS) -> DataFrame:
+def _running(rows: DataFrame, keys: list[str], at: str, order: list[str], sums: dict[str, str], long: DataFrame | None, slice_rows: int) -> DataFrame:
+    """``rows`` with running sums over each timeline: within the slice, plus the totals of the slices before it."""
+    sliced = _sliced(rows, keys, at, long, slice_rows)
+    along = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = _carried(sliced, keys, long, [F.sum(c).alias(c) for c in sums], {f"__b_{c}": (F.sum(c).over(along), "bigint") for c in sums})
+    summed = {out: F.coalesce(f"__b_{c}", F.lit(0)) + F.sum(c).over(inside) for c, out in sums.items()}
+    return carried.withColumns(summed).drop("__b", *[f"__b_{c}" for c in sums])
+
+
+def cpr_merge(edges: DataFrame, keys: list[str], edge_id: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Causality-preserving reduction of edges (src, dst, relation, start, end) per graph key.
 
     An edge merges into the one before of the same (src, dst, relation) unless information could have
     flowed between them: an edge out of dst that overlaps [previous start, own start], or one into
     src that overlaps [previous end, own end]. Merged edges take the latest end. Overlaps are counted
     without pairing edges: those starting up to the right bound minus those ending before the left
-    one. Both are read off one sorted pass over the timelines of all nodes, in buckets of time, so that
-    a node or pair that holds most of the edges is no one task.
+    one. Both are read off one sorted pass over the timelines of all nodes; long timelines are cut into
+    slices, so that a node or pair that holds most of the edges is no one task.
     """
     own = [*keys, "src", "dst", "relation"]
     order = ["start", "end", edge_id]
-    placed = edges.withColumn("__b", F.floor(F.col("start") / bucket_ms))
-    inside = Window.partitionBy(*own, "__b").orderBy(*order)
-    lasts = placed.groupBy(*own, "__b").agg(F.max(F.struct(*order)).alias("__last"))
-    carried = lasts.select(F.struct(*own, "__b").alias("__at"), F.lag("__last").over(Window.partitionBy(*own).orderBy("__b")).alias("__before"))
-    asked = placed.withColumn("__at", F.struct(*own, "__b")).join(carried, "__at").drop("__at")
+    inside, along = Window.partitionBy(*own, "__b").orderBy(*order), Window.partitionBy(*own).orderBy("__b")
+    rows = edges.select(*own, *order)
+    long, kind = _long_timelines(rows, own, "start", slice_rows), rows.select(F.struct(*order).alias("x")).schema["x"].dataType
+    last = {"__before": (F.lag("__last").over(along), kind)}
+    asked = _carried(_sliced(rows, own, "start", long, slice_rows), own, long, [F.max(F.struct(*order)).alias("__last")], last)
     asked = asked.withColumns(
         {"ps": F.coalesce(F.lag("start").over(inside), F.col("__before.start")), "pe": F.coalesce(F.lag("end").over(inside), F.col("__before.end"))}
-    ).drop("__before")
-    asked = durable(asked.select(*own, "start", "end", edge_id, "__b", "ps", "pe"))
+    )
+    asked = stored(asked.select(*own, *order, "ps", "pe"))
 
     def mark(way: int, node: str, at: str, place: int, starts: int, ends: int) -> Column:
         named = {"way": F.lit(way), "node": F.col(node), "t": F.col(at), "place": F.lit(place), "s": F.lit(starts), "e": F.lit(ends)}
@@ -172,13 +194,15 @@ def cpr_merge(edges: DataFrame, keys: list[str], edge_id: str, bucket_ms: int =
     marks = [mark(way, end, at, 1, int(at == "start"), int(at == "end")) for way, end in ((0, "src"), (1, "dst")) for at in ("start", "end")]
     questions = [mark(0, "dst", "start", 2, 0, 0), mark(0, "dst", "ps", 0, 0, 0), mark(1, "src", "end", 2, 0, 0), mark(1, "src", "pe", 0, 0, 0)]
     rows = asked.select(*keys, edge_id, F.explode(F.when(F.col("ps").isNull(), F.array(*marks)).otherwise(F.array(*marks, *questions))).alias("m"))
-    rows = rows.select(*keys, edge_id, "m.*").withColumn("__b", F.floor(F.col("t") / bucket_ms))
-    summed = _within_and_before(rows, [*keys, "way", "node"], "__b", ["t", "place"], {"s": "started", "e": "ended"}).filter("place <> 1")
+    rows = rows.select(*keys, edge_id, "m.*")
+    nodes = [*keys, "way", "node"]
+    hubs = _long_timelines(rows, nodes, "t", slice_rows)
+    summed = _running(rows, nodes, "t", ["t", "place"], {"s": "started", "e": "ended"}, hubs, slice_rows).filter("place <> 1")
     hits = lambda way: F.sum(F.when(F.col("way") == way, F.when(F.col("place") == 2, F.col("started")).otherwise(-F.col("ended"))))
     flowed = summed.groupBy(*keys, edge_id).agg(((hits(0) > 0) | (hits(1) > 0)).alias("__flowed"))
     checked = asked.join(flowed, [*keys, edge_id], "left")
-    checked = checked.withColumn("__kept", (F.col("ps").isNull() | F.coalesce("__flowed", F.lit(False))).cast("int"))
-    islands = _within_and_before(checked, own, "__b", order, {"__kept": "island"})
+    checked = stored(checked.select(*own, *order, (F.col("ps").isNull() | F.coalesce("__flowed", F.lit(False))).cast("int").alias("__kept")))
+    islands = _running(checked, own, "start", order, {"__kept": "island"}, long, slice_rows)
     return islands.groupBy(*own, "island").agg(
         F.min_by(edge_id, F.struct(*order)).alias(edge_id), F.min("start").alias("start"), F.max("end").alias("end"),
         F.count(F.lit(1)).alias("n_edges"),

@@ -222,7 +222,7 @@ def gathered_factors(v: Column, places: Column, factors: int) -> Column:
 
 def unattended(relation: Column, factors: int, top: int) -> Column:
     """The attention mass (softmax of block norms) outside the attended blocks."""
-    norms = F.transform(factor_blocks(relation, factors), norm)
+    norms = F.transform(factor_blocks(relation, factors), lambda b: norm(b))
     shares = let(norms, lambda n: let(F.array_max(n), lambda m: let(F.transform(n, lambda x: F.exp(x - m)), lambda e: F.transform(e, lambda x: x / total(e)))))
     return 1 - total(F.slice(F.sort_array(shares, asc=False), 1, top))
 
