@@ -66,6 +66,14 @@ def test_fields(spark):
     assert {got[k].utc_us // 1_000_000 for k in (2, 6, 9, 10, 11, 15, 17, 18)} == {1709258400} and got[6].utc_us % 1_000_000 == 123_456
 
 
+def test_zone_abbreviations(spark):
+    stamps = ["2024-03-01 10:00:00 CST", "2024-03-01 10:00:00 CET", "2024-03-01 10:00:00 UTC", "2024-03-01 10:00:00 PST", "2024-03-01 10:00:00 XYZ"]
+    lines = [f"{stamp} [7] user@db LOG:  x" for stamp in stamps]
+    got = {r.first_line_id: r.utc_us for r in L.parse_entries(spark.createDataFrame(rows(lines), SCHEMA)).collect()}
+    ten = 1709287200 * 1_000_000
+    assert [got[k + 1] for k in range(5)] == [ten - 8 * 3_600_000_000, ten - 3_600_000_000, ten, ten + 8 * 3_600_000_000, None]
+
+
 def test_statements(spark):
     cases = {
         "statement: SELECT 1": "SELECT 1", "execute S_1: update x\nset y": "update x\nset y", "duration: 1.5 ms  statement: x": "x",

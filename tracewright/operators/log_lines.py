@@ -80,6 +80,12 @@ _STATEMENT = (
 )
 #: The clock of stamps without offset, unless the caller names another.
 ZONE = "Asia/Shanghai"
+#: Zones meant by abbreviations that no other zone in common use prints (fixed values); others are the clock's own.
+ABBREVIATIONS = {
+    "GMT": "Etc/GMT", "BST": "Europe/London", "CET": "Europe/Berlin", "CEST": "Europe/Berlin", "EET": "Europe/Athens", "EEST": "Europe/Athens",
+    "MSK": "Europe/Moscow", "JST": "Asia/Tokyo", "EST": "America/New_York", "EDT": "America/New_York", "MST": "America/Denver",
+    "MDT": "America/Denver", "PST": "America/Los_Angeles", "PDT": "America/Los_Angeles",
+}
 
 #: Shapes that resolve to a layout and are broadcast at most; more are joined by shuffle.
 MAX_SHAPES = 20_000
@@ -234,13 +240,17 @@ def statement_of(message: Column) -> Column:
 def entry_instants(entries: DataFrame, zone: str) -> DataFrame:
     """Entries with ``utc_us``, the instant of ``stamp_text``; stamps without offset are read by ``zone``'s clock.
 
-    A stamp without year is the latest that is not after the stream's last dated entry by more than a day.
+    Zone abbreviations of ``ABBREVIATIONS`` are read by that zone's clock; others must be ``zone``'s own. A stamp without year is the latest that is not after the stream's last dated entry by more than a day.
     """
     spark = entries.sparkSession
-    clock = spark.createDataFrame([(0, zone)], "node_id int, tz_name string")
+    zones = [zone, *dict.fromkeys(ABBREVIATIONS.values())]
+    clock = spark.createDataFrame(list(enumerate(zones)), "node_id int, tz_name string")
+    printed, at = F.regexp_extract("stamp_text", r" ([A-Z]{3,4})$", 1), F.lit(0)
+    for name, meant in ABBREVIATIONS.items():
+        at = F.when(printed == name, zones.index(meant)).otherwise(at)
     undated = F.col("layout") == FTP_MESSAGE
     columns = [*entries.columns, "utc_us"]
-    known = entries.withColumns({"__at": F.lit(0), "__seen": F.to_timestamp(F.lit("9999-12-31 00:00:00"))})
+    known = entries.withColumns({"__at": at, "__seen": F.to_timestamp(F.lit("9999-12-31 00:00:00"))})
     dated = resolve_instants(known.filter(~undated), clock, "stamp_text", "__at", "__seen").select(*columns)
     last = dated.groupBy("stream_id").agg(F.max("utc_us").alias("__last"))
     late = known.filter(undated).join(last, "stream_id", "left")
