@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.parsers import payload_relevant
-
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, low: int, high: int, how: str = "inner") -> DataFrame:
     """Rows of equal ``keys`` with left_at + low <= right_at <= left_at + high, as an equi-join on buckets.
@@ -127,51 +130,166 @@ def synthetic_clones(runs: DataFrame, clones: DataFrame, names: DataFrame, order
     return joined.filter(~same).withColumn("action", F.lit("sys_clone"))
 
 
-def interval_join(events: DataFrame, spans: DataFrame, at: str, low: str, high: str, width: int) -> DataFrame:
-    """Events whose time lies in a span [low, high], as an equi-join on buckets of ``width``; a span lies in each bucket it touches."""
-    held = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    asked = events.withColumn("__b", F.floor(F.col(at) / width))
-    return asked.join(held, "__b").filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__b")
-
-
-def nearest_gap(asked: DataFrame, marks: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
-    """``asked`` with ``out``, the distance of ``at`` to the nearest mark of its keys (null if there is none), by one sort of both."""
-    mark = F.when(F.col("__mark"), F.col(at))
-    both = asked.withColumn("__mark", F.lit(False)).unionByName(marks.select(*keys, at).withColumn("__mark", F.lit(True)), True)
-    order = Window.partitionBy(*keys).orderBy(at, F.col("__mark").desc())
-    back = F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    on = F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    gap = F.least(F.col(at) - F.col("__back"), F.col("__on") - F.col(at))
-    return both.withColumns({"__back": back, "__on": on}).filter("not __mark").withColumn(out, gap).drop("__mark", "__back", "__on")
-
-
-def best_labels(events: DataFrame, units: DataFrame, nets: DataFrame, fields: DataFrame, window: int, prefix: str = "") -> DataFrame:
+def _tokens(values: Column) -> Column:
+    """Texts as one text, each as the digits of its bytes with a comma: a fraction of an array's size in a shuffle. Nulls are left out."""
+    return F.array_join(F.transform(values, lambda v: F.concat(F.hex(v), F.lit(","))), "")
+
+
+class _Units:
+    """The units of work of one bucket, cut where another of their records becomes the nearest one, by their begin."""
+
+    def __init__(self, batches: list[pa.RecordBatch]) -> None:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        column = lambda c: rows[c].to_numpy()
+        self.label, begin, end, total = rows["label"].combine_chunks(), column("__t"), column("__hi"), column("__a")
+        rank = np.empty(len(rows), np.int64)
+        rank[pc.array_sort_indices(self.label)] = np.arange(len(rows))
+        marks = rows["__marks"].combine_chunks()
+        mark, sizes = marks.flatten().to_numpy(), pc.list_value_length(marks).to_numpy()
+        unit = np.repeat(np.arange(len(rows)), sizes)
+        same, half = unit[1:] == unit[:-1], (mark[1:] - mark[:-1]) // 2 + mark[:-1]
+        low, high = begin[unit], end[unit]
+        low[1:][same] = np.maximum(low[1:], half + 1)[same]
+        high[:-1][same] = np.minimum(high[:-1], half)[same]
+        order = np.flatnonzero(low <= high)
+        order = order[np.argsort(low[order], kind="stable")]
+        self.unit, self.mark, self.low, self.high = unit[order], mark[order], low[order], high[order]
+        self.last, self.rank, self.total = np.maximum.accumulate(self.high), rank[self.unit], total[self.unit].astype(np.float64)
+        self.codes: dict[str, int] = {}
+        held = [[self.codes.setdefault(v, len(self.codes)) for v in text.split(",")[:-1]] for text in rows["__values"].to_pylist()]
+        held = [held[u] for u in self.unit.tolist()]
+        self.ends = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
+        self.values = np.fromiter(chain.from_iterable(held), np.int64, self.ends[-1])
+        self.row = np.full(len(self.codes) + 1, -1)
+        known: dict[bytes | None, int] = {}
+        payload = np.array([known.setdefault(p, len(known)) for p in rows["payload"].to_pylist()], np.int64)
+        self.payload, self.payloads = payload[self.unit], list(known)
+        self.inside: dict[bytes, np.ndarray] = {}
+
+    def in_payloads(self, value: bytes, prefix: bytes) -> np.ndarray:
+        """Which payloads hold what is left of the value without the prefix."""
+        rest = value.removeprefix(prefix)
+        if rest not in self.inside:
+            if len(self.inside) * len(self.payloads) > _REMEMBERED:
+                self.inside.clear()
+            self.inside[rest] = np.array([rest != b"" and p is not None and rest in p for p in self.payloads])
+        return self.inside[rest]
+
+    def counts(self, texts: list[bytes | None], first: int, end: int, prefix: bytes) -> np.ndarray:
+        """How often each text is among the values of each piece of ``first`` to ``end``, 1 at least where the payload holds it."""
+        codes = np.array([len(self.codes) if x is None else self.codes.get(x.hex().upper(), len(self.codes)) for x in texts])
+        self.row[codes] = np.arange(len(texts))
+        self.row[-1] = -1
+        row = self.row[self.values[self.ends[first] : self.ends[end]]]
+        piece = np.repeat(np.arange(end - first), np.diff(self.ends[first : end + 1]))
+        self.row[codes] = -1
+        there = row >= 0
+        counted = np.bincount(row[there] * (end - first) + piece[there], minlength=len(texts) * (end - first)).reshape(len(texts), -1)
+        for k, text in enumerate(texts):
+            if text is not None:
+                np.maximum(counted[k], self.in_payloads(text, prefix)[self.payload[first:end]], out=counted[k])
+        return counted.astype(np.int32)
+
+    def best(self, events: pa.RecordBatch, prefix: bytes) -> Iterator[pa.RecordBatch]:
+        """The best unit of each event; events come in the order of their times."""
+        at = events["__t"].to_numpy()
+        both = pa.chunked_array([events["subject"], events["object"]]).combine_chunks().dictionary_encode("encode")
+        texts, codes = both.dictionary.to_pylist(), both.indices.to_numpy().reshape(2, -1)
+        todo = [(k, min(k + _BLOCK, len(at))) for k in range(0, len(at), _BLOCK)]
+        found: list[tuple[np.ndarray, ...]] = []
+        while todo:
+            i, j = todo.pop()
+            first, end = np.searchsorted(self.last, at[i]), np.searchsorted(self.low, at[j - 1], "right")
+            if (j - i) * (end - first) > _CELLS and j - i > 1:
+                todo += [(i, (i + j) // 2), ((i + j) // 2, j)]
+                continue
+            for k in range(first, end, _CELLS):
+                found.append(self.scored(np.arange(i, j), at[i:j], codes[:, i:j], texts, k, min(k + _CELLS, end), prefix))
+        if found:
+            event, piece, b, hits = (np.concatenate(x) for x in zip(*found, strict=True))
+            unit = pa.array(self.unit[piece])
+            yield pa.RecordBatch.from_arrays(
+                [events["event_id"].take(pa.array(event)), self.label.take(unit), *(pa.array(x, pa.int64()) for x in (np.abs(at[event] - self.mark[piece]), b, hits, self.total[piece].astype(np.int64)))],
+                ["event_id", "label", "near", "b", "hits", "a"],
+            )
+
+    def scored(self, event: np.ndarray, at: np.ndarray, codes: np.ndarray, texts: list, first: int, end: int, prefix: bytes) -> tuple[np.ndarray, ...]:
+        """(event, piece, b, hits) of the best piece of ``first`` to ``end``: one cell for each event and piece, pieces by label."""
+        used, code = np.unique(codes, return_inverse=True)
+        by_label = np.argsort(self.rank[first:end])
+        piece = by_label + first
+        counted = self.counts([texts[k] for k in used], first, end, prefix)[:, by_label]
+        subject, object_ = code.reshape(2, -1)
+        b = counted[subject] + counted[object_]
+        cell = np.flatnonzero((b > 0) & (at[:, None] >= self.low[piece]) & (at[:, None] <= self.high[piece]))
+        x, y = np.divmod(cell, len(piece))
+        seen = counted > 0
+        hits = seen[subject[x], y].astype(np.int64) + seen[object_[x], y]
+        near = np.abs(at[x] - self.mark[piece][y])
+        score = np.full(b.shape, -np.inf)
+        score.ravel()[cell] = np.log1p(1 / (near / 1000 + 1e-9)) + hits / 2 * np.exp(b.ravel()[cell] / self.total[piece][y])
+        # The first of equal scores is that of the first label.
+        top = score.argmax(1)
+        own = np.flatnonzero(score[np.arange(len(at)), top] > -np.inf)
+        top = top[own]
+        return event[own], piece[top], b[own, top], seen[subject[own], top].astype(np.int64) + seen[object_[own], top]
+
+
+#: Events scored at once, cells (event and piece of a unit) at most, and cells (text and payload) that are remembered.
+_BLOCK, _CELLS, _REMEMBERED = 128, 1 << 20, 1 << 26
+
+
+def best_labels(events: DataFrame, units: DataFrame, nets: DataFrame, window: int, prefix: str = "", by: str = "label") -> DataFrame:
     """(event_id, label, s1, s2): for every event the unit of work that scores most, s1 + s2; the first label wins ties.
 
-    ``events`` have (event_id, at, subject, object) in microseconds, ``units`` (label, app_at, payload) with the
-    times of one or more application records, ``nets`` (label, at), ``fields`` (label, v) the values of a unit's
-    records. Units are candidates from ``window`` before their first to ``window`` after their last application
-    record. s1 is the time score in milliseconds to the nearest of application and network records; s2 is
-    I exp((B1 + B2) / A): A the unit's number of values, B1 and B2 how often subject and object are among them
-    (at least 1 where the payload holds them), I the share of the two that are; units with s2 = 0 are none.
+    ``events`` have (event_id, at, subject, object) in microseconds, ``units`` (label, ``by``, app_at, payload,
+    own) with the times of one or more application records and their values, ``nets`` (``by``, at, v) the
+    network records that all units of one ``by`` have. Units are candidates from ``window`` before their first
+    to ``window`` after their last application record. s1 is the time score in milliseconds to the nearest of
+    application and network records; s2 is I exp((B1 + B2) / A): A the unit's number of values (each of ``own``,
+    and once each of ``nets``), B1 and B2 how often subject and object are among them (at least 1 where the
+    payload holds them), I the share of the two that are; units with s2 = 0 are none.
+
+    Events and units meet in buckets of time. Pairs are scored where they meet and only the best of an event
+    goes on, so what is shuffled grows with the rows and not with the pairs.
     """
-    spans = units.withColumns({"__lo": F.array_min("app_at") - window, "__hi": F.array_max("app_at") + window})
-    pairs = interval_join(events, spans, "at", "__lo", "__hi", 2 * window)
-    pairs = nearest_gap(pairs, nets, ["label"], "at", "__net")
-    apps = F.array_min(F.transform("app_at", lambda x: F.abs(F.col("at") - x)))
-    near = F.least(apps, F.col("__net"))
-    histogram = fields.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"))
-    whole = histogram.groupBy("label").agg(F.sum("n").alias("a"))
-    pairs = pairs.join(whole, "label")
-    for side in ("subject", "object"):
-        named = histogram.select("label", F.col("v").alias(side), F.col("n").alias(f"__{side}"))
-        pairs = pairs.join(named, ["label", side], "left")
-    hit = lambda side: F.greatest(F.coalesce(f"__{side}", F.lit(0)), F.coalesce(payload_relevant(F.col("payload"), F.col(side), prefix), F.lit(0)))
-    pairs = pairs.withColumns({"__b1": hit("subject"), "__b2": hit("object")})
-    share = ((F.col("__b1") > 0).cast("int") + (F.col("__b2") > 0).cast("int")) / 2
-    scored = pairs.select(
-        "event_id", "label", F.log1p(1 / (near / 1000 + 1e-9)).alias("s1"), (share * F.exp((F.col("__b1") + F.col("__b2")) / F.col("a"))).alias("s2")
-    ).filter("s2 <> 0")
+    lists = nets.groupBy(by).agg(F.collect_list("at").alias("__nets"), F.collect_set("v").alias("__v"), F.max(F.col("v").isNull().cast("int")).alias("__null"))
+    lists = lists.select(by, "__nets", (F.size("__v") + F.col("__null")).alias("__n"), _tokens(F.col("__v")).alias("__shared"))
+    spans = units.filter("label is not null").withColumns({"__t": F.array_min("app_at") - window, "__hi": F.array_max("app_at") + window})
+    # A record farther off than the span is long is the nearest one to no event in it.
+    reach = F.col("__hi") - F.col("__t")
+    close = F.filter("__nets", lambda x: (x >= F.col("__t") - reach) & (x <= F.col("__hi") + reach))
+    marks = F.array_sort(F.array_distinct(F.filter(F.concat("app_at", F.coalesce(close, F.array().cast("array<bigint>"))), lambda x: x.isNotNull())))
+    width = max(1, 8 * window)
+    held = spans.join(lists, by, "left").select(
+        F.explode(F.sequence(F.floor(F.col("__t") / width), F.floor(F.col("__hi") / width))).alias("__b"), F.lit(0).alias("__side"), "__t", "__hi", "label", F.col("payload").cast("binary").alias("payload"),
+        (F.size("own") + F.coalesce("__n", F.lit(0))).cast("bigint").alias("__a"), marks.alias("__marks"), F.concat(_tokens(F.col("own")), F.coalesce("__shared", F.lit(""))).alias("__values"),
+    ).filter("__a > 0")
+    asked = events.filter("at is not null").select(
+        F.floor(F.col("at") / width).alias("__b"), F.lit(1).alias("__side"), F.col("at").cast("bigint").alias("__t"), "event_id", F.col("subject").cast("binary").alias("subject"), F.col("object").cast("binary").alias("object"),
+    )
+    met = held.unionByName(asked, True).repartition("__b").sortWithinPartitions("__b", "__side", "__t")
+    kind = {f.name: f.dataType.simpleString() for f in met.schema}
+    start = prefix.encode()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, parts, index = None, [], None
+        for batch in batches:
+            b, side = batch["__b"].to_numpy(), batch["__side"].to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(b) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(b)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if b[i] != bucket:
+                    bucket, parts, index = b[i], [], None
+                if side[i] == 0:
+                    parts.append(batch.slice(i, j - i))
+                elif parts:
+                    index = index or _Units(parts)
+                    yield from index.best(batch.slice(i, j - i), start)
+
+    pairs = met.mapInArrow(fold, f"event_id {kind['event_id']}, label {kind['label']}, near bigint, b bigint, hits bigint, a bigint")
+    scored = pairs.select("event_id", "label", F.log1p(1 / (F.col("near") / 1000 + 1e-9)).alias("s1"), (F.col("hits") / 2 * F.exp(F.col("b") / F.col("a"))).alias("s2"))
     best = F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("s"), "label", "s1", "s2")).alias("b")
     return scored.groupBy("event_id").agg(best).select("event_id", "b.label", "b.s1", "b.s2")
 

@@ -240,13 +240,11 @@ _UNITS = _EV + """, u AS (SELECT event_id AS label, us AS app_us, {second} AS ap
 
 def _scored(s: SparkSession, d: str, second: Column) -> DataFrame:
     e = _events(s, d)
-    units = e.filter("rel = 'purchase'").select(F.col("event_id").alias("label"), F.col("us").alias("app_us"), second.alias("app2_us"), "src", "dst", F.floor("value").cast("string").alias("payload"))
-    nets = e.filter("rel = 'view'").select("src", F.col("us").alias("at"), F.col("dst").cast("string").alias("v")).join(units.select("label", "src"), "src")
-    own = units.select("label", F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("v"))
-    fields = own.union(nets.select("label", "v").distinct())
+    own = F.array(F.col("src").cast("string"), F.col("dst").cast("string")).alias("own")
+    units = e.filter("rel = 'purchase'").select(F.col("event_id").alias("label"), "src", F.array(F.col("us"), second).alias("app_at"), F.floor("value").cast("string").alias("payload"), own)
+    nets = e.filter("rel = 'view'").select("src", F.col("us").alias("at"), F.col("dst").cast("string").alias("v"))
     events = e.filter("rel = 'click'").select("event_id", F.col("us").alias("at"), F.col("dst").cast("string").alias("subject"), ((F.col("dst") + 3) % 100).cast("string").alias("object"))
-    spans = units.select("label", "payload", F.array("app_us", "app2_us").alias("app_at"))
-    best = C.best_labels(events, spans, nets.select("label", "at"), fields, _WINDOW)
+    best = C.best_labels(events, units, nets, _WINDOW, by="src")
     return best.select("event_id", "label", F.round("s1", 5).alias("s1"), F.round("s2", 5).alias("s2"))
 
 
