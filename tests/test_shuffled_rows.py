@@ -48,6 +48,6 @@ def crowd(n):
     return rows
 
 
-@pytest.mark.parametrize("query", ["best_label_one_app"])
+@pytest.mark.parametrize("query", ["best_label_one_app", "best_label_two_apps"])
 def test_best_labels_shuffle_no_pairs(spark, tmp_path, query):
     assert checked(spark, tmp_path, query, crowd(400)) < 5
