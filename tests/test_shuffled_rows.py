@@ -51,3 +51,26 @@ def crowd(n):
 @pytest.mark.parametrize("query", ["best_label_one_app", "best_label_two_apps"])
 def test_best_labels_shuffle_no_pairs(spark, tmp_path, query):
     assert checked(spark, tmp_path, query, crowd(400)) < 5
+
+
+def test_subset_graphs_shuffle_no_pairs_of_graphs(spark, tmp_path):
+    """Many graphs of a day with the same few pairs: nearly each holds the rarest pair of most others."""
+    kinds, rows = ["click", "view", "purchase"], []
+    for user in range(600):
+        for j in range(1 + user * 13 % 3):
+            rows.append((len(rows), (user * 31 + j) % 3_600 * 1_000_000, user, kinds[(user * 7 + j) % 3], 1.0, user % 5 % 2))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert checked(spark, tmp_path, "subset_graph_prune", rows) < 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_subset_graphs_nulls_own_pairs_and_order(spark):
+    from tracewright.operators import graph as G
+
+    # 1 {a, b}; 2 {a}; 3 {a, null}; 4 {a, c, d}; 5 {c, d}; 6 {b, c}; 7 {c, d} again; 8 {c} with a null; 9 {e}, of its own; 10 {a, b, c}; 11 {null}
+    held = {1: "ab", 2: "a", 3: "a-", 4: "acd", 5: "cd", 6: "bc", 7: "cd", 8: "c-", 9: "e", 10: "abc", 11: "-"}
+    rows = [(0, g, None if p == "-" else p, 1) for g, ps in held.items() for p in ps] + [(1, 3, "a", 1), (1, 5, "a", 1), (None, 6, "a", 1), (0, None, "a", 1), (0, 2, "a", 1)]
+    edges = spark.createDataFrame(rows, "day int, graph int, src string, dst int")
+    assert sorted(tuple(r) for r in G.subset_graphs(edges, "graph", ["day"]).collect()) == [(0, 2), (0, 5), (0, 7), (1, 5)]

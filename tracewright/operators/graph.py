@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -366,16 +369,53 @@ def claim_parallel(edges: DataFrame, keys: list[str], edge_id: str) -> DataFrame
 def subset_graphs(edges: DataFrame, graph: str, keys: list[str]) -> DataFrame:
     """(keys, graph): graphs whose (src, dst) pairs all lie in an earlier graph of the key.
 
-    A graph is compared only with graphs that hold its rarest pair, by counting shared pairs.
+    A graph is the sorted list of the numbers of its pairs, rarest first. Of graphs with one list all but the first
+    lie in an earlier one; that one is compared with the earlier lists that hold its rarest pair, list by list in a
+    task. A pair that is null or of one graph only lies in no other graph, which settles its graph; for others it is
+    not looked at.
     """
-    pairs = edges.select(*keys, graph, "src", "dst").distinct()
-    size = pairs.groupBy(*keys, graph).agg(F.count(F.lit(1)).alias("n"))
-    spread = pairs.groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("m"))
-    rare = pairs.join(spread, [*keys, "src", "dst"]).groupBy(*keys, graph).agg(F.min_by(F.struct("src", "dst"), F.struct("m", "src", "dst")).alias("p"))
-    probe = rare.select(*keys, F.col(graph).alias("__g"), "p.src", "p.dst")
-    near = probe.join(pairs.withColumnRenamed(graph, "__e"), [*keys, "src", "dst"]).filter("__e < __g").select(*keys, "__g", "__e")
-    own = near.join(pairs.withColumnRenamed(graph, "__g"), [*keys, "__g"])
-    shared = own.join(pairs.withColumnRenamed(graph, "__e"), [*keys, "__e", "src", "dst"], "left_semi")
-    counted = shared.groupBy(*keys, "__g", "__e").agg(F.count(F.lit(1)).alias("c"))
-    full = counted.join(size.withColumnRenamed(graph, "__g"), [*keys, "__g"]).filter("c = n")
-    return full.select(*keys, F.col("__g").alias(graph)).distinct()
+    whole = " and ".join(f"`{c}` is not null" for c in [*keys, graph])
+    pairs = stored(edges.select(*keys, graph, "src", "dst").filter(whole).distinct())
+    spread = pairs.filter("src is not null and dst is not null").groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    # Stored, its size is known when the join is planned: few numbers are broadcast and the pairs stay where they are.
+    numbered = stored(spread.select(*keys, "src", "dst", F.row_number().over(Window.partitionBy(*keys).orderBy("m", "src", "dst")).alias("__p")))
+    coded = pairs.join(numbered, [*keys, "src", "dst"], "left")
+    sets = stored(coded.groupBy(*keys, graph).agg(F.array_sort(F.collect_list("__p")).alias("__set"), F.max(F.col("__p").isNull()).alias("__own")))
+    firsts = stored(sets.filter("size(__set) > 0").groupBy(*keys, "__set").agg(F.min(graph).alias("__first"), F.min_by("__own", graph).alias("__own")))
+    asked = firsts.filter("not __own").select(*keys, F.element_at("__set", 1).alias("__p")).distinct()
+    # The numbers under which a list is looked up are found before the lists are moved, so that each goes only where one asks.
+    spots = firsts.select(*keys, "__first", F.explode("__set").alias("__p")).join(asked, [*keys, "__p"], "left_semi")
+    held = firsts.join(spots.groupBy(*keys, "__first").agg(F.collect_list("__p").alias("__spots")), [*keys, "__first"])
+    met = held.select(*keys, F.explode("__spots").alias("__p"), "__first", "__set", "__own").repartition(*keys, "__p").sortWithinPartitions(*keys, "__p", "__first")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, holders = None, 0, {}
+        for batch in batches:
+            alone = []
+            columns = [batch[c].to_pylist() for c in [*keys, "__p"]]
+            for row, (now, numbers, own) in enumerate(zip(zip(*columns, strict=True), batch["__set"].to_pylist(), batch["__own"].to_pylist(), strict=True)):
+                if now != group:
+                    group, n, holders = now, 0, {}
+                if not own and numbers[0] == now[-1] and not _held_together(numbers[1:], n, holders):
+                    alone.append(row)
+                for number in numbers:
+                    if number != now[-1]:
+                        holders.setdefault(number, array("q")).append(n)
+                n += 1
+            yield batch.select([*keys, "__first"]).take(pa.array(alone, pa.int64()))
+
+    alone = met.mapInArrow(fold, firsts.select(*keys, "__first").schema).withColumnRenamed("__first", graph)
+    return sets.filter("not __own").select(*keys, graph).join(alone, [*keys, graph], "left_anti")
+
+
+def _held_together(numbers: list[int], n: int, holders: dict[int, array]) -> bool:
+    """Whether one of ``n`` lists holds all numbers; ``holders`` are the ascending places of the lists of a number."""
+    if not numbers or not n:
+        return n > 0
+    if any(k not in holders for k in numbers):
+        return False
+    places = sorted((np.frombuffer(holders[k], np.int64) for k in numbers), key=len)
+    found = places[0]
+    for other in places[1:]:
+        found = found[other[np.minimum(other.searchsorted(found), len(other) - 1)] == found]
+    return len(found) > 0
