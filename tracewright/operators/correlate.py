@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import packed
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, low: int, high: int, how: str = "inner") -> DataFrame:
     """Rows of equal ``keys`` with left_at + low <= right_at <= left_at + high, as an equi-join on buckets.
@@ -130,9 +132,87 @@ def synthetic_clones(runs: DataFrame, clones: DataFrame, names: DataFrame, order
     return joined.filter(~same).withColumn("action", F.lit("sys_clone"))
 
 
-def _tokens(values: Column) -> Column:
-    """Texts as one text, each as the digits of its bytes with a comma: a fraction of an array's size in a shuffle. Nulls are left out."""
-    return F.array_join(F.transform(values, lambda v: F.concat(F.hex(v), F.lit(","))), "")
+def _token(value: bytes) -> bytes:
+    """A value as it stands in the text of a unit's values, where each ends in a comma."""
+    return value.replace(b"%", b"%25").replace(b",", b"%2C")
+
+
+def _joined(values: Iterable[bytes | None]) -> bytes:
+    """Values as one text; nulls are left out."""
+    return b"".join(_token(v) + b"," for v in values if v is not None)
+
+
+def _owned(batches: Iterator[pa.RecordBatch], window: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Units with the records of their owner, for each bucket that they touch. Rows come by owner, its records before its units."""
+    own, at, held, times, text, n = object(), [], [], np.array([], np.int64), None, 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        by, side, t = batch["__by"], batch["__side"].to_numpy(), batch["__t"].fill_null(0).to_numpy()
+        known, values, owned = batch["__t"].is_valid().to_numpy(zero_copy_only=False), batch["__v"].to_pylist(), batch["__own"].to_pylist()
+        ends, apps = _apps(batch["__apps"])
+        some = np.diff(ends) > 0
+        low, high = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
+        low[some], high[some] = apps[ends[:-1][some]] - window, apps[ends[1:][some] - 1] + window
+        rows: list[int] = []
+        marks: list[np.ndarray] = []
+        texts: list[bytes] = []
+        totals: list[int] = []
+        count, start = 0, 0
+        for end in pc.run_end_encode(by).run_ends.to_pylist():
+            key = by[start].as_py()
+            if key != own:
+                own, at, held, text = key, [], [], None
+            k = start + int(np.searchsorted(side[start:end], 1))
+            if k > start:
+                at.append(t[start:k][known[start:k]])
+                held += values[start:k]
+            if k < end and text is None:
+                distinct = set(held)
+                times, n, text = np.unique(np.concatenate([times[:0], *at])), len(distinct), _joined(sorted(distinct - {None}))
+            # A record farther off than the span is long is the nearest one to no event in it.
+            first = np.searchsorted(times, 2 * low[k:end] - high[k:end]).tolist()
+            last = np.searchsorted(times, 2 * high[k:end] - low[k:end], "right").tolist()
+            for r, i, j in zip(range(k, end), first, last, strict=True):
+                total = len(owned[r]) + n
+                if some[r] and total:
+                    mark = apps[ends[r] : ends[r + 1]]
+                    rows.append(r)
+                    marks.append(mark if i == j else np.union1d(mark, times[i:j]))
+                    texts.append(_joined(owned[r]) + text)
+                    totals.append(total)
+                    count += len(marks[-1]) + len(text)
+                    if count > _CELLS:
+                        yield _spread(batch, low, high, rows, marks, texts, totals, width)
+                        rows, marks, texts, totals, count = [], [], [], [], 0
+            start = end
+        if rows:
+            yield _spread(batch, low, high, rows, marks, texts, totals, width)
+
+
+def _apps(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the times of each row end, after a 0, and the times: of each row sorted, each once and without nulls."""
+    flat = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())[flat.is_valid().to_numpy(zero_copy_only=False)]
+    times = flat.drop_null().to_numpy()
+    order = np.lexsort((times, row))
+    times = times[order]
+    once = np.ones(len(row), bool)
+    once[1:] = (row[1:] != row[:-1]) | (times[1:] != times[:-1])
+    return np.concatenate([[0], np.cumsum(np.bincount(row[once], minlength=len(lists)))]), times[once]
+
+
+def _spread(batch: pa.RecordBatch, low: np.ndarray, high: np.ndarray, rows: list[int], marks: list[np.ndarray], texts: list[bytes], totals: list[int], width: int) -> pa.RecordBatch:
+    """Each unit of ``rows`` once for each bucket that it touches; its end and its marks count from its begin."""
+    t, high = low[rows], high[rows]
+    times = high // width - t // width + 1
+    each = np.repeat(np.arange(len(rows)), times)
+    bucket = t[each] // width + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+    sizes = np.array([len(m) for m in marks])
+    mark = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(marks) - np.repeat(t, sizes)))
+    made = {"__side": pa.array(np.zeros(len(rows), np.int32)), "__t": pa.array(t), "__span": pa.array(high - t), "__a": pa.array(totals, pa.int64()), "__marks": mark, "__values": pa.array(texts, pa.binary())}
+    made |= {c: batch[c].take(pa.array(rows, pa.int64())) for c in ("label", "payload")}
+    return pa.RecordBatch.from_pydict({"__b": pa.array(bucket)} | {c: v.take(pa.array(each)) for c, v in made.items()})
 
 
 class _Units:
@@ -141,12 +221,14 @@ class _Units:
     def __init__(self, batches: list[pa.RecordBatch]) -> None:
         rows = pa.Table.from_batches(batches).combine_chunks()
         column = lambda c: rows[c].to_numpy()
-        self.label, begin, end, total = rows["label"].combine_chunks(), column("__t"), column("__hi"), column("__a")
+        self.label, begin, total = rows["label"].combine_chunks(), column("__t"), column("__a")
+        end = begin + column("__span")
         rank = np.empty(len(rows), np.int64)
         rank[pc.array_sort_indices(self.label)] = np.arange(len(rows))
         marks = rows["__marks"].combine_chunks()
         mark, sizes = marks.flatten().to_numpy(), pc.list_value_length(marks).to_numpy()
         unit = np.repeat(np.arange(len(rows)), sizes)
+        mark = mark + begin[unit]
         same, half = unit[1:] == unit[:-1], (mark[1:] - mark[:-1]) // 2 + mark[:-1]
         low, high = begin[unit], end[unit]
         low[1:][same] = np.maximum(low[1:], half + 1)[same]
@@ -155,8 +237,8 @@ class _Units:
         order = order[np.argsort(low[order], kind="stable")]
         self.unit, self.mark, self.low, self.high = unit[order], mark[order], low[order], high[order]
         self.last, self.rank, self.total = np.maximum.accumulate(self.high), rank[self.unit], total[self.unit].astype(np.float64)
-        self.codes: dict[str, int] = {}
-        held = [[self.codes.setdefault(v, len(self.codes)) for v in text.split(",")[:-1]] for text in rows["__values"].to_pylist()]
+        self.codes: dict[bytes, int] = {}
+        held = [[self.codes.setdefault(v, len(self.codes)) for v in text.split(b",")[:-1]] for text in rows["__values"].to_pylist()]
         held = [held[u] for u in self.unit.tolist()]
         self.ends = np.concatenate([[0], np.cumsum([len(h) for h in held])]).astype(np.int64)
         self.values = np.fromiter(chain.from_iterable(held), np.int64, self.ends[-1])
@@ -177,7 +259,7 @@ class _Units:
 
     def counts(self, texts: list[bytes | None], first: int, end: int, prefix: bytes) -> np.ndarray:
         """How often each text is among the values of each piece of ``first`` to ``end``, 1 at least where the payload holds it."""
-        codes = np.array([len(self.codes) if x is None else self.codes.get(x.hex().upper(), len(self.codes)) for x in texts])
+        codes = np.array([len(self.codes) if x is None else self.codes.get(_token(x), len(self.codes)) for x in texts])
         self.row[codes] = np.arange(len(texts))
         self.row[-1] = -1
         row = self.row[self.values[self.ends[first] : self.ends[end]]]
@@ -250,26 +332,30 @@ def best_labels(events: DataFrame, units: DataFrame, nets: DataFrame, window: in
     and once each of ``nets``), B1 and B2 how often subject and object are among them (at least 1 where the
     payload holds them), I the share of the two that are; units with s2 = 0 are none.
 
-    Events and units meet in buckets of time. Pairs are scored where they meet and only the best of an event
-    goes on, so what is shuffled grows with the rows and not with the pairs.
+    Network records and units meet by owner, then events and units in buckets of time, both shuffled as packed
+    columns. Pairs are scored where they meet and only the best of an event goes on, so what is shuffled grows
+    with the rows and not with the pairs.
     """
-    lists = nets.groupBy(by).agg(F.collect_list("at").alias("__nets"), F.collect_set("v").alias("__v"), F.max(F.col("v").isNull().cast("int")).alias("__null"))
-    lists = lists.select(by, "__nets", (F.size("__v") + F.col("__null")).alias("__n"), _tokens(F.col("__v")).alias("__shared"))
-    spans = units.filter("label is not null").withColumns({"__t": F.array_min("app_at") - window, "__hi": F.array_max("app_at") + window})
-    # A record farther off than the span is long is the nearest one to no event in it.
-    reach = F.col("__hi") - F.col("__t")
-    close = F.filter("__nets", lambda x: (x >= F.col("__t") - reach) & (x <= F.col("__hi") + reach))
-    marks = F.array_sort(F.array_distinct(F.filter(F.concat("app_at", F.coalesce(close, F.array().cast("array<bigint>"))), lambda x: x.isNotNull())))
     width = max(1, 8 * window)
-    held = spans.join(lists, by, "left").select(
-        F.explode(F.sequence(F.floor(F.col("__t") / width), F.floor(F.col("__hi") / width))).alias("__b"), F.lit(0).alias("__side"), "__t", "__hi", "label", F.col("payload").cast("binary").alias("payload"),
-        (F.size("own") + F.coalesce("__n", F.lit(0))).cast("bigint").alias("__a"), marks.alias("__marks"), F.concat(_tokens(F.col("own")), F.coalesce("__shared", F.lit(""))).alias("__values"),
-    ).filter("__a > 0")
+    key = F.hash("__by").alias("__key")
+    records = nets.filter(F.col(by).isNotNull()).select(F.col(by).alias("__by"), F.lit(0).alias("__side"), F.col("at").cast("bigint").alias("__t"), F.col("v").cast("binary").alias("__v"))
+    works = units.filter("label is not null and own is not null").select(
+        F.col(by).alias("__by"), F.lit(1).alias("__side"), "label", F.col("payload").cast("binary").alias("payload"), F.col("own").cast("array<binary>").alias("__own"), F.col("app_at").cast("array<bigint>").alias("__apps"),
+    )
     asked = events.filter("at is not null").select(
         F.floor(F.col("at") / width).alias("__b"), F.lit(1).alias("__side"), F.col("at").cast("bigint").alias("__t"), "event_id", F.col("subject").cast("binary").alias("subject"), F.col("object").cast("binary").alias("object"),
     )
-    met = held.unionByName(asked, True).repartition("__b").sortWithinPartitions("__b", "__side", "__t")
-    kind = {f.name: f.dataType.simpleString() for f in met.schema}
+    kind = {f.name: f.dataType.simpleString() for f in [*works.schema, *asked.schema]}
+    owned = packed.shuffled(
+        [(records.select("*", key), None), (works.select("*", key), None)],
+        f"__by {kind['__by']}, __side int, __t bigint, __v binary, label {kind['label']}, payload binary, __own array<binary>, __apps array<bigint>",
+        "__key", ["__by", "__side"], ["__side", "__by"],
+    )
+    met = packed.shuffled(
+        [(owned, lambda batches: _owned(batches, window, width)), (asked, None)],
+        f"__b bigint, __side int, __t bigint, __span bigint, label {kind['label']}, payload binary, __a bigint, __marks array<bigint>, __values binary, event_id {kind['event_id']}, subject binary, object binary",
+        "__b", ["__b", "__side", "__t"], ["__side", "__b", "__t"],
+    )
     start = prefix.encode()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,9 +375,10 @@ def best_labels(events: DataFrame, units: DataFrame, nets: DataFrame, window: in
                     yield from index.best(batch.slice(i, j - i), start)
 
     pairs = met.mapInArrow(fold, f"event_id {kind['event_id']}, label {kind['label']}, near bigint, b bigint, hits bigint, a bigint")
-    scored = pairs.select("event_id", "label", F.log1p(1 / (F.col("near") / 1000 + 1e-9)).alias("s1"), (F.col("hits") / 2 * F.exp(F.col("b") / F.col("a"))).alias("s2"))
-    best = F.min(F.struct((-(F.col("s1") + F.col("s2"))).alias("s"), "label", "s1", "s2")).alias("b")
-    return scored.groupBy("event_id").agg(best).select("event_id", "b.label", "b.s1", "b.s2")
+    s1, s2 = F.log1p(1 / (F.col("near") / 1000 + 1e-9)), F.col("hits") / 2 * F.exp(F.col("b") / F.col("a"))
+    best = F.min(F.struct((-(s1 + s2)).alias("s"), "label", "near", "b", "hits", "a")).alias("best")
+    # Scores are made after the shuffle, where they are as many bytes again.
+    return pairs.repartition("event_id").groupBy("event_id").agg(best).select("event_id", "best.*").select("event_id", "label", s1.alias("s1"), s2.alias("s2"))
 
 
 def overwrites(records: DataFrame, history: str) -> DataFrame:
